@@ -109,14 +109,14 @@ def fill_unknown(known: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     return known.unionByName(fallback.join(known.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
-def relevant_events(events: DataFrame, assets: DataFrame, event_assets: str) -> DataFrame:
+def relevant_events(
+    events: DataFrame, assets: DataFrame, event_assets: str, row_id: Sequence[str]
+) -> DataFrame:
     """Events with at least one asset of the array column `event_assets` in `assets`."""
-    ids = events.withColumn("__event", F.monotonically_increasing_id())
     wanted = assets.select(F.col("asset_id").alias("__asset")).distinct()
     hits = (
-        ids.select("__event", F.explode(F.array_distinct(event_assets)).alias("__asset"))
+        events.select(*row_id, F.explode(F.array_distinct(event_assets)).alias("__asset"))
         .join(wanted, "__asset", "left_semi")
-        .select("__event")
-        .distinct()
+        .select(*row_id)
     )
-    return ids.join(hits, "__event", "left_semi").drop("__event")
+    return events.join(hits, list(row_id), "left_semi")
