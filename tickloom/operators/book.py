@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.depth import DEPTH_COLUMNS, IMBALANCE_LEVELS, NOTIONAL_LEVELS, SLOPE_LEVELS
-from tickloom.operators.slices import int_div, null_safe_join, previous_values
+from tickloom.operators.slices import int_div, null_safe_join
 
 PRICE_SCALE = 1_000_000
 TOP_COLUMNS = [
@@ -71,7 +71,6 @@ def slice_seeds(levels: DataFrame, slice_width: int) -> DataFrame:
     place = F.struct("recv_ns", "seq", "part2")
     per_slice = sliced.groupBy("asset_id", "slice").agg(F.max(F.when(F.col("kind") == "clear", place)).alias("cleared"))
     by_time = Window.partitionBy("asset_id").orderBy("slice")
-    later = by_time.rowsBetween(1, Window.unboundedFollowing)
     indexed = per_slice.select(
         "asset_id",
         "slice",
@@ -82,7 +81,6 @@ def slice_seeds(levels: DataFrame, slice_width: int) -> DataFrame:
     # next snapshot after a slice: running minimum from the end
     backward = Window.partitionBy("asset_id").orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     indexed = indexed.withColumn("next_clear", F.min(F.when(F.col("cleared").isNotNull(), F.col("idx"))).over(backward))
-    del later
 
     real = sliced.where(F.col("side").isin(1, -1))
     located = null_safe_join(real, indexed, ["asset_id", "slice"], "inner")
@@ -91,7 +89,7 @@ def slice_seeds(levels: DataFrame, slice_width: int) -> DataFrame:
         F.max_by("size", F.struct("recv_ns", "seq", "part2")).alias("size")
     )
     level = Window.partitionBy("asset_id", "side", "price").orderBy("idx")
-    # a null comes first in `least` only if all are null, so missing bounds fall away
+    # `least` skips nulls, so bounds that do not exist fall away
     until = F.least(F.lead("idx").over(level), F.col("next_clear"), F.col("last_idx"))
     standing = last.withColumn("until", until).where((F.col("size") > 0) & (F.col("until") > F.col("idx")))
     spread = standing.select(
@@ -250,22 +248,3 @@ def book_states(updates: DataFrame, slice_width: int = 60 * 1_000_000_000) -> Da
     states = events.groupBy("asset_id", "slice").cogroup(seeds.groupBy("asset_id", "slice")).applyInPandas(run, SUMMARY_DDL)
     return states.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in doubles else F.col(c) for c in states.columns])
 
-
-def gate_depth(
-    states: DataFrame, snapshots: DataFrame | None = None, threshold: float = 0.005
-) -> DataFrame:
-    """Mark the rows at which a mid-gated engine would refresh its depth features.
-
-    `refresh` is true for a snapshot, for the first row with a mid, and whenever the mid
-    moved by at least `threshold` relative to the row before. Consumers carry the depth
-    columns of the last refreshed row; top-of-book columns are always current.
-    """
-    marked = previous_values(states, ["asset_id"], ["recv_ns", "seq", "part2"], {"__mid": "midpoint"}, flag="__seen")
-    moved = F.abs(F.col("midpoint") - F.col("__mid")) / F.col("__mid") >= F.lit(threshold)
-    refresh = F.coalesce(moved, F.col("midpoint").isNotNull())
-    out = marked.withColumn("refresh", refresh).drop("__mid", "__seen")
-    if snapshots is None:
-        return out
-    keys = ["asset_id", "recv_ns", "seq", "part2"]
-    snap = snapshots.select(*keys, F.lit(True).alias("__snap"))
-    return out.join(snap, keys, "left").withColumn("refresh", F.col("refresh") | F.coalesce("__snap", F.lit(False))).drop("__snap")
