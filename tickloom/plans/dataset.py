@@ -197,6 +197,7 @@ def dataset_metadata(
 
 
 def label_export(df: DataFrame) -> DataFrame:
-    """Ids, time and label columns only."""
-    ids = [c for c in ("date", "market_id", "asset_id", "recv_ns", "seq", "symbol") if c in df.columns]
-    return df.select(*ids, *label_columns(df.schema))
+    """Ids, time, current mid and the labels a model is trained on."""
+    ids = ["date", "market_id", "asset_id", "recv_ns", "seq", "symbol", "current_mid"]
+    kept = [c for c in df.columns if c.startswith(("future_mid_", "markout_", "y_"))]
+    return df.select(*[c for c in ids if c in df.columns], *kept)

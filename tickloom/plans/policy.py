@@ -1,0 +1,218 @@
+"""Threshold and policy selection: choose on validation, judge once on test."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tickloom.functions import prices
+from tickloom.operators.gating import live_like_selection, threshold_signals
+from tickloom.operators.ranks import top_ranked_values
+from tickloom.plans.evaluation import grid_statistics
+
+# The grids that are searched.
+EXPECTED_PROFIT_LEVELS = [0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05]
+FILL_LEVELS = [0.5, 0.6, 0.65, 0.7, 0.75, 0.8]
+UNWIND_LEVELS = [-0.05, -0.02, 0.0, 0.01, 0.02]
+FIRST_FILL_LEVELS = [0.5, 0.6, 0.7, 0.8, 0.9]
+CUTOFF_TOP_KS = [10, 20, 25, 50, 75, 100, 150, 200, 300, 500, 1000]
+MIN_VALIDATION_ROWS = 10
+MIN_TEST_ROWS = 5
+
+
+@dataclass
+class Fees:
+    fee_rate: float = prices.FEE_RATE
+    buffer: float = prices.PRICE_BUFFER
+    max_total: float = prices.MAX_TOTAL_PRICE
+
+
+def grid_levels(start: float, stop: float, step: float) -> list[float]:
+    n = int((stop - start) / step + 1.5)
+    return [round(start + i * step, 6) for i in range(n) if start + i * step <= stop + step / 2]
+
+
+def candidate_thresholds(
+    df: DataFrame, score: str, start: float, stop: float, step: float, top_ks: Sequence[int] = CUTOFF_TOP_KS
+) -> list[float]:
+    """Even grid plus the k-th largest scores."""
+    return sorted({*grid_levels(start, stop, step), *top_ranked_values(df, score, top_ks)})
+
+
+def with_expected_profit(
+    df: DataFrame, p_fill: str = "p_fill", unwind: str = "pred_unwind_profit", success: str = "formula", fees: Fees | None = None
+) -> DataFrame:
+    """Expected profit of an entry; success profit by formula or as the fixed constant."""
+    f = fees or Fees()
+    estimate: Column = (
+        prices.success_profit(F.col("best_ask"), f.fee_rate, f.buffer, f.max_total)
+        if success == "formula"
+        else F.lit(prices.CONSTANT_SUCCESS)
+    )
+    out = df.withColumn("success_profit_estimate", estimate)
+    return out.withColumn(
+        "pred_expected_profit", prices.expected_profit(F.col(p_fill), F.col("success_profit_estimate"), F.col(unwind))
+    )
+
+
+def best_row(rows: DataFrame, keys: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """The row with the largest key tuple (per group)."""
+    chosen = F.max_by(F.struct(*rows.columns), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).alias("r")
+    return (rows.groupBy(*by).agg(chosen) if by else rows.agg(chosen)).where(F.col("r").isNotNull()).select("r.*")
+
+
+def cutoff_grid(df: DataFrame, profit: str, cls: str, thresholds: Sequence[float], score: str = "p_enter") -> DataFrame:
+    """Statistics of row selection at every threshold."""
+    known = df.where(F.col(profit).isNotNull() & F.col(score).isNotNull() & F.col(cls).isNotNull())
+    return grid_statistics(
+        known, {"threshold": (score, thresholds)}, profit, success=F.col(cls) == "enter", means=[score]
+    )
+
+
+def live_cutoff_grid(
+    df: DataFrame, profit: str, cls: str, thresholds: Sequence[float], score: str = "p_enter", slice_width: int | None = None, **gates
+) -> DataFrame:
+    """Statistics of live-like selection at every threshold."""
+    kwargs = {"slice_width": slice_width} if slice_width else {}
+    chosen = threshold_signals(df, score, thresholds, **kwargs, **gates)
+    known = chosen.where(F.col(profit).isNotNull() & F.col(cls).isNotNull())
+    return grid_statistics(
+        known.withColumn("__one", F.lit(1.0)), {"__any": ("__one", [1.0])}, profit, by=["threshold"],
+        success=F.col(cls) == "enter", means=[score],
+    ).drop("__any")
+
+
+def select_cutoff(grid: DataFrame, min_entries: int, by: Sequence[str] = ()) -> DataFrame:
+    """Best average profit; ties by total profit, entries, then the higher threshold."""
+    eligible = grid.where((F.col("entries") >= min_entries) & F.col("avg_profit").isNotNull())
+    return best_row(eligible, [F.col(c) for c in ("avg_profit", "total_profit", "entries", "threshold")], by)
+
+
+POLICY_DIMS = ["expected_profit_threshold", "min_p_fill", "min_pred_unwind_profit"]
+
+
+def policy_dims(expected: Sequence[float], fill: Sequence[float], unwind: Sequence[float]) -> dict:
+    return {
+        "expected_profit_threshold": ("pred_expected_profit", expected),
+        "min_p_fill": ("p_fill", fill),
+        "min_pred_unwind_profit": ("pred_unwind_profit", unwind),
+    }
+
+
+def policy_grid(
+    df: DataFrame, profit: str, fill_cls: str, expected: Sequence[float], fill: Sequence[float], unwind: Sequence[float],
+    by: Sequence[str] = (), positive: str = "enter",
+) -> DataFrame:
+    """Statistics of row selection for every policy of the grid."""
+    return grid_statistics(
+        df, policy_dims(expected, fill, unwind), profit, by, success=F.col(fill_cls) == positive,
+        means=["p_fill", "pred_unwind_profit", "pred_expected_profit"],
+    )
+
+
+def live_policy_rows(df: DataFrame, policies: DataFrame, slice_width: int | None = None, **gates) -> DataFrame:
+    """Rows each policy would trade live. `policies` holds the threshold columns and is small."""
+    rule = (
+        (F.col("pred_expected_profit") >= F.col("expected_profit_threshold"))
+        & (F.col("p_fill") >= F.col("min_p_fill"))
+        & (F.col("pred_unwind_profit") >= F.col("min_pred_unwind_profit"))
+    )
+    listed = policies.select(*POLICY_DIMS).distinct().limit(10_000).collect()
+    structs = F.array(*[F.struct(*[F.lit(float(r[d])).alias(d) for d in POLICY_DIMS]) for r in listed])
+    rows = df.withColumn("__p", F.explode(structs)).select("*", "__p.*").drop("__p").where(rule)
+    return live_like_selection(rows, POLICY_DIMS, slice_width=slice_width, **gates)
+
+
+def select_policy(grid: DataFrame, min_entries: int, by: Sequence[str] = ()) -> DataFrame:
+    """Best average profit; ties by total profit, entries, then the stricter policy."""
+    eligible = grid.where((F.col("entries") >= min_entries) & F.col("avg_profit").isNotNull())
+    return best_row(eligible, [F.col(c) for c in ("avg_profit", "total_profit", "entries", *POLICY_DIMS)], by)
+
+
+def apply_policy(df: DataFrame, chosen: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows selected by the chosen policy (one row, or one row per `by` group)."""
+    policy = chosen.select(*by, *[F.col(d).alias(f"__{d}") for d in POLICY_DIMS])
+    rows = df.join(F.broadcast(policy), list(by)) if by else df.crossJoin(F.broadcast(policy.limit(1)))
+    return rows.where(
+        (F.col("pred_expected_profit") >= F.col("__expected_profit_threshold"))
+        & (F.col("p_fill") >= F.col("__min_p_fill"))
+        & (F.col("pred_unwind_profit") >= F.col("__min_pred_unwind_profit"))
+    ).drop(*[f"__{d}" for d in POLICY_DIMS])
+
+
+def model_combinations(df: DataFrame, stages: dict[str, dict[str, str]], keep: Sequence[str]) -> DataFrame:
+    """One row per data row and combination of one model per stage.
+
+    `stages` = {score name: {model name: prediction column}}. The number of models is fixed
+    by the caller, so this is a bounded expansion inside the row.
+    """
+    out = df
+    for score, models in stages.items():
+        options = F.array(*[F.struct(F.lit(m).alias(f"{score}_model"), F.col(c).alias(score)) for m, c in models.items()])
+        out = out.withColumn(f"__{score}", F.explode(options)).select("*", f"__{score}.*").drop(f"__{score}")
+    return out.select(*keep, *[f"{s}_model" for s in stages], *stages)
+
+
+def staged_policy_search(
+    validation: DataFrame,
+    test: DataFrame,
+    stages: dict[str, dict[str, str]],
+    profit: str,
+    win: str,
+    first_win: str | None = None,
+) -> DataFrame:
+    """Two- or three-stage policy search over all model combinations.
+
+    Stages `p_fill` and `pred_unwind_profit` give the expected profit with the constant
+    success profit; a stage `p_first` is a gate and no factor. Per combination the grid
+    point with the best average on validation (the first in grid order among equals, at
+    least 10 rows) is applied to test, where fewer than 5 rows count as no result.
+    """
+    gated = "p_first" in stages
+    names = [f"{s}_model" for s in stages]
+    keep = [profit, win, *([first_win] if first_win else [])]
+    dims = {"threshold": ("pred_expected_profit", EXPECTED_PROFIT_LEVELS)}
+    if gated:
+        dims["min_p_first_fill"] = ("p_first", FIRST_FILL_LEVELS)
+    dims["min_p_fill"] = ("p_fill", FILL_LEVELS)
+    dims["min_unwind"] = ("pred_unwind_profit", UNWIND_LEVELS)
+
+    def scored(df: DataFrame) -> DataFrame:
+        rows = model_combinations(df, stages, keep)
+        ep = prices.expected_profit(F.col("p_fill"), F.lit(prices.CONSTANT_SUCCESS), F.col("pred_unwind_profit"))
+        return rows.withColumn("pred_expected_profit", ep)
+
+    means = [first_win] if first_win else []
+    grid = grid_statistics(scored(validation), dims, profit, names, success=F.col(win) == 1, means=means)
+    eligible = grid.where(F.col("entries") >= MIN_VALIDATION_ROWS)
+    first = [-F.col(d) for d in dims]  # levels ascend in grid order
+    best = best_row(eligible, [F.col("avg_profit"), *first], names)
+
+    rows = scored(test).join(F.broadcast(best.select(*names, *dims)), names)
+    for d, (score, _) in dims.items():
+        rows = rows.where(F.col(score) >= F.col(d))
+    judged = rows.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col(win).cast("double")).alias("win_rate"),
+        F.avg(profit).alias("avg_profit"),
+        F.sum(profit).alias("total_profit"),
+        *[F.avg(F.col(c).cast("double")).alias("first_fill_rate") for c in means],
+    )
+    enough = F.col("n") >= MIN_TEST_ROWS
+    outcome = [F.coalesce(F.when(enough, F.col("n")), F.lit(0).cast("long")).alias("test_entries")] + [
+        F.coalesce(F.when(enough, F.col(c)), F.lit(0.0)).alias(f"test_{c}")
+        for c in ("win_rate", "avg_profit", "total_profit", *(["first_fill_rate"] if means else []))
+    ]
+    report = best.select(
+        *names,
+        *dims,
+        F.col("entries").alias("val_entries"),
+        F.col("success_rate").alias("val_win_rate"),
+        F.col("avg_profit").alias("val_avg_profit"),
+        F.col("total_profit").alias("val_total_profit"),
+        *[F.col(f"avg_{c}").alias("val_first_fill_rate") for c in means],
+    )
+    return report.join(judged, names, "left").select(*report.columns, *outcome)
