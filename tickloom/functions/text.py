@@ -123,6 +123,10 @@ def contains_any(cols: Sequence[Column], words: Column) -> Column:
     return F.exists(words, lambda w: F.contains(text, F.lower(w)))
 
 
+def _slugs(starts: Column, prefix: str) -> Column:
+    return F.transform(starts, lambda s: F.concat(F.lit(prefix), s.cast("string")))
+
+
 def slugs_between(start_ns: Column, end_ns: Column, buffer_seconds: int = 3600) -> Column:
     """All short-market slugs whose start lies in the buffered range, as one array."""
     lo = F.greatest(F.lit(0).cast("long"), int_div(start_ns, NS_PER_SECOND) - F.lit(buffer_seconds))
@@ -132,9 +136,7 @@ def slugs_between(start_ns: Column, end_ns: Column, buffer_seconds: int = 3600)
         for period, seconds in PERIOD_SECONDS.items():
             first = lo - F.pmod(lo, F.lit(seconds))
             starts = F.sequence(first, hi, F.lit(seconds).cast("long"))
-            arrays.append(
-                F.transform(starts, lambda s, p=f"{symbol}-updown-{period}-": F.concat(F.lit(p), s.cast("string")))
-            )
+            arrays.append(_slugs(starts, f"{symbol}-updown-{period}-"))
     return F.concat(*arrays)
 
 
@@ -145,7 +147,5 @@ def slugs_of_date(date: Column) -> Column:
     for symbol in SYMBOLS:
         for period, seconds in PERIOD_SECONDS.items():
             starts = F.sequence(day, day + F.lit(86_400 - seconds), F.lit(seconds).cast("long"))
-            arrays.append(
-                F.transform(starts, lambda s, p=f"{symbol}-updown-{period}-": F.concat(F.lit(p), s.cast("string")))
-            )
+            arrays.append(_slugs(starts, f"{symbol}-updown-{period}-"))
     return F.concat(*arrays)

@@ -35,8 +35,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     )
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"__r_{k}"])
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+        cond = cond & F.col(f"__l.{k}").eqNullSafe(F.col(f"__r_{k}"))
+    return left.alias("__l").join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 @dataclass(frozen=True)

@@ -86,7 +86,7 @@ def label_counts(flat: DataFrame) -> DataFrame:
 
 def aligned_signals(signals: DataFrame, candidates: DataFrame) -> DataFrame:
     """Signal samples from the first candidate sample on (all, if there are no candidates)."""
-    start = candidates.agg(F.min("timestamp_ns").alias("__since")).limit(1)
-    rows = signals.crossJoin(F.broadcast(start))
-    since = F.coalesce("timestamp_ns", F.lit(0).cast("long")) >= F.col("__since")
-    return rows.where(F.col("__since").isNull() | since).drop("__since")
+    since = candidates.agg(F.min("timestamp_ns")).first()[0]
+    if since is None:
+        return signals
+    return signals.where(F.coalesce("timestamp_ns", F.lit(0).cast("long")) >= F.lit(since))

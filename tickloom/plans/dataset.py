@@ -181,19 +181,20 @@ def dataset_metadata(
     df: DataFrame, config: DatasetConfig, tables: DataFrame | None = None, quality: DataFrame | None = None
 ) -> DataFrame:
     """One row describing the data set; config, table report and quality as JSON."""
-    spark = df.sparkSession
-    static = spark.createDataFrame(
-        [(json.dumps(asdict(config), sort_keys=True), feature_columns(df.schema), label_columns(df.schema), config.sample_interval_ms)],
-        "config string, feature_columns array<string>, label_columns array<string>, sampling_interval_ms int",
-    )
     extent = df.agg(F.count(F.lit(1)).alias("rows"), F.min("recv_ns").alias("start_ns"), F.max("recv_ns").alias("end_ns"))
-    out = extent.crossJoin(static)
-    for name, table in (("input_tables", tables), ("data_quality", quality)):
-        if table is None:
-            out = out.withColumn(name, F.lit("[]"))
-        else:
-            out = out.crossJoin(table.agg(F.to_json(F.collect_list(F.struct("*"))).alias(name)))
-    return out
+
+    def report(table: DataFrame | None):
+        return F.lit("[]" if table is None else json.dumps([r.asDict() for r in table.collect()], default=str))
+
+    return extent.select(
+        "*",
+        F.lit(json.dumps(asdict(config), sort_keys=True)).alias("config"),
+        F.array(*[F.lit(c) for c in feature_columns(df.schema)]).alias("feature_columns"),
+        F.array(*[F.lit(c) for c in label_columns(df.schema)]).alias("label_columns"),
+        F.lit(config.sample_interval_ms).alias("sampling_interval_ms"),
+        report(tables).alias("input_tables"),
+        report(quality).alias("data_quality"),
+    )
 
 
 def label_export(df: DataFrame) -> DataFrame:

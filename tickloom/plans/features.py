@@ -92,9 +92,9 @@ def trade_features(
     timed = range_frames(
         base, ASSET, "recv_ns",
         [
-            Frame(f"{prefix}trade_count_100ms", F.count(F.lit(1)).cast("double"), *last_ns(100 * ms)),
-            Frame(f"{prefix}trade_count_500ms", F.count(F.lit(1)).cast("double"), *last_ns(500 * ms)),
-            Frame(f"{prefix}trade_count_1s", F.count(F.lit(1)).cast("double"), *last_ns(second)),
+            Frame(f"{prefix}trade_count_100ms", F.sum(F.lit(1.0)), *last_ns(100 * ms)),
+            Frame(f"{prefix}trade_count_500ms", F.sum(F.lit(1.0)), *last_ns(500 * ms)),
+            Frame(f"{prefix}trade_count_1s", F.sum(F.lit(1.0)), *last_ns(second)),
             Frame(f"{prefix}aggressive_buy_volume_1s", F.sum(F.col("size") * buy.cast("double")), *last_ns(second)),
             Frame(f"{prefix}aggressive_sell_volume_1s", F.sum(F.col("size") * sell.cast("double")), *last_ns(second)),
             Frame(f"{prefix}signed_volume_1s", F.sum(F.col("size") * F.col("signed_side")), *last_ns(second)),

@@ -11,6 +11,7 @@ from tickloom import NS_PER_SECOND
 from tickloom.functions.prices import ratio, simple_return
 from tickloom.operators.asof import Lookup, asof_lookups
 from tickloom.operators.ranks import rank_bucket
+from tickloom.session import cut_lineage
 from tickloom.operators.slices import DEFAULT_SLICE_NS, RowFrame, previous_values, row_frames
 
 # Markout horizons and the row window of the book volatility.
@@ -60,5 +61,9 @@ def row_volatility(
 
 
 def volatility_bucket(book: DataFrame, rows: int = VOL_ROWS, slice_width: int = DEFAULT_SLICE_NS) -> DataFrame:
-    """Row volatility with its rank decile `v0..v9`."""
-    return rank_bucket(row_volatility(book, rows, slice_width=slice_width), "vol_100rows", "vol_bucket", "v", 10)
+    """Row volatility with its rank decile `v0..v9`.
+
+    The volatility is checkpointed: finding the boundaries scans it several times.
+    """
+    vol = cut_lineage(row_volatility(book, rows, slice_width=slice_width))
+    return rank_bucket(vol, "vol_100rows", "vol_bucket", "v", 10)

@@ -1 +1,6 @@
+"""Queries over the driver's tables."""
 
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    from tickloom.workload import market_queries, table_queries  # noqa: F401
