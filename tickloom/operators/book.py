@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.depth import DEPTH_COLUMNS, IMBALANCE_LEVELS, NOTIONAL_LEVELS, SLOPE_LEVELS
-from tickloom.operators.slices import int_div, null_safe_join
+from tickloom.operators.slices import int_div, null_safe_join, spread_for_python
 
 PRICE_SCALE = 1_000_000
 TOP_COLUMNS = [
@@ -96,7 +96,8 @@ def slice_seeds(levels: DataFrame, slice_width: int) -> DataFrame:
         "asset_id", "side", "price", "size", F.explode(F.sequence(F.col("idx") + 1, F.col("until"))).alias("idx")
     )
     slices = indexed.select("asset_id", "slice", "idx")
-    return null_safe_join(spread, slices, ["asset_id", "idx"], "inner").drop("idx")
+    placed = null_safe_join(spread, slices, ["asset_id", "idx"], "inner")
+    return placed.select("asset_id", "side", "price", "size", "slice")
 
 
 def _summaries(bid_price, bid_size, ask_price, ask_size):
@@ -220,10 +221,15 @@ def replay(changes, standing):
 
 
 def book_states(updates: DataFrame, slice_width: int = 60 * 1_000_000_000) -> DataFrame:
-    """A full book summary after every snapshot and every delta."""
+    """A full book summary after every snapshot and every delta.
+
+    A slice is seeded with the whole book at its start, so choose `slice_width` such that
+    a slice holds many more events than the book has levels.
+    """
     levels = level_updates(updates)
     events = levels.withColumn("slice", int_div(F.col("recv_ns"), slice_width))
-    seeds = slice_seeds(levels, slice_width)
+    # fresh names: both sides of the cogroup stem from the same frame
+    seeds = slice_seeds(levels, slice_width).toDF("seed_asset", "side", "price", "size", "seed_slice")
 
     def run(key, changes, seed):
         import pandas as pd
@@ -245,6 +251,8 @@ def book_states(updates: DataFrame, slice_width: int = 60 * 1_000_000_000) -> Da
 
     # NaN stands for "no value" inside numpy; as null in the table
     doubles = [*TOP_COLUMNS, *DEPTH_COLUMNS]
-    states = events.groupBy("asset_id", "slice").cogroup(seeds.groupBy("asset_id", "slice")).applyInPandas(run, SUMMARY_DDL)
+    left = spread_for_python(events, ["asset_id", "slice"]).groupBy("asset_id", "slice")
+    right = spread_for_python(seeds, ["seed_asset", "seed_slice"]).groupBy("seed_asset", "seed_slice")
+    states = left.cogroup(right).applyInPandas(run, SUMMARY_DDL)
     return states.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in doubles else F.col(c) for c in states.columns])
 

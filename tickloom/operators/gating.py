@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom import NS_PER_SECOND
-from tickloom.operators.slices import DEFAULT_SLICE_NS, int_div, null_safe_join, previous_values, with_position
+from tickloom.operators.slices import DEFAULT_SLICE_NS, int_div, null_safe_join, previous_values, spread_for_python, with_position
 
 
 def _chain(times, gap: int):
@@ -41,6 +41,10 @@ def greedy_spaced(
     (`keys`, `order`) must identify a row.
     """
     time = order[0]
+    if max_per_key == 1:
+        # the first row per key; the rank limit runs before the shuffle
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("__n", first).where(F.col("__n") == 1).drop("__n")
     if min_gap_ns <= 0:
         if max_per_key <= 0:
             return df
@@ -48,8 +52,8 @@ def greedy_spaced(
         return numbered.where(F.col("__n") <= max_per_key).drop("__n")
 
     width = max(slice_width or min_gap_ns * 360, min_gap_ns)
-    narrow = df.select(*keys, *order).withColumn("__slice", int_div(F.col(time), width))
     part = [*keys, "__slice"]
+    narrow = spread_for_python(df.select(*keys, *order).withColumn("__slice", int_div(F.col(time), width)), part)
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*part).schema)
 
     def summarise(pdf):
@@ -104,7 +108,7 @@ def greedy_spaced(
         return rows.loc[chosen, [*part, *order]]
 
     order_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*order).schema)
-    picked = narrow.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(pick, f"{key_ddl}, {order_ddl}")
+    picked = narrow.groupBy(*part).cogroup(spread_for_python(entries, part).groupBy(*part)).applyInPandas(pick, f"{key_ddl}, {order_ddl}")
     ids = picked.select(*keys, *order).withColumn("__picked", F.lit(True))
     return null_safe_join(df, ids, [*keys, *order], "inner").drop("__picked")
 

@@ -27,6 +27,15 @@ def int_div(col: Column, n: int) -> Column:
     return F.call_function("div", col - F.pmod(col, width), width)
 
 
+def spread_for_python(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partitioned by `keys` into the session's number of shuffle partitions.
+
+    Adaptive execution merges partitions by bytes. Python work per row is far dearer than
+    its bytes suggest, so such stages keep the full parallelism.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys match null keys; the key columns come from `left`."""
     renamed = right.select(

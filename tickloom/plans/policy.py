@@ -156,11 +156,14 @@ def model_combinations(df: DataFrame, stages: dict[str, dict[str, str]], keep: S
     `stages` = {score name: {model name: prediction column}}. The number of models is fixed
     by the caller, so this is a bounded expansion inside the row.
     """
-    out = df
-    for score, models in stages.items():
-        options = F.array(*[F.struct(F.lit(m).alias(f"{score}_model"), F.col(c).alias(score)) for m, c in models.items()])
-        out = out.withColumn(f"__{score}", F.explode(options)).select("*", f"__{score}.*").drop(f"__{score}")
-    return out.select(*keep, *[f"{s}_model" for s in stages], *stages)
+    options = {
+        score: F.array(*[F.struct(F.lit(m).alias(f"{score}_model"), F.col(c).alias(score)) for m, c in models.items()])
+        for score, models in stages.items()
+    }
+    out = df.select(*keep, *[o.alias(f"__{score}") for score, o in options.items()])
+    for score in stages:
+        out = out.withColumn(f"__{score}", F.explode(f"__{score}"))
+    return out.select(*keep, *[F.col(f"__{s}.{c}") for s in stages for c in (f"{s}_model", s)])
 
 
 def staged_policy_search(

@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tickloom.workload import market_queries, table_queries  # noqa: F401
+    from tickloom.workload import market_queries, model_queries, table_queries  # noqa: F401

@@ -365,7 +365,7 @@ BOOK_SQL = """WITH ev AS (
          l_returnflag = 'A' AS is_bid, round(l_extendedprice / l_quantity, 0) AS price,
          CASE WHEN l_linestatus = 'F' AND l_linenumber % 3 = 0 THEN 0 ELSE l_quantity END AS size FROM lineitem),
 p AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY recv_ns, seq, price, size) AS pos FROM ev),
-lv AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY asset_id, is_bid, price ORDER BY pos), 1 << 40) AS until FROM p),
+lv AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY asset_id, is_bid, price ORDER BY pos), 1000000000000) AS until FROM p),
 st AS (SELECT e.asset_id, e.pos, e.recv_ns, e.seq,
          max(CASE WHEN l.is_bid THEN l.price END) AS bid, min(CASE WHEN NOT l.is_bid THEN l.price END) AS ask,
          count(*) FILTER (WHERE l.is_bid) AS nb, count(*) FILTER (WHERE NOT l.is_bid) AS na
@@ -378,7 +378,7 @@ SELECT asset_id, recv_ns, count(*) AS events, round(sum(CASE WHEN bid IS NOT NUL
 @query("order_book_states", BOOK_SQL)
 def book_query(spark, sf):
     """One book summary per delta, summed per asset and day."""
-    states = book_states(unique_deltas(spark, sf), 120 * DAY)
+    states = book_states(unique_deltas(spark, sf), 1000 * DAY)
     return states.groupBy("asset_id", "recv_ns").agg(
         F.count(F.lit(1)).alias("events"), F.round(F.sum("spread"), 2).alias("spread_sum"), F.round(F.sum("midpoint"), 2).alias("mid_sum"),
         F.sum("total_bid_levels").alias("bid_levels"), F.sum("total_ask_levels").alias("ask_levels"),
