@@ -35,15 +35,19 @@ def forward_interval_min(
     start = F.col(left_on).cast("long") + F.lit(lo)
     ids = [f"__id{i}" for i in range(len(row_id))]
 
-    def points(at, part: int) -> DataFrame:
-        return left.where(F.col(left_key).isNotNull() & F.col(left_on).isNotNull()).select(
-            F.col(left_key).alias("__key"),
-            at.alias("__t"),
-            F.lit(part).alias("__side"),
-            int_div(at, width).alias("__block"),
-            *[F.col(c).alias(i) for c, i in zip(row_id, ids)],
+    # every row asks twice: what follows its start in that block, what precedes its end in that one
+    ask = F.explode(
+        F.array(
+            F.struct(start.alias("__t"), F.lit(1).alias("__side")),
+            F.struct((start + F.lit(width - 1)).alias("__t"), F.lit(2).alias("__side")),
         )
-
+    )
+    points = (
+        left.where(F.col(left_key).isNotNull() & F.col(left_on).isNotNull())
+        .select(F.col(left_key).alias("__key"), *[F.col(c).alias(i) for c, i in zip(row_id, ids)], ask.alias("__ask"))
+        .select("__key", "__ask.*", *ids)
+        .withColumn("__block", int_div(F.col("__t"), width))
+    )
     t = F.col(right_on).cast("long")
     events = right.where(F.col(right_key).isNotNull() & t.isNotNull() & F.col(value).isNotNull()).select(
         F.col(right_key).alias("__key"),
@@ -52,11 +56,7 @@ def forward_interval_min(
         int_div(t, width).alias("__block"),
         F.struct(F.col(value).cast("double").alias("value"), (-t).alias("neg_time")).alias("__event"),
     )
-    stacked = (
-        points(start, 1)
-        .unionByName(points(start + F.lit(width - 1), 2))
-        .unionByName(events, allowMissingColumns=True)
-    )
+    stacked = points.unionByName(events, allowMissingColumns=True)
 
     block = Window.partitionBy("__key", "__block")
     head = block.orderBy(F.col("__t").asc(), F.col("__side").asc()).rowsBetween(Window.unboundedPreceding, 0)

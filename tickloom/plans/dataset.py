@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.operators.sampling import time_bucket_sample
-from tickloom.operators.slices import DEFAULT_SLICE_NS
+from tickloom.operators.slices import DEFAULT_SLICE_NS, null_safe_join
 from tickloom.plans import features, labels
+from tickloom.session import cut_lineage
 
 
 @dataclass
@@ -109,13 +110,19 @@ def build_feature_table(
     research: DataFrame | None = None,
     config: DatasetConfig | None = None,
 ) -> DataFrame:
-    """Canonical inputs to the labelled feature table, all markets and dates in one plan."""
+    """Canonical inputs to the labelled feature table, all markets and dates in one plan.
+
+    The sampled book and the raw features are written to the shared folder on the way:
+    several steps read each of them, and without the cut every one would repeat all steps
+    before it. Fill labels are computed on the few columns they need and joined by row.
+    """
     c = config or DatasetConfig()
     tolerance = c.join_tolerance_ms * NS_PER_MS * c.scale
     if c.sample_mode == "event-driven":
         samples = book
     else:
         samples = time_bucket_sample(book, features.ASSET, features.ORDER, c.sample_interval_ms * NS_PER_MS * c.scale)
+        samples = cut_lineage(samples, "samples")
     source = samples if c.book_event_source == "samples" else book
     events = features.book_event_features(source, c.scale, c.slice_ns)
     own_trades = features.trade_features(trades, c.own_prefix, c.scale, c.slice_ns) if trades is not None else None
@@ -127,7 +134,7 @@ def build_feature_table(
     if trades is None:
         df = features.empty_trade_features(df, c.own_prefix)
     df = features.add_reference_features(df, ref_book, ref_trades, c.ref_prefix, tolerance, c.scale, c.slice_ns)
-    df = features.own_returns(df, c.own_prefix, c.ref_prefix, c.scale)
+    df = cut_lineage(features.own_returns(df, c.own_prefix, c.ref_prefix, c.scale), "features")
     df = features.add_smoothed(df, c.ref_prefix, c.slice_ns)
     df = features.add_buckets(df, research, tolerance)
     df = features.future_book(df, book, c.horizons, tolerance, c.scale)
@@ -136,11 +143,15 @@ def build_feature_table(
     df = labels.alpha_labels(df, h, c.classification_theta_bps, c.entry_threshold_bps)
     df = labels.net_edge(df, h, c.taker_cost_bps, c.slippage_buffer_bps, c.safety_margin_bps)
     df = labels.strategy_entry(df, h, c.strategy_entry_threshold_price)
-    df = labels.two_leg_fill(
-        df, trades, h, c.two_leg_max_total_price, c.two_leg_no_fill_edge, c.two_leg_maker_fill_trade_side,
+
+    ids = [*features.ASSET, *features.ORDER]
+    narrow = samples.select(*ids, "outcome", "best_ask", *[x for x in ("tick_size",) if x in samples.columns])
+    fills = labels.two_leg_fill(
+        narrow, trades, h, c.two_leg_max_total_price, c.two_leg_no_fill_edge, c.two_leg_maker_fill_trade_side,
         c.maker_fill_latency_ms, c.maker_fill_trade_through_ticks, c.first_leg_fill_validation_ms, c.price_buffer, c.scale,
     )
-    df = labels.first_leg_fill(df, c.first_leg_fill_validation_ms or 350, c.price_buffer, c.scale)
+    fills = labels.first_leg_fill(fills, c.first_leg_fill_validation_ms or 350, c.price_buffer, c.scale)
+    df = null_safe_join(df, fills.drop("outcome", "best_ask", "tick_size"), ids)
     return labels.final_profit(df, h, c.fee_rate, c.price_buffer, c.two_leg_max_total_price)
 
 

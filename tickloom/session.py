@@ -52,10 +52,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of `df`; survives the loss of any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark, "lineage"))
-    return df.checkpoint(eager=True)
+def cut_lineage(df, purpose: str = "lineage"):
+    """`df` written once to a table in the shared folder and read back.
+
+    Later steps start from the table, columnar and pruned, and a lost executor costs only
+    its own tasks.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
