@@ -96,35 +96,34 @@ def recover_gzip(spark: SparkSession, paths: DataFrame, column: str = "path") ->
 
     Returns `path, member, line_no, value, complete`; each member ends with a row whose
     `value` is null and whose `complete` says whether it was read to its end. Files are
-    read in pieces from any path the executors can open.
+    read in pieces through the file system their URI names.
     """
 
     def read(batches):
         import pandas as pd
+        from pyarrow import fs
 
+        columns = ["path", "member", "line_no", "value", "complete"]
         for batch in batches:
             for path in batch["path"]:
-                local = path.removeprefix("file:")
-                with open(local, "rb") as f:
-                    f.seek(0, 2)
-                    size = f.tell()
+                system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":/", ":///", 1))
+                with system.open_input_file(inner) as f:
 
                     def data_of(offset, n, f=f):
                         f.seek(offset)
                         return f.read(n)
 
                     rows, number = [], 0
-                    for member, whole, line in _recovered(data_of, size):
+                    for member, whole, line in _recovered(data_of, f.size()):
                         end = line == b""
                         number += not end
-                        rows.append(
-                            (path, member, None if end else number, None if end else line.decode("utf-8", "replace"), whole if end else None)
-                        )
+                        text = None if end else line.decode("utf-8", "replace")
+                        rows.append((path, member, None if end else number, text, whole if end else None))
                         if len(rows) >= 10_000:
-                            yield pd.DataFrame(rows, columns=["path", "member", "line_no", "value", "complete"])
+                            yield pd.DataFrame(rows, columns=columns)
                             rows = []
                     if rows:
-                        yield pd.DataFrame(rows, columns=["path", "member", "line_no", "value", "complete"])
+                        yield pd.DataFrame(rows, columns=columns)
 
     files = paths.select(F.col(column).alias("path"))
     spread = files.repartition(max(1, min(files.count(), 10_000)), "path")

@@ -12,23 +12,22 @@ from tickloom.sources.raw import envelope, flatten_payload
 
 
 def raw_stream(spark: SparkSession, folder: str, max_files: int = 64) -> DataFrame:
-    """New files of a raw-log folder as messages, with their place as `seq`."""
-    lines = (
-        spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
-        .select("value", F.monotonically_increasing_id().alias("seq"))
-    )
+    """New files of a raw-log folder as messages."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).select("value")
     return flatten_payload(envelope(lines))
 
 
 def normalise_stream(messages: DataFrame, folder: str, checkpoint: str, source: str = "venue", once: bool = False) -> StreamingQuery:
     """One parse per micro-batch, appended to the trades, quotes and book-update tables.
 
-    Each table is partitioned by UTC date. The batch is persisted while its tables are
-    written; a `batch` column makes a replayed batch recognisable.
+    Each table is partitioned by UTC date and micro-batch, so a replayed batch overwrites
+    itself. `seq` is the row's place in its batch: rows are ordered by
+    (recv_ns, batch, seq). The parsed batch is persisted while its tables are written.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = normalize.parse_market_messages(batch).persist()
+        placed = batch.withColumn("seq", F.monotonically_increasing_id())
+        parsed = normalize.parse_market_messages(placed).persist()
         tables = {
             "trades": normalize.trades(parsed, source),
             "quotes": normalize.quotes(parsed, source),

@@ -112,7 +112,8 @@ OUTPUT = [
 def gate_signals(samples: DataFrame, config: GateConfig) -> DataFrame:
     """Every scored sample with its gate flags, `signal`, and `candidate` (shadow sample).
 
-    Works on a stream and, with the same processor, on a batch.
+    For streams: a key's rows of one micro-batch are handled together. Whole tables go
+    through `operators.gating`, which cuts keys into slices.
     """
     prepare_state_store(samples.sparkSession)
     if "tick_size" not in samples.columns:

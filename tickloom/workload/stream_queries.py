@@ -101,7 +101,7 @@ def signal_stream(spark, sf):
     ),
 )
 def counts_query(spark, sf):
-    flagged = gate_signals(scored_stream(spark, sf), GATE)
+    flagged = run_to_table(gate_signals(scored_stream(_Streamed(spark), sf), GATE), "gates")
     return gate_counts(flagged).select("samples", "pass_threshold", "blocked_entry_filter")
 
 
