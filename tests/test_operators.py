@@ -15,7 +15,7 @@ from tickloom.operators.gating import greedy_spaced
 from tickloom.operators.intervals import forward_interval_min
 from tickloom.operators.ranks import exact_quantiles, order_statistics, ordinal_rank, rank_bucket
 from tickloom.operators.sampling import balanced_sample, change_events, uniform_cap
-from tickloom.operators.slices import Frame, RowFrame, previous_values, range_frames, row_frames, with_position
+from tickloom.operators.slices import Frame, RowFrame, fit_slice_width, previous_values, range_frames, row_frames, with_position
 from tickloom.operators.splits import chronological_split, walk_forward
 
 
@@ -213,3 +213,10 @@ def test_enrich_and_relaxed_union(spark):
     both = union_relaxed([spark.createDataFrame([(1,)], "a int"), None, spark.createDataFrame([(2.5, "x")], "a double, b string")])
     assert sorted(tuple(r) for r in both.collect()) == [(1.0, None), (2.5, "x")]
     assert union_relaxed([None]) is None
+
+
+def test_slice_width_follows_the_densest_stretch(spark):
+    df = spark.createDataFrame([("a", 1_000_000 + i // 4) for i in range(4000)] + [("a", i * 10_000) for i in range(50)], "k string, t long")
+    width = fit_slice_width(df, ["k"], "t", 1_000_000, max_rows=200)
+    assert 1 < width <= 50
+    assert fit_slice_width(df, ["k"], "t", 1_000_000, max_rows=10_000) == 1_000_000

@@ -38,6 +38,14 @@ def union_relaxed(frames: Sequence[DataFrame | None]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
+def few_values(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """Distinct values of a column that must be few (classes, policies, dates); more is an error."""
+    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} distinct values")
+    return values
+
+
 def union_distinct(frames: Sequence[DataFrame]) -> DataFrame:
     """Set union."""
     return reduce(lambda a, b: a.unionByName(b), frames).distinct()

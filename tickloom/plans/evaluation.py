@@ -8,6 +8,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.combine import few_values
+from tickloom.operators.slices import null_safe_join
+
 # Label order of reports and the positive-class preference.
 LABEL_ORDER = ["down", "neutral", "up", "skip", "enter"]
 POSITIVE_PREFERENCE = ["enter", "up", 1, "1", True]
@@ -79,15 +82,19 @@ def grid_statistics(
     by: Sequence[str] = (),
     success: Column | None = None,
     means: Sequence[str] = (),
+    median: bool = True,
 ) -> DataFrame:
     """Selection statistics at every point of a threshold grid.
 
     `dims` = {column name: (score column, thresholds)}; a row is selected where it reaches
-    all thresholds. Rows are first summed per (cell, profit value); the grid is applied to
-    those sums. Per grid point: entries, average, median and total profit, success rate
-    (share of positive profits unless `success` is given), mean loss of the losers, and
-    `avg_{c}` for the columns in `means`.
+    all thresholds. Rows are summed per cell of reached thresholds, and the grid is applied
+    to those few sums. Per grid point: entries, average and total profit, success rate
+    (share of positive profits unless `success` is given), mean loss of the losers,
+    `avg_{c}` for the columns in `means`, and the exact median profit. The median goes over
+    the counts of distinct profits, which are few because prices move in ticks; turn it off
+    for continuous targets.
     """
+    p = F.col("__profit")
     rows = df.where(F.col(profit).isNotNull()).select(
         *by,
         F.col(profit).cast("double").alias("__profit"),
@@ -99,26 +106,30 @@ def grid_statistics(
         rows, {d: (f"__s_{d}", levels) for d, (_, levels) in dims.items()}, by, ["__profit", "__win", *[f"__m_{c}" for c in means]]
     )
     codes = [f"__c_{d}" for d in dims]
-    cells = coded.groupBy(*by, *codes, "__profit").agg(
+    cells = coded.groupBy(*by, *codes).agg(
         F.count(F.lit(1)).alias("__n"),
+        F.sum(p).alias("__total"),
         F.sum("__win").alias("__wins"),
         F.count("__win").alias("__judged"),
+        F.sum(F.when(p < 0, -p)).alias("__loss"),
+        F.count_if(p < 0).alias("__losers"),
         *[F.sum(f"__m_{c}").alias(f"__m_{c}") for c in means],
     )
     grid = spread_over_grid(cells, dims)
-    p, n = F.col("__profit"), F.col("__n")
-    entries = F.sum(n)
-    total = F.sum(p * n)
-    losing = F.sum(F.when(p < 0, n))
-    return grid.groupBy(*by, *dims).agg(
+    entries = F.sum("__n")
+    stats = grid.groupBy(*by, *dims).agg(
         entries.alias("entries"),
-        (total / entries).alias("avg_profit"),
-        F.percentile("__profit", F.lit(0.5), n).alias("median_profit"),
-        total.alias("total_profit"),
-        (F.sum("__wins") / F.sum("__judged")).alias("success_rate"),
-        (F.sum(F.when(p < 0, -p * n)) / losing).alias("avg_loss"),
+        (F.sum("__total") / entries).alias("avg_profit"),
+        F.sum("__total").alias("total_profit"),
+        F.try_divide(F.sum("__wins"), F.sum("__judged")).alias("success_rate"),
+        F.try_divide(F.sum("__loss"), F.sum("__losers")).alias("avg_loss"),
         *[(F.sum(f"__m_{c}") / entries).alias(f"avg_{c}") for c in means],
     )
+    if not median:
+        return stats
+    values = spread_over_grid(coded.groupBy(*by, *codes, "__profit").agg(F.count(F.lit(1)).alias("__n")), dims)
+    medians = values.groupBy(*by, *dims).agg(F.percentile("__profit", F.lit(0.5), F.col("__n")).alias("median_profit"))
+    return null_safe_join(stats, medians, [*by, *dims])
 
 
 def threshold_table(df: DataFrame, target: str, score: str, thresholds: Sequence[float], taker_cost_bps: float = 0.0) -> DataFrame:
@@ -140,7 +151,7 @@ def threshold_table(df: DataFrame, target: str, score: str, thresholds: Sequence
 
 def pass_rate_table(df: DataFrame, score: str, outcome: str, thresholds: Sequence[float], min_rows: int = 10) -> DataFrame:
     """Actual rate of `outcome` among rows at or above each threshold."""
-    stats = grid_statistics(df, {"threshold": (score, thresholds)}, outcome)
+    stats = grid_statistics(df, {"threshold": (score, thresholds)}, outcome, median=False)
     return stats.where(F.col("entries") >= min_rows).select("threshold", "entries", F.col("avg_profit").alias("actual_rate"))
 
 
@@ -158,7 +169,7 @@ def confusion(df: DataFrame, target: str, prediction: str) -> DataFrame:
         .groupBy(F.col(target).cast("string").alias("actual"), F.col(prediction).cast("string").alias("predicted"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    seen = [r[0] for r in counts.select(F.explode(F.array("actual", "predicted"))).distinct().limit(10_000).collect()]
+    seen = few_values(counts.select(F.explode(F.array("actual", "predicted")).alias("label")), "label")
     order = [c for c in LABEL_ORDER if c in seen] + sorted(c for c in seen if c not in LABEL_ORDER)
     place = {c: i for i, c in enumerate(order)}
     pairs = df.sparkSession.createDataFrame(

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.operators.combine import few_values
 from tickloom.operators.ranks import exact_quantiles
 from tickloom.operators.splits import chronological_split, split_ranges
 from tickloom.plans import evaluation
@@ -216,7 +217,7 @@ def fit_model(
     classes: list = []
     stages = preprocessing(rows.schema, names, spec.scaled, winsor)
     if spec.task == "classification":
-        classes = sorted(r[0] for r in rows.select(target).distinct().limit(1000).collect())
+        classes = sorted(few_values(rows, target, 1000))
         label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(target)).cast("double") - 1.0
         if weight is None and balanced and spec.kind == "logistic":
             rows, weight = balanced_weights(rows, target), "class_weight"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import prices
+from tickloom.operators.combine import few_values
 from tickloom.operators.gating import live_like_selection, threshold_signals
 from tickloom.operators.ranks import top_ranked_values
 from tickloom.plans.evaluation import grid_statistics
@@ -120,7 +121,7 @@ def live_policy_rows(df: DataFrame, policies: DataFrame, slice_width: int | None
         & (F.col("p_fill") >= F.col("min_p_fill"))
         & (F.col("pred_unwind_profit") >= F.col("min_pred_unwind_profit"))
     )
-    listed = policies.select(*POLICY_DIMS).distinct().limit(10_000).collect()
+    listed = few_values(policies.select(F.struct(*POLICY_DIMS).alias("policy")), "policy")
     structs = F.array(*[F.struct(*[F.lit(float(r[d])).alias(d) for d in POLICY_DIMS]) for r in listed])
     rows = df.withColumn("__p", F.explode(structs)).select("*", "__p.*").drop("__p").where(rule)
     return live_like_selection(rows, POLICY_DIMS, slice_width=slice_width, **gates)
@@ -196,7 +197,7 @@ def staged_policy_search(
         return rows.withColumn("pred_expected_profit", ep)
 
     means = [first_win] if first_win else []
-    grid = grid_statistics(scored(validation), dims, profit, names, success=F.col(win) == 1, means=means)
+    grid = grid_statistics(scored(validation), dims, profit, names, success=F.col(win) == 1, means=means, median=False)
     eligible = grid.where(F.col("entries") >= MIN_VALIDATION_ROWS)
     first = [-F.col(d) for d in dims]  # levels ascend in grid order
     best = best_row(eligible, [F.col("avg_profit"), *first], names)

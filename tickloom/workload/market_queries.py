@@ -561,7 +561,8 @@ def profit_query(spark, sf):
         + """, y AS (SELECT b.*, future_mid, (future_mid - current_mid) / current_mid * 10000 AS bps FROM book b LEFT JOIN fut ON fut.seq = b.seq)""",
         """SELECT seq, round(bps, 6) AS y_reg_10s, CASE WHEN bps > 5 THEN 'up' WHEN bps < -5 THEN 'down' ELSE 'neutral' END AS y_cls_10s,
                   CAST(bps > 8 AS TINYINT) AS y_entry, round(bps - 3, 6) AS realized_edge_after_entry_cost_bps,
-                  CAST(bps > 3 AS TINYINT) AS y_entry_after_cost, round(future_mid - best_ask, 9) AS strategy_entry_edge_10s,
+                  CAST(bps > 3 AS TINYINT) AS y_entry_after_cost,
+                  CASE WHEN round(future_mid - best_ask, 9) = 0 THEN 0.0::DOUBLE ELSE round(future_mid - best_ask, 9) END AS strategy_entry_edge_10s,
                   CASE WHEN future_mid IS NULL THEN NULL WHEN future_mid - best_ask >= 0.04::DOUBLE THEN 'enter' ELSE 'skip' END AS y_strategy_entry_10s
            FROM y""",
     ),
