@@ -37,32 +37,28 @@ def level_updates(updates: DataFrame) -> DataFrame:
     """
     order = ["asset_id", "recv_ns", "seq", "part2"]
 
-    def scaled(col):
-        return (col.try_cast("decimal(24,6)") * PRICE_SCALE).try_cast("long")
-
-    def size_of(col):
-        return col.try_cast("decimal(24,6)").cast("double")
-
-    deltas = updates.where(F.col("kind") == "delta").select(
-        *order,
-        F.lit("delta").alias("kind"),
-        F.when(F.col("side") == "buy", 1).when(F.col("side") == "sell", -1).alias("side"),
-        scaled(F.col("price")).alias("price"),
-        size_of(F.col("size")).alias("size"),
-    )
-    deltas = deltas.withColumn("side", F.when(F.col("price").isNotNull() & F.col("size").isNotNull(), F.col("side")))
-    snapshots = updates.where(F.col("kind") == "snapshot")
-    clears = snapshots.select(
-        *order, F.lit("clear").alias("kind"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("price"), F.lit(0.0).alias("size")
-    )
-
-    def side_levels(column: str, side: int) -> DataFrame:
-        rows = snapshots.select(*order, F.explode(column).alias("l"))
-        return rows.select(
-            *order, F.lit("level").alias("kind"), F.lit(side).alias("side"), scaled(F.col("l.price")).alias("price"), size_of(F.col("l.size")).alias("size")
-        ).where(F.col("price").isNotNull() & (F.col("size") > 0))
-
-    return deltas.unionByName(clears).unionByName(side_levels("bids", 1)).unionByName(side_levels("asks", -1))
+    def change(kind: str, side, price, size):
+        exact = price.try_cast("decimal(24,6)")
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            side.cast("int").alias("side"),
+            (exact * PRICE_SCALE).try_cast("long").alias("price"),
+            size.try_cast("decimal(24,6)").cast("double").alias("size"),
+        )
+
+    side = F.when(F.col("side") == "buy", 1).when(F.col("side") == "sell", -1)
+    valid = F.col("price").try_cast("decimal(24,6)").isNotNull() & F.col("size").try_cast("decimal(24,6)").isNotNull()
+    delta = F.array(change("delta", F.when(valid, side), F.col("price"), F.col("size")))
+
+    def levels(column: str, number: int):
+        some = F.coalesce(F.col(column), F.array().cast("array<struct<price:string,size:string>>"))
+        parsed = F.transform(some, lambda x: change("level", F.lit(number), x["price"], x["size"]))
+        return F.filter(parsed, lambda x: x["price"].isNotNull() & (x["size"] > 0))
+
+    clear = F.array(change("clear", F.lit(0), F.lit("0"), F.lit("0")))
+    snapshot = F.concat(clear, levels("bids", 1), levels("asks", -1))
+    changes = F.when(F.col("kind") == "delta", delta).when(F.col("kind") == "snapshot", snapshot)
+    return updates.select(*order, F.explode(changes).alias("c")).select(*order, "c.*")
 
 
 def slice_seeds(levels: DataFrame, slice_width: int) -> DataFrame:
