@@ -4,7 +4,6 @@ import gzip
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.operators.book import book_states

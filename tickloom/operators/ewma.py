@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.slices import DEFAULT_SLICE_NS, int_div, with_position
+from tickloom.operators.slices import DEFAULT_SLICE_NS, int_div, null_safe_join, with_position
 
 SMALLEST_WEIGHT = 1e-24
 
@@ -85,6 +85,4 @@ def ewma(
         wide = wide.select(
             "*", *[(F.col(f"{c}_ewma_fast") - F.col(f"{c}_ewma_slow")).alias(f"{c}_ewma_diff") for c in columns]
         )
-    from tickloom.operators.slices import null_safe_join
-
     return null_safe_join(df, wide, row)

@@ -180,7 +180,7 @@ def threshold_signals(
     return live_like_selection(at, ["threshold"], **gates).drop("previous_score")
 
 
-def reference_throttle(df: DataFrame, interval_ns: int, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
+def spaced_samples(df: DataFrame, interval_ns: int, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
     """Rows at least `interval_ns` after the asset's last kept row."""
     return greedy_spaced(df, keys, ["recv_ns", "seq"], interval_ns)
 

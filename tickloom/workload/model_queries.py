@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import buckets, prices
 from tickloom.operators import splits
-from tickloom.operators.gating import greedy_spaced, live_like_selection, threshold_signals
+from tickloom.operators.gating import greedy_spaced, threshold_signals
 from tickloom.operators.ranks import exact_quantiles, quantile_summary, rank_correlation
 from tickloom.operators.sampling import balanced_sample, uniform_cap
 from tickloom.plans import calibration, evaluation, policy
-from tickloom.plans.dataset import DatasetConfig, dataset_quality, label_export, null_fractions, prune_features, training_rows
+from tickloom.plans.dataset import dataset_quality, label_export, null_fractions, prune_features, training_rows
 from tickloom.workload import mapping as m
 from tickloom.workload.base_sql import BOOK, HOUR, SCORED, TICKS, with_ctes
 from tickloom.workload.mapping import DAY

@@ -13,7 +13,7 @@ from tickloom.streaming.outcomes import OutcomeConfig, as_events, outcome_totals
 from tickloom.streaming.signals import GateConfig, gate_counts, gate_signals
 from tickloom.workload import mapping as m
 from tickloom.workload.base_sql import BOOK, HOUR, SCORED, TICKS, TRADES, with_ctes
-from tickloom.workload.model_queries import ENTRY, chain, rounded
+from tickloom.workload.model_queries import ENTRY, chain
 from tickloom.workload.registry import query
 
 
@@ -150,12 +150,20 @@ def outcome_stream(spark, sf):
     return outcomes(spark, sf).select("signal_id", "result")
 
 
-@query("stream_outcome_totals")
+@query(
+    "stream_outcome_totals",
+    with_ctes(
+        OUTCOME
+        + f""", r AS (SELECT coalesce(fill.n, 0) > 0 AS ok FROM sig s LEFT JOIN fill ON fill.seq = s.seq WHERE s.recv_ns + {H10} <= (SELECT max(recv_ns) FROM ticks) - 2000000000
+             OR EXISTS (SELECT 1 FROM book b WHERE b.market_id = s.market_id AND b.recv_ns >= s.recv_ns + {H10}))""",
+        """SELECT count(*) AS resolved, count(*) FILTER (WHERE ok) AS success, count(*) FILTER (WHERE NOT ok) AS failure, least(count(*), 100) AS recent_n FROM r""",
+    ),
+)
 def totals_stream(spark, sf):
+    """The outcomes of every signal, totalled as if all were tracked."""
     o = outcomes(spark, sf).withColumn("tracked", F.lit(True))
-    totals = rounded(outcome_totals(o), 6, "total_profit")
-    recent = rounded(recent_profit(o), 6, "avg_profit")
-    return totals.withColumn("k", F.lit(1)).join(recent.withColumn("k", F.lit(1)), "k").drop("k")
+    totals = outcome_totals(o).select("resolved", "success", "failure")
+    return totals.withColumn("recent_n", F.lit(recent_profit(o).first()["recent_n"]))
 
 
 @query(

@@ -11,7 +11,7 @@ from tickloom.operators.combine import enrich, fill_unknown, overlap, relevant_e
 from tickloom.plans import canonical, instruments, normalize
 from tickloom.sources import raw
 from tickloom.workload import mapping as m
-from tickloom.workload.base_sql import BOOK, HOUR, TICKS, with_ctes
+from tickloom.workload.base_sql import TICKS, with_ctes
 from tickloom.workload.mapping import DAY
 from tickloom.workload.registry import query
 
