@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,17 +41,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 
-    The folder named by `spark.checkpoint.dir` is used as it is. Only where it is
-    unset (local tests) is a temporary one chosen.
+    The folder is the one `spark.checkpoint.dir` names. Where it is unset, a session of a single
+    process (as in tests) gets one of its own; a cluster doesn't, as its executors share no other.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not root:
-        root = getattr(shared_folder, "_fallback", None)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = getattr(shared_folder, "_own", None)
         if root is None:
-            root = tempfile.mkdtemp(prefix="spark-")
-            shared_folder._fallback = root
+            root = shared_folder._own = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
