@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import packing, token_files
+from tickloom.llm import packing, run_index, token_files
 from tickloom.llm.common import table
 from tickloom.session import prepare, shared_folder
 
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_run_index")
+def repeats_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every text in strings of 200 bytes that also start elsewhere."""
+    return run_index.repeat_digest(table(prepare(spark), sf, "documents"), 200)
+
+
 @query("op6_token_files")
 def token_file_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded, written as token files and read back."""
