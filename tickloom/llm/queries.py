@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import packing, run_index, token_files
+from tickloom.llm import packing, run_index, token_files, token_join
 from tickloom.llm.common import table
 from tickloom.session import prepare, shared_folder
 
@@ -38,6 +38,12 @@ def token_file_rows(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+@query("op7_token_join")
+def linked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return token_join.linked_components(table(prepare(spark), sf, "documents"), 5, 80)
+
+
 @query("op10_packing")
 def packed_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
