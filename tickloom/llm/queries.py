@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import packing, run_index, token_files, token_join
+from tickloom.llm import line_dedup, packing, run_index, token_files, token_join
 from tickloom.llm.common import table
 from tickloom.session import prepare, shared_folder
 
@@ -30,6 +30,12 @@ def repeats_removed(spark: SparkSession, sf: str) -> DataFrame:
     return run_index.repeat_digest(table(prepare(spark), sf, "documents"), 200)
 
 
+@query("op4_line_dedup", line_dedup.REPORT_SQL)
+def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every text that an earlier line equals or differs from in one word."""
+    return line_dedup.line_report(table(prepare(spark), sf, "documents"), 3, 10)
+
+
 @query("op6_token_files")
 def token_file_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded, written as token files and read back."""
