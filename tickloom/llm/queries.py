@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import line_dedup, packing, run_index, token_files, token_join
+from tickloom.llm import line_dedup, packing, run_index, token_files, token_join, toxicity
 from tickloom.llm.common import table
 from tickloom.session import prepare, shared_folder
 
@@ -36,6 +36,12 @@ def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(table(prepare(spark), sf, "documents"), 3, 10)
 
 
+@query("op5_toxicity_chain")
+def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Probabilities of poor quality and toxicity of every document."""
+    return toxicity.toxicity_scores(table(prepare(spark), sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op6_token_files")
 def token_file_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Every text encoded, written as token files and read back."""
