@@ -195,3 +195,16 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
     named = least_id.join(least_id.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
     linked = own.join(named, "node").select("doc_id", "n_shingles", "component_id")
     return linked.union(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each component, that of its smallest number; all columns stay.
+
+    Rows with equal numbers and texts are copies as well, and one of them is kept; rows without a number stay if
+    nobody in their component has one, as do rows without words.
+    """
+    name = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    linked = linked_components(docs, words, percent, id_col=id_col, text_col=text_col)
+    kept = linked.where("doc_id <=> component_id").select("doc_id").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), name)
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select("row.*")
