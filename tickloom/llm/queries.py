@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import line_dedup, packing, run_index, token_files, token_join, toxicity
+from tickloom.llm import line_dedup, multi_index, packing, pivot_join, run_index, token_files, token_join, toxicity
 from tickloom.llm.common import table
 from tickloom.session import prepare, shared_folder
 
@@ -30,6 +30,18 @@ def repeats_removed(spark: SparkSession, sf: str) -> DataFrame:
     return run_index.repeat_digest(table(prepare(spark), sf, "documents"), 200)
 
 
+@query("op2_multi_index")
+def near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth, by an inverted multi-index."""
+    return multi_index.nearest(table(prepare(spark), sf, "embeddings"), 10, 100)
+
+
+@query("op3_pivot_join")
+def best_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Five best integer inner products of every fiftieth vector."""
+    return pivot_join.top_products(table(prepare(spark), sf, "embeddings"), 5, 50)
+
+
 @query("op4_line_dedup", line_dedup.REPORT_SQL)
 def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every text that an earlier line equals or differs from in one word."""
