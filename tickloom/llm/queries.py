@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import line_dedup, multi_index, packing, pivot_join, run_index, token_files, token_join, toxicity
+from tickloom.llm import edit_counts, line_dedup, multi_index, packing, piece_codec, pivot_join, run_index, token_files, token_join, toxicity
 from tickloom.llm.common import table
 from tickloom.session import prepare, shared_folder
 
@@ -68,6 +68,19 @@ def linked_documents(spark: SparkSession, sf: str) -> DataFrame:
     return token_join.linked_components(table(prepare(spark), sf, "documents"), 5, 80)
 
 
+@query("op8_edit_counts")
+def counts_under_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of every text before and after three edits."""
+    docs = table(prepare(spark), sf, "documents")
+    return edit_counts.edited_counts(docs, edit_counts.sample_edits(docs))
+
+
+@query("op9_piece_codec")
+def coded_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text encoded to pieces and decoded again."""
+    return piece_codec.coding_report(table(prepare(spark), sf, "documents"), "piece_bpe_32k.model")
+
+
 @query("op10_packing")
 def packed_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
