@@ -220,3 +220,20 @@ def test_slice_width_follows_the_densest_stretch(spark):
     width = fit_slice_width(df, ["k"], "t", 1_000_000, max_rows=200)
     assert 1 < width <= 50
     assert fit_slice_width(df, ["k"], "t", 1_000_000, max_rows=10_000) == 1_000_000
+
+
+def test_order_statistics_end_on_any_doubles(spark):
+    values = [float("nan"), float("inf"), float("-inf"), 1.7e308, -1.7e308, 0.0, 5e-324, 1.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    total, stats = order_statistics(df, "v", range(6))
+    assert total == 5 and [s.value for s in stats] == [-1.7e308, 0.0, 5e-324, 1.0, 1.7e308]
+
+
+def test_ewma_keeps_an_outlier_many_chunks_back(spark):
+    n, w = 3000, 1 - 2 / 6.0
+    df = spark.createDataFrame([(1, i, i, 1e200 if i == 100 else 1.0) for i in range(n)], "k int, t long, seq long, v double")
+    got = {r.seq: r.v_ewma_fast for r in ewma(df, ["k"], ["t", "seq"], ["v"], {"fast": 5}, 1000).collect()}
+    num = den = 0.0
+    for i in range(n):
+        num, den = num * w + (1e200 if i == 100 else 1.0), den * w + 1
+        assert abs(got[i] - num / den) <= 1e-9 * abs(num / den)

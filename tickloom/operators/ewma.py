@@ -2,9 +2,9 @@
 
 `mean_t = sum_i x_i w^(n_t - n_i) / sum_i w^(n_t - n_i)` with `n` the count of non-null
 values so far. Values are numbered per key, cut into chunks of `CHUNK` values, and each
-chunk holds running sums with weights relative to its own start. The chunk before adds
-its total; whatever lies further back weighs less than a double can show, so nothing
-is lost and no key has to be walked in one task.
+chunk holds running sums with weights relative to its own start. Each chunk adds its total to the
+`REACH` chunks behind it; over so many, the weight falls below the ratio of the smallest to the largest
+double, so nothing is lost and no key has to be walked in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.slices import DEFAULT_SLICE_NS, int_div, null_safe_join, with_position
 
 SMALLEST_WEIGHT = 1e-24
+REACH = 27  # SMALLEST_WEIGHT ** REACH is 1e-648; doubles span 1e632
 
 
 def chunk_length(spans: Sequence[int]) -> int:
@@ -58,19 +59,22 @@ def ewma(
             F.sum(F.col("x") * weight).over(inside).alias(f"__num_{name}"),
             F.sum(weight).over(inside).alias(f"__den_{name}"),
         ]
-        totals += [F.sum(F.col("x") * weight).alias(f"__pnum_{name}"), F.sum(weight).alias(f"__pden_{name}")]
-    before = (
-        placed.groupBy(*keys, "i", "__chunk").agg(*totals).withColumn("__chunk", F.col("__chunk") + 1)
-    )
+        aged = F.pow(F.lit(1.0 - 2.0 / (span + 1.0)), F.lit(chunk - 1) - F.col("__e"))  # relative to the chunk's last value
+        totals += [F.sum(F.col("x") * aged).alias(f"__pnum_{name}"), F.sum(aged).alias(f"__pden_{name}")]
+    reached = placed.groupBy(*keys, "i", "__chunk").agg(*totals).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(REACH - 1))))
+    carried = [
+        F.sum(F.col(f"__p{part}_{name}") * F.pow(F.lit((1.0 - 2.0 / (span + 1.0)) ** chunk), F.col("__k")) * F.lit(1.0 - 2.0 / (span + 1.0))).alias(f"__p{part}_{name}")
+        for name, span in spans.items()
+        for part in ("num", "den")
+    ]
+    before = reached.groupBy(*keys, "i", (F.col("__chunk") + 1 + F.col("__k")).alias("__chunk")).agg(*carried)
     conditions = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, "i", "__chunk"]]
     joined = placed.select("*", *local).alias("a").join(before.alias("b"), conditions, "left")
 
     means = []
-    for name, span in spans.items():
-        decay = 1.0 - 2.0 / (span + 1.0)
-        far = F.lit(decay**chunk)
-        num = F.col(f"a.__num_{name}") + F.coalesce(F.col(f"b.__pnum_{name}"), F.lit(0.0)) * far
-        den = F.col(f"a.__den_{name}") + F.coalesce(F.col(f"b.__pden_{name}"), F.lit(0.0)) * far
+    for name in spans:
+        num = F.col(f"a.__num_{name}") + F.coalesce(F.col(f"b.__pnum_{name}"), F.lit(0.0))
+        den = F.col(f"a.__den_{name}") + F.coalesce(F.col(f"b.__pden_{name}"), F.lit(0.0))
         means.append((num / den).alias(name))
     long = joined.select(*[F.col(f"a.{c}").alias(c) for c in [*row, "i"]], *means)
 

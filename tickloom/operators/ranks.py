@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.session import cut_lineage
 
@@ -36,9 +37,10 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> tuple[
     Repeated histograms: each pass counts `BINS` equal bins inside the interval around
     every wanted rank and keeps one bin. Data is only scanned, never sorted or moved;
     the driver sees at most `BINS` counts per wanted rank and pass. Ranks out of range
-    are left out.
+    are left out. NaN and infinities have no place in an interval and count as null.
     """
-    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
+    real = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    values = df.select((finite(F.col(column)) if real else F.col(column)).alias("v")).where(F.col("v").isNotNull())
     head = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     total = head["n"]
     wanted = sorted({r for r in ranks if 0 <= r < total})
@@ -54,7 +56,11 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> tuple[
         bin_of = None
         for i, (lo, hi) in enumerate(bounds):
             inside = (F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi))
-            share = (F.col("v") - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
+            if real:  # halves, as the width itself may be beyond the largest double
+                width = float(hi) / 2 - float(lo) / 2
+                share = (F.col("v") / 2 - F.lit(float(lo) / 2)) / F.lit(width) if width > 0 else F.when(F.col("v") == F.lit(lo), 0.0).otherwise(1.0)
+            else:
+                share = (F.col("v") - F.lit(lo)).cast("double") / F.lit(float(hi - lo))
             b = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
             which = F.when(inside, i) if which is None else which.when(inside, i)
             bin_of = F.when(inside, b) if bin_of is None else bin_of.when(inside, b)
@@ -80,6 +86,8 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> tuple[
                     else:
                         following[(r["lo"], r["hi"])] = (below, mine)
                 below += r["n"]
+        if any(key in active for key in following):
+            raise ArithmeticError(f"the values of {column} can't be told apart")
         active = following
     return total, [found[r] for r in wanted]
 
@@ -112,9 +120,12 @@ def quantile_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rank_bucket(df: DataFrame, column: str, name: str, prefix: str = "q", n: int = 10) -> DataFrame:
     """`floor((average rank - 1) * n / count)`, clipped, as `{prefix}{i}`.
 
-    Nulls, and columns with at most one distinct value, get bucket 0. The bucket of a
-    value is decided by `n - 1` boundary values, so rows are only mapped.
+    Nulls, NaN and infinities, and columns with at most one distinct finite value, get bucket 0.
+    The bucket of a value is decided by `n - 1` boundary values, so rows are only mapped.
     """
+    kept = column
+    column = "__finite"
+    df = df.withColumn(column, finite(F.col(kept)) if isinstance(df.schema[kept].dataType, (T.DoubleType, T.FloatType)) else F.col(kept))
     total = df.agg(F.count(column)).first()[0]
     # the value at rank ceil(b * total / n) is the only one that can sit on boundary b
     place = {b: -(-b * total // n) for b in range(1, n)}
@@ -130,7 +141,7 @@ def rank_bucket(df: DataFrame, column: str, name: str, prefix: str = "q", n: int
         bucket = bucket + F.when(reached, 1).otherwise(0)
     single = total == 0 or _single_valued(df, column)
     label = F.lit(f"{prefix}0") if single else F.concat(F.lit(prefix), bucket.cast("string"))
-    return df.withColumn(name, F.when(F.col(column).isNull(), F.lit(f"{prefix}0")).otherwise(label))
+    return df.withColumn(name, F.when(F.col(column).isNull(), F.lit(f"{prefix}0")).otherwise(label)).drop(column)
 
 
 def _single_valued(df: DataFrame, column: str) -> bool:

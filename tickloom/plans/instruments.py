@@ -127,7 +127,10 @@ def instrument_table(venue: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def known_slugs(tables: Sequence[DataFrame], source: str, buffer_seconds: int = 3600) -> DataFrame:
-    """Slugs named by source tags plus all slugs of the tables' common time range."""
+    """Slugs named by source tags plus all slugs of the tables' common time range.
+
+    Rows without a receive time (0 or null) have no part in the range.
+    """
     tagged, bounds = [], []
     prefix = f"{source}:"
     for t in tables:
@@ -135,7 +138,7 @@ def known_slugs(tables: Sequence[DataFrame], source: str, buffer_seconds: int =
             name = F.substring(F.col("source"), len(prefix) + 1, 1 << 20)
             tagged.append(t.where(F.startswith("source", F.lit(prefix))).select(name.alias("slug")).where("slug <> ''"))
         if "recv_ns" in t.columns:
-            bounds.append(t.agg(F.min("recv_ns").alias("lo"), F.max("recv_ns").alias("hi")))
+            bounds.append(t.where("recv_ns > 0").agg(F.min("recv_ns").alias("lo"), F.max("recv_ns").alias("hi")))
     ranges = bounds[0]
     for b in bounds[1:]:
         ranges = ranges.unionByName(b)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -22,6 +24,7 @@ from tickloom.operators.ranks import exact_quantiles
 from tickloom.operators.splits import chronological_split, split_ranges
 from tickloom.plans import evaluation
 from tickloom.plans.dataset import BUCKET_FEATURES, feature_columns
+from tickloom.session import cut_lineage
 
 
 class _WinsorParams(Params):
@@ -106,13 +109,13 @@ class ModelSpec:
 BASELINES = {
     "linear_regression": ModelSpec("linear", "regression", {}, True),
     "ridge_regression": ModelSpec("linear", "regression", {"regParam": 1.0, "elasticNetParam": 0.0}, True),
-    "logistic_regression": ModelSpec("logistic", "classification", {"maxIter": 200}, True),
-    "sgd_logistic_classifier": ModelSpec("logistic", "classification", {"maxIter": 50, "regParam": 0.0001}, True),
+    "logistic_regression": ModelSpec("logistic", "classification", {"maxIter": 1000}, True),
+    "sgd_logistic_classifier": ModelSpec("logistic", "classification", {"maxIter": 1000, "regParam": 0.0001}, True),
     "gaussian_nb_classifier": ModelSpec("gaussian_nb", "classification", {}, True),
     "random_forest_classifier": ModelSpec("forest", "classification", {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 50}),
     "random_forest_regressor": ModelSpec("forest", "regression", {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 50}),
-    "boosted_classifier": ModelSpec("boosted", "classification", {"maxIter": 100, "stepSize": 0.03, "maxDepth": 4}),
-    "boosted_regressor": ModelSpec("boosted", "regression", {"maxIter": 100, "stepSize": 0.03, "maxDepth": 4}),
+    "boosted_classifier": ModelSpec("boosted", "classification", {"maxIter": 300, "stepSize": 0.03, "maxDepth": 4}),
+    "boosted_regressor": ModelSpec("boosted", "regression", {"maxIter": 300, "stepSize": 0.03, "maxDepth": 4}),
 }
 
 
@@ -165,7 +168,7 @@ def estimator(spec: ModelSpec, seed: int, weight: str | None):
     if spec.kind == "forest":
         return (RandomForestClassifier if classify else RandomForestRegressor)(seed=seed, **common)
     if spec.kind == "boosted":
-        return (GBTClassifier if classify else GBTRegressor)(seed=seed, **common)
+        return PerClassBoosting(seed=seed, **common) if classify else GBTRegressor(seed=seed, **common)
     raise ValueError(f"unknown model kind {spec.kind!r}")
 
 
@@ -179,6 +182,47 @@ def balanced_weights(df: DataFrame, label: str, name: str = "class_weight") -> D
     return df.withColumn(name, weight)
 
 
+class PerClassModel(Model):
+    """Boosted models of one class against the rest; probabilities are scaled to a sum of one."""
+
+    def __init__(self, models: Sequence[Model]):
+        super().__init__()
+        self.models = list(models)
+
+    @property
+    def featureImportances(self):
+        total = sum(m.featureImportances.toArray() for m in self.models)
+        return Vectors.dense(total / (total.sum() or 1.0))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for i, model in enumerate(self.models):
+            scored = model.setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__g").transform(df)
+            df = scored.withColumn(f"__p{i}", vector_to_array("__p")[1]).drop("__p", "__r", "__g")
+        each = [F.col(f"__p{i}") for i in range(len(self.models))]
+        total = F.greatest(reduce(lambda a, b: a + b, each), F.lit(1e-300))
+        chances = F.array(*[p / total for p in each]) if len(each) > 1 else F.array(F.lit(1.0) - each[0], each[0])
+        best = (F.array_position(chances, F.array_max(chances)) - 1).cast("double")
+        out = df.withColumn("__chances", chances).withColumns({"probability": array_to_vector("__chances"), "prediction": best})
+        return out.drop("__chances", *[f"__p{i}" for i in range(len(self.models))])
+
+
+class PerClassBoosting(Estimator):
+    """Gradient-boosted trees for any number of classes 0, 1, ...: one model for two, else one for each class."""
+
+    def __init__(self, **settings):
+        super().__init__()
+        self.settings = settings
+
+    def _fit(self, df: DataFrame) -> PerClassModel:
+        label = self.settings.get("labelCol", "label")
+        last = int(df.agg(F.max(label)).first()[0] or 0)
+        targets = [1] if last <= 1 else range(last + 1)
+        rows = df.persist()
+        models = [GBTClassifier(**self.settings).fit(rows.withColumn(label, (F.col(label) == F.lit(float(k))).cast("double"))) for k in targets]
+        rows.unpersist()
+        return PerClassModel(models)
+
+
 @dataclass
 class Fitted:
     """A fitted pipeline with what is needed to score and explain it."""
@@ -270,7 +314,7 @@ def train_baselines(
     purge_ms: int = 0, embargo_ms: int = 0, seed: int = 42, weight: str | None = None, winsor: tuple[float, float] | None = None,
 ) -> tuple[dict[str, Fitted], DataFrame, DataFrame]:
     """Fit the named baselines on the training split; returns models, split rows and split ranges."""
-    rows = chronological_split(df, purge_ms=purge_ms, embargo_ms=embargo_ms)
+    rows = cut_lineage(chronological_split(df, purge_ms=purge_ms, embargo_ms=embargo_ms), "split-rows")  # read once for each fit
     train = rows.where("split = 'train'")
     fitted = {}
     for name in models:

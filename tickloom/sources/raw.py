@@ -43,12 +43,16 @@ def flatten_payload(messages: DataFrame) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of all `.jsonl` / `.jsonl.gz` files under `path`, with a stable `seq`.
+    """Messages of all `.jsonl` / `.jsonl.gz` files under `path`, with their place.
 
-    `seq` is the row's place in its file; files are told apart by `file`.
+    (`file`, `block`, `seq`, `part`) is the order of the log: `block` is where the split that
+    holds a line starts in its file, and `seq` grows within a split however splits are packed into tasks.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq")
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
     )
     return flatten_payload(envelope(lines))
 
@@ -126,7 +130,7 @@ def recover_gzip(spark: SparkSession, paths: DataFrame, column: str = "path") ->
                         yield pd.DataFrame(rows, columns=columns)
 
     files = paths.select(F.col(column).alias("path"))
-    spread = files.repartition(max(1, min(files.count(), 10_000)), "path")
+    spread = files.repartitionByRange(max(1, files.count()), "path")
     return spread.mapInPandas(read, "path string, member int, line_no long, value string, complete boolean")
 
 

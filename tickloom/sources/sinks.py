@@ -16,14 +16,14 @@ def write_dated(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_parts(df: DataFrame, path: str, mode: str = "overwrite", files_per_part: int = 1) -> None:
-    """Parquet partitioned by date and market.
+    """Parquet partitioned by date and `market_part`, a folder name made from `market_id`, which stays as it is.
 
     Rows are first brought together per (date, market) and `files_per_part` salts, so that
     a partition is written by few tasks and a hot market still by several.
     """
-    named = df.withColumn("market_id", partition_name(F.col("market_id")))
+    named = df.withColumn("market_part", partition_name(F.col("market_id")))
     salt = F.pmod(F.xxhash64("recv_ns"), F.lit(files_per_part))
-    named.repartition("date", "market_id", salt).write.mode(mode).partitionBy("date", "market_id").parquet(path)
+    named.repartition("date", "market_part", salt).write.mode(mode).partitionBy("date", "market_part").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:

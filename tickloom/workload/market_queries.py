@@ -415,6 +415,24 @@ def rank_query(spark, sf):
     return rank_bucket(m.book(spark, sf).select("seq", "current_spread"), "current_spread", "spread_bucket").select("seq", "spread_bucket")
 
 
+@query(
+    "rank_buckets_nonfinite",
+    with_ctes(
+        BOOK
+        + """, ranked AS (SELECT seq, current_spread AS v,
+             (2 * rank() OVER (ORDER BY current_spread) + count(*) OVER (PARTITION BY current_spread) - 1) / 2.0::DOUBLE AS avg_rank,
+             count(*) OVER () AS total FROM book WHERE seq % 7 > 2)""",
+        f"""SELECT b.seq, CASE WHEN b.seq % 7 > 2 THEN {RANK_BUCKET.format(p='q', c='r.v', n=10)} ELSE 'q0' END AS bucket
+            FROM book b LEFT JOIN ranked r ON r.seq = b.seq""",
+    ),
+)
+def nonfinite_rank_query(spark, sf):
+    """NaN and both infinities among the values get bucket 0 and don't move the others."""
+    rest = F.col("seq") % 7
+    value = F.when(rest == 0, float("nan")).when(rest == 1, float("inf")).when(rest == 2, float("-inf")).otherwise(F.col("current_spread"))
+    return rank_bucket(m.book(spark, sf).select("seq", value.alias("v")), "v", "bucket").select("seq", "bucket")
+
+
 @query(
     "volatility_buckets",
     with_ctes(

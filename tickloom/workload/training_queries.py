@@ -84,11 +84,8 @@ def metrics_query(spark, sf):
     fitted = {}
     for name in ["ridge_regression", "logistic_regression", "random_forest_classifier"]:
         spec = models.BASELINES[name]
-        small = {k: min(v, 10) if k in ("numTrees", "maxIter") else v for k, v in spec.params.items()}
         target = "y_reg_10s" if spec.task == "regression" else "y_cls_10s"
-        fitted[name] = models.fit_model(
-            train, target, models.ModelSpec(spec.kind, spec.task, small, spec.scaled), name, FEATURES, winsor=(0.005, 0.995)
-        )
+        fitted[name] = models.fit_model(train, target, spec, name, FEATURES, winsor=(0.005, 0.995))
     return models.evaluate_models(test, fitted)
 
 
@@ -97,9 +94,8 @@ def model_policy_query(spark, sf):
     """Fill and unwind models scored on validation, policy chosen there, result on test."""
     rows = chronological_split(model_rows(spark, sf))
     train = rows.where("split = 'train'")
-    forest = {"numTrees": 10, "maxDepth": 6, "minInstancesPerNode": 20}
-    fill = models.fit_model(train, "y_two_leg_entry_10s", models.ModelSpec("forest", "classification", forest), "fill", FEATURES)
-    unwind = models.fit_model(train, "first_unwind_profit_proxy_10s", models.ModelSpec("forest", "regression", forest), "unwind", FEATURES)
+    fill = models.fit_model(train, "y_two_leg_entry_10s", models.BASELINES["random_forest_classifier"], "fill", FEATURES)
+    unwind = models.fit_model(train, "first_unwind_profit_proxy_10s", models.BASELINES["random_forest_regressor"], "unwind", FEATURES)
     scored = models.score(models.score(rows.where("split <> 'train'"), fill, "p_fill"), unwind, "pred_unwind_profit")
     scored = cut_lineage(policy.with_expected_profit(scored))
     levels = policy.candidate_thresholds(scored.where("split = 'validation'"), "pred_expected_profit", -0.05, 0.05, 0.01, [10, 50, 100])
@@ -112,5 +108,5 @@ def model_policy_query(spark, sf):
 @query("model_importance")
 def importance_query(spark, sf):
     rows = model_rows(spark, sf)
-    spec = models.ModelSpec("forest", "classification", {"numTrees": 10, "maxDepth": 5})
+    spec = models.BASELINES["random_forest_classifier"]
     return models.feature_importance(models.fit_model(rows, "y_cls_10s", spec, "forest", FEATURES), rows)
