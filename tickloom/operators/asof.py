@@ -124,23 +124,20 @@ def asof_join(
     return asof_lookups(left, left_on, [lookup], by, direction, bucket_width)
 
 
-def has_several(df: DataFrame, column: str) -> bool:
-    """Whether `column` holds at least two distinct non-null values (boundary scalars only)."""
-    row = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    return row["lo"] is not None and row["lo"] != row["hi"]
-
-
 def asof_adaptive(
     left: DataFrame,
     left_on: str,
     lookups: Sequence[Lookup],
     left_key: str,
     right_key: str,
-    probe: DataFrame,
+    keyed: bool = True,
     bucket_width: int | None = None,
 ) -> DataFrame:
-    """Keyed as-of when `probe` holds several keys, un-keyed when it holds one or none."""
-    if has_several(probe, right_key):
+    """As-of by key, or over the whole feed for a feed of one key whose name the left side doesn't know.
+
+    The choice is the caller's and not the data's, so a feed that lacks a key never lends it another's prices.
+    """
+    if keyed:
         keyed = [
             Lookup(k.right, k.on, k.columns, k.tolerance, k.shift, k.seq, k.matched_at, [right_key]) for k in lookups
         ]

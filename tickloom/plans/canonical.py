@@ -171,8 +171,8 @@ def first_non_empty(*frames: DataFrame | None) -> DataFrame | None:
     return last
 
 
-def reference_book(depth_book: DataFrame | None, quotes: DataFrame | None, prefix: str = "ref_") -> DataFrame:
-    """Reference prices from depth and quote rows, with the depth state of up to 2 s ago."""
+def reference_book(depth_book: DataFrame | None, quotes: DataFrame | None, prefix: str = "ref_", keyed: bool = True) -> DataFrame:
+    """Reference prices from depth and quote rows, with the depth state of up to 2 s ago (of the symbol, if `keyed`)."""
     rows = canonical_book(union_relaxed([depth_book, quotes]))
     base = rows.select(
         "recv_ns",
@@ -188,4 +188,4 @@ def reference_book(depth_book: DataFrame | None, quotes: DataFrame | None, prefi
         return base.select("*", *[F.lit(None).cast("double").alias(n) for n in names])
     depth = canonical_book(depth_book)
     lookup = Lookup(depth, "recv_ns", names, 2_000 * NS_PER_MS, seq="seq")
-    return asof_adaptive(base, "recv_ns", [lookup], f"{prefix}symbol", "symbol", depth)
+    return asof_adaptive(base, "recv_ns", [lookup], f"{prefix}symbol", "symbol", keyed)

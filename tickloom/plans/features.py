@@ -189,11 +189,12 @@ def add_reference_features(
     tolerance_ns: int = 500 * NS_PER_MS,
     scale: int = 1,
     slice_width: int = DEFAULT_SLICE_NS,
+    keyed: bool = True,
 ) -> DataFrame:
     """State, age and past returns of the reference feed at each sample.
 
-    The current state and the six past mids are seven lookups of one as-of pass. Keyed
-    by symbol when the feed has several symbols, un-keyed otherwise.
+    The current state and the six past mids are seven lookups of one as-of pass, by symbol
+    unless `keyed` is false.
     """
     state = [f"{prefix}mid", f"{prefix}spread", f"{prefix}book_imbalance", *[f"{prefix}{c}" for c in DEPTH_COLUMNS]]
     labels = {f"{ms}ms": ms * NS_PER_MS * scale for ms in REFERENCE_OFFSETS_MS}
@@ -208,7 +209,7 @@ def add_reference_features(
             feed, "recv_ns", f"{prefix}mid", {f"__past_{k}": v for k, v in labels.items()},
             {f"__past_{k}": min(v // 2, 500 * NS_PER_MS * scale) for k, v in labels.items()}, seq="seq",
         )
-        out = asof_adaptive(samples, "recv_ns", lookups, "symbol", "__symbol", feed)
+        out = asof_adaptive(samples, "recv_ns", lookups, "symbol", "__symbol", keyed)
         out = out.select(
             *[c for c in out.columns if not c.startswith("__")],
             ((F.col("recv_ns") - F.col("__ref_ns")) / F.lit(NS_PER_MS)).alias(f"{prefix}age_ms"),
@@ -219,7 +220,7 @@ def add_reference_features(
         return out.withColumn(imbalance, F.lit(None).cast("double"))
     table = reference_trade_imbalance(trades, imbalance, slice_width)
     lookup = Lookup(table, "recv_ns", {imbalance: imbalance}, tolerance_ns, seq="seq")
-    return asof_adaptive(out, "recv_ns", [lookup], "symbol", "symbol", table)
+    return asof_adaptive(out, "recv_ns", [lookup], "symbol", "symbol", keyed)
 
 
 def own_returns(samples: DataFrame, prefix: str = "", ref_prefix: str = "ref_", scale: int = 1) -> DataFrame:

@@ -25,7 +25,10 @@ def windowed_gate_counts(flagged: DataFrame, interval: str = "1 minute", waterma
 
 
 class LifecycleProcessor(StatefulProcessor):
-    """Announces an instrument once and retires it `grace_ns` after its expiry."""
+    """Announces an instrument once and retires it `grace_ns` after its expiry.
+
+    Events after that end never announce, so the state can go with the timer. A later expiry moves the end.
+    """
 
     def __init__(self, grace_ns: int):
         self.grace_ns = grace_ns
@@ -38,12 +41,19 @@ class LifecycleProcessor(StatefulProcessor):
         import pandas as pd
 
         frame = pd.concat(list(rows), ignore_index=True)
-        if self.expiry.exists() or frame.empty:
+        frame = frame[frame["recv_ns"] <= frame["expiry_ns"] + self.grace_ns]
+        if frame.empty:
             return
         market, expiry = frame["market_id"].iloc[0], int(frame["expiry_ns"].max())
+        if self.expiry.exists():
+            market, before = self.expiry.get()
+            if expiry <= before:
+                return
+            self.handle.deleteTimer((before + self.grace_ns) // NS_PER_MS)
+        else:
+            yield self._row(key[0], market, "active", expiry)
         self.expiry.update((market, expiry))
         self.handle.registerTimer((expiry + self.grace_ns) // NS_PER_MS)
-        yield self._row(key[0], market, "active", expiry)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.expiry.exists():

@@ -163,7 +163,23 @@ def asof_adaptive_query(spark, sf):
     feed = m.reference_rows(spark, sf)
     lookup = Lookup(feed, "recv_ns", {"ref_mid": "ref_mid"}, HOUR // 2, seq="seq")
     left = m.book(spark, sf).select("asset_id", "symbol", *TIME)
-    return asof_adaptive(left, "recv_ns", [lookup], "symbol", "symbol", feed).select("asset_id", "seq", "ref_mid")
+    return asof_adaptive(left, "recv_ns", [lookup], "symbol", "symbol", keyed=False).select("asset_id", "seq", "ref_mid")
+
+
+@query(
+    "asof_by_symbol",
+    with_ctes(
+        BOOK + REFERENCE,
+        f"""SELECT s.asset_id, s.seq, arg_max(r.ref_mid, r.recv_ns) AS ref_mid
+            FROM book s LEFT JOIN ref r ON r.recv_ns <= s.recv_ns AND r.recv_ns >= s.recv_ns - {HOUR // 2} AND s.seq % 3 = r.seq % 2 GROUP BY ALL""",
+    ),
+)
+def asof_symbol_query(spark, sf):
+    """Three symbols asked for, two of them in the feed: the third gets nothing."""
+    feed = m.reference_rows(spark, sf).withColumn("symbol", (F.col("seq") % 2).cast("string"))
+    lookup = Lookup(feed, "recv_ns", {"ref_mid": "ref_mid"}, HOUR // 2, seq="seq")
+    left = m.book(spark, sf).withColumn("symbol", (F.col("seq") % 3).cast("string")).select("asset_id", "symbol", *TIME)
+    return asof_adaptive(left, "recv_ns", [lookup], "symbol", "symbol").select("asset_id", "seq", "ref_mid")
 
 
 def past(o: int) -> str:

@@ -168,10 +168,17 @@ def totals_stream(spark, sf):
 
 @query(
     "stream_lifecycle",
-    with_ctes(TICKS, "SELECT DISTINCT asset_id, s AS state FROM ticks, (SELECT unnest(['active', 'expired']) AS s)"),
+    with_ctes(
+        TICKS,
+        f"""SELECT asset_id, unnest(CASE WHEN ends <= (SELECT max(recv_ns) FROM ticks) - {2 * NS_PER_SECOND} THEN ['active', 'expired'] ELSE ['active'] END) AS state
+            FROM (SELECT asset_id, recv_ns, {1_704_067_200 * NS_PER_SECOND} + CAST(substr(asset_id, 2) AS BIGINT) % 40 * {24 * HOUR} + {5 * NS_PER_SECOND} AS ends FROM ticks)
+            WHERE recv_ns <= ends GROUP BY asset_id, ends""",
+    ),
 )
 def lifecycle_stream(spark, sf):
-    t = m.ticks(_Streamed(spark), sf).withColumn("expiry_ns", F.lit(1_704_067_200 * NS_PER_SECOND + 24 * HOUR))
+    """Expiries spread over days: assets seen only after their end never appear, the last ones are still running."""
+    expiry = F.lit(1_704_067_200 * NS_PER_SECOND) + F.substring("asset_id", 2, 9).cast("long") % 40 * F.lit(24 * HOUR)
+    t = m.ticks(_Streamed(spark), sf).withColumn("expiry_ns", expiry)
     return run_to_table(lifecycle(t), "lifecycle").select("asset_id", "state")
 
 
