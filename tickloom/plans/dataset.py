@@ -19,7 +19,7 @@ from tickloom.session import cut_lineage
 
 @dataclass
 class DatasetConfig:
-    """Parameters of the training table. `scale` stretches every duration."""
+    """Parameters of the training table, with fixed values as defaults. `scale` stretches every duration."""
 
     sample_interval_ms: int = 100
     horizon_seconds: int = 10
@@ -85,17 +85,25 @@ NOT_FEATURES = {
 BUCKET_FEATURES = ["imbalance_bucket", "spread_bucket", "price_bucket", "vol_bucket"]
 
 
+def column_role(column: T.StructField) -> str:
+    """What a column of the training table is: bucket, key, label, number or other."""
+    if column.name in BUCKET_FEATURES:
+        return "bucket"
+    if column.name in NOT_FEATURES or column.name.startswith("date"):
+        return "key"
+    if column.name.startswith(LABEL_PREFIXES):
+        return "label"
+    fractional_or_whole = isinstance(column.dataType, (T.FractionalType, T.IntegralType)) and not isinstance(column.dataType, T.DecimalType)
+    return "number" if fractional_or_whole else "other"
+
+
 def feature_columns(schema: T.StructType) -> list[str]:
-    """Numeric columns that are neither ids nor labels, plus the bucket columns."""
-    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
-    names = [
-        f.name
-        for f in schema
-        if isinstance(f.dataType, numeric)
-        and f.name not in NOT_FEATURES
-        and not f.name.startswith((*LABEL_PREFIXES, "date"))
-    ]
-    return names + [c for c in BUCKET_FEATURES if c in schema.names and c not in names]
+    """The numbers of a training table in their order, then its buckets."""
+    by_role: dict[str, list[str]] = {}
+    for column in schema:
+        by_role.setdefault(column_role(column), []).append(column.name)
+    buckets = by_role.get("bucket", [])
+    return by_role.get("number", []) + [c for c in BUCKET_FEATURES if c in buckets]
 
 
 def label_columns(schema: T.StructType) -> list[str]:
