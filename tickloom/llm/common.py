@@ -65,4 +65,7 @@ def salted(*columns: str) -> Column:
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's; rows go to Python in batches of bounded size from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ corpus is cut so that every such string meets its copies, and only there an inde
 2. Segments are counted by the anchor's hash; most anchors occur once and end here.
 3. Equal segments are counted before anything is shipped. All windows of a segment that occurs
    twice are repeats, however often it occurs.
-4. The distinct segments of an anchor with several are indexed, a few MB of anchors at a time:
+4. The distinct segments of an anchor with several are indexed, about half a MB of text at a time:
    the run-compressed Burrows-Wheeler transform of the segments with suffix positions sampled at
    both ends of each run. The longest match of each position with its neighbours in suffix
    order shrinks by one from position to position except at samples, so matching statistics
@@ -44,8 +44,8 @@ from tickloom.llm.common import mix, payload
 from tickloom.session import cut_lineage
 
 LENGTH, ANCHOR = 200, 32
-STEP = 1 << 20  # windows hashed at a time
-INDEX_SEGMENTS = 6000  # segments in one index
+STEP = 1 << 18  # windows hashed at a time
+INDEX_SEGMENTS = 2000  # segments in one index
 U = np.uint64
 
 
