@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import mix, texts
 from tickloom.llm.components import connected
-from tickloom.llm.shingles import Shingles, same_size, signature
+from tickloom.llm.shingles import same_size, shingle_sets, signature
 from tickloom.session import cut_lineage
 
 FREQUENT = 32  # documents from which a token counts as frequent
@@ -87,16 +87,16 @@ def frequent_tokens(docs: DataFrame, words: int, least: int, most: int) -> np.nd
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, held, size = Shingles(words), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(make.of(text.as_buffer()))
-                size += len(held[-1])
+            for tokens in shingle_sets(batch.column("text"), words):
+                held.append(tokens)
+                size += len(tokens)
                 if size > 4_000_000:
                     yield flush()
                     held, size = [], 0
@@ -114,18 +114,15 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, words, least, most))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(words)
         for batch in batches:
-            sets = [make.of(x.as_buffer()) for x in batch.column("text")]
-            cells = [pa.array([signature(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+            sets = [(signature(x), len(x)) for x in shingle_sets(batch.column("text"), words)]
+            cells = [pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], ["doc_id", "node", "n_shingles"])
 
     def write_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(words)
         for batch in batches:
             seen, keys, nodes, size = set(), [], [], 0
-            for text in batch.column("text"):
-                tokens = make.of(text.as_buffer())
+            for tokens in shingle_sets(batch.column("text"), words):
                 node = signature(tokens)
                 if node in seen:
                     continue
@@ -140,11 +137,10 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes)], ["key", "node"])
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, squeeze = Shingles(words), zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             rows: dict[int, tuple] = {}
-            for text in batch.column("text"):
-                tokens = make.of(text.as_buffer())
+            for text, tokens in zip(batch.column("text"), shingle_sets(batch.column("text"), words), strict=True):
                 node = signature(tokens)
                 if node not in rows:
                     rows[node] = (node, len(tokens), squeeze(text.as_buffer()))
@@ -152,16 +148,20 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "z"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, expand = Shingles(words), zstandard.ZstdDecompressor().decompress
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            last, left, keep = None, None, []
-            for a, za, zb in zip(batch.column("a").to_pylist(), batch.column("za"), batch.column("zb"), strict=True):
-                if a != last:
-                    last, left = a, make.of(expand(za.as_buffer()))
-                right = make.of(expand(zb.as_buffer()))
-                both = same_size(left, right)
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                a = part.column("a").to_pylist()
+                new = [i for i, x in enumerate(a) if not i or x != a[i - 1]]
+                left = shingle_sets(pa.array([expand(part.column("za")[i].as_buffer()) for i in new], pa.binary()), words)
+                right = shingle_sets(pa.array([expand(x.as_buffer()) for x in part.column("zb")], pa.binary()), words)
+                keep, own = [], None
+                for i, other in enumerate(right):
+                    if not i or a[i] != a[i - 1]:
+                        own = next(left)
+                    both = same_size(own, other)
+                    keep.append(100 * both >= percent * (len(own) + len(other) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     nodes = cut_lineage(docs.mapInArrow(describe, "doc_id long, node long, n_shingles long"), "nodes")
     keys = docs.mapInArrow(write_keys, "key long, node long")
