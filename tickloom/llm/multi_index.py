@@ -62,7 +62,7 @@ def visits(near_left: np.ndarray, near_right: np.ndarray, counts: np.ndarray, wa
                 heapq.heappush(heap, (near_left[left[a]] + near_right[right[b]], a, b))
 
 
-def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, share: float = 0.1, least: int = 1000, sample: int = 8192, most_codes: int = 256, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, share: float = 0.5, least: int = 1000, sample: int = 8192, most_codes: int = 256, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for every row whose number is divisible by `every`."""
     vector = F.col(vector_col).cast("array<double>")
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"))
@@ -71,7 +71,7 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, share: float =
     n, asked, dim = kinds.agg(F.count("*"), F.count(F.when(F.col("asked"), 1)), F.max(F.size("v"))).first()
     if not asked:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, middle = min(most_codes, max(2, int(np.ceil(np.sqrt(n / 32))))), dim - dim // 2
+    size, middle = min(most_codes, max(2, int(np.ceil(np.sqrt(n) / 2)))), dim - dim // 2
     drawn = matrix(kinds.orderBy("h1", "h2").limit(sample).select("v").toArrow().column(0), dim, np.float64)
     left, right = codebook(drawn[:, :middle], size), codebook(drawn[:, middle:], size)
 
@@ -103,37 +103,34 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, share: float =
         for batch in batches:
             x = matrix(batch.column("v"), dim, np.float64)
             near_left, near_right = distances(x[:, :middle], left), distances(x[:, middle:], right)
-            who, place = [], []
+            who, bucket, places = [], [], []
             for i in range(len(x)):
-                for a, b in visits(near_left[i], near_right[i], counts, wanted):
-                    cell = a * len(right) + b
-                    spots = range(int(first[cell]), int(first[cell] + blocks[cell]))
-                    place += spots
-                    who += [i] * len(spots)
-            place, part = np.array(place, np.int64), batch.take(pa.array(who, pa.int64()))
+                cells = np.array([a * len(right) + b for a, b in visits(near_left[i], near_right[i], counts, wanted)])
+                count = blocks[cells]
+                place = np.repeat(first[cells] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                place = place[np.argsort(place % buckets, kind="stable")]
+                met, at = np.unique(place % buckets, return_index=True)
+                who += [i] * len(met)
+                bucket += met.tolist()
+                places += np.split(place, at[1:])
+            part = batch.take(pa.array(who, pa.int64()))
             chunk = part.column("h2").to_numpy().view(np.uint64) % np.uint64(chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(place % buckets), pa.array(chunk.astype(np.int64)), pa.array(place), *[part.column(c) for c in ("h1", "h2", "v")]], ["bucket", "chunk", "place", "h1", "h2", "v"])
+            cells = [pa.array(bucket, pa.int64()), pa.array(chunk.astype(np.int64)), pa.array(places, pa.list_(pa.int64())), *[part.column(c) for c in ("h1", "h2", "v")]]
+            yield pa.RecordBatch.from_arrays(cells, ["bucket", "chunk", "places", "h1", "h2", "v"])
 
     def solve(data: pa.Table, queries: pa.Table) -> pa.Table:
         x, q = matrix(data.column("v"), dim, np.float64), matrix(queries.column("v"), dim, np.float64)
         ids = data.column("ids").to_pylist()
-        held = data.column("place").to_numpy()
-        order = np.argsort(held, kind="stable")
-        places, h1, h2 = (queries.column(c).to_numpy() for c in ("place", "h1", "h2"))
-        low, high = np.searchsorted(held[order], places, "left"), np.searchsorted(held[order], places, "right")
-        mine: dict[tuple[int, int], list[int]] = {}
-        for i in range(len(q)):
-            mine.setdefault((int(h1[i]), int(h2[i])), []).append(i)
-        out = []
-        for (a, b), visited in mine.items():
-            spots = np.concatenate([order[low[i] : high[i]] for i in visited])
-            score = np.sqrt(((x[spots] - q[visited[0]]) ** 2).sum(1))
-            out += [(a, b, v, s) for v, s in best([ids[i] for i in spots.tolist()], score, k + 1, True)]
+        held, out = data.column("place").to_numpy(), []
+        for i, (a, b, places) in enumerate(zip(*[queries.column(c).to_pylist() for c in ("h1", "h2", "places")])):
+            spots = np.flatnonzero(np.isin(held, places))
+            score = np.sqrt(((x[spots] - q[i]) ** 2).sum(1))
+            out += [(a, b, v, s) for v, s in best([ids[j] for j in spots.tolist()], score, k + 1, True)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], ["h1", "h2", "vec_id", "score"])
 
     dealt = entries.select("h1", "cell", "v", "ids").mapInArrow(deal, "bucket long, chunk long, place long, v array<double>, ids array<long>")
-    probes = entries.where("asked").select("h1", "h2", "v").mapInArrow(probe, "bucket long, chunk long, place long, h1 long, h2 long, v array<double>")
+    probes = entries.where("asked").select("h1", "h2", "v").mapInArrow(probe, "bucket long, chunk long, places array<long>, h1 long, h2 long, v array<double>")
     found = dealt.groupBy("bucket", "chunk").cogroup(probes.groupBy("bucket", "chunk")).applyInArrow(solve, FOUND.format(kind="double"))
     return ranked(rows, found, every, k, F.col("score").asc())
 
