@@ -154,7 +154,8 @@ def edited_counts(docs: DataFrame, edits: DataFrame, file: str = "byte_bpe_50k.j
 
 def sample_edits(docs: DataFrame) -> DataFrame:
     """Three edits of every document, placed by a hash of its number: a word put in, a stretch replaced, one removed."""
-    place = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.length("text"), F.lit(1)))
+    docs = docs.where("doc_id is not null").select("doc_id", "source", "lang", F.length("text").alias("n")).dropDuplicates(["doc_id"])
+    place = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest("n", F.lit(1)))
     kinds = [(0, place(0), 0, F.concat(F.lit(" "), F.coalesce("source", F.lit("source")), F.lit(" "))), (1, place(1), 12, F.coalesce("lang", F.lit(""))), (2, place(2), 30, F.lit(""))]
     array = F.array(*[F.struct(F.lit(k).alias("seq"), p.alias("place"), F.lit(n).alias("removed"), a.alias("added")) for k, p, n, a in kinds])
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.explode(array).alias("e")).select("doc_id", "e.*")
+    return docs.select("doc_id", F.explode(array).alias("e")).select("doc_id", "e.*")

@@ -66,7 +66,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Pieces:
     """A model: pieces by id, and the segmentation of texts. `most` bounds the words remembered."""
 
-    def __init__(self, file: str, most: int = 500_000):
+    def __init__(self, file: str, most: int = 1_500_000):
         import public_tokenizers
 
         path = file if os.path.isabs(file) else public_tokenizers.path(file)
