@@ -56,11 +56,11 @@ def corpus(seed):
     return [*enumerate(out), (900, None), (901, ""), (None, out[-1]), (None, "nobody else"), (5, out[5])]
 
 
-@pytest.mark.parametrize(("seed", "least", "most"), [(1, 32, 1 << 20), (2, 3, 1 << 20), (3, 2, 50)])
-def test_against_brute_force(docs_of, seed, least, most):
+@pytest.mark.parametrize(("seed", "least", "most", "tile"), [(1, 32, 1 << 20, 256), (2, 3, 1 << 20, 8), (3, 2, 50, 13)])
+def test_against_brute_force(docs_of, seed, least, most, tile):
     rows = corpus(seed)
     docs = docs_of(rows, ["1 as key", "2 as node", "3 as component_id"])
-    found = sorted((tuple(r) for r in linked_components(docs, least=least, most=most).collect()), key=str)
+    found = sorted((tuple(r) for r in linked_components(docs, least=least, most=most, tile=tile).collect()), key=str)
     assert found == brute(rows, 80)
 
 

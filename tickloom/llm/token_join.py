@@ -16,9 +16,9 @@ they share a token among the first size - t + 1, and m tokens among the first si
   size of the smaller set in powers of two; a set writes keys for each power that a partner may have.
 
 Every candidate pair thus shares a key. Sets that share a key are first compared with the least
-one of the key only and linked documents are merged; then only pairs of a key that still belong to
-different components are compared. So a large group of near copies costs a comparison each, not
-one for each pair, and no link between components is lost. Comparisons recompute whole sets.
+one of the key only, and linked sets are merged. Pairs still open have such a least one in common, too: its
+group, if it holds several components, is cut into blocks, and blocks are compared pairwise in memory. Only
+links that merge components leave a task, so no pairs are written out, and no link between components is lost.
 
 Cases: null or empty texts and texts without words have no shingles and are linked with nothing;
 repeated rows are copies; a document without a number has its group's smallest number, or none;
@@ -41,6 +41,7 @@ from tickloom.llm.shingles import same_size, shingle_sets, signature
 from tickloom.session import cut_lineage
 
 FREQUENT = 32  # documents from which a token counts as frequent
+TILE = 256  # sets of a block that are compared with those of another at once
 MOST_FREQUENT = 1 << 20  # frequent tokens known to all tasks (8 MB); the rest stay in the rare class
 U = np.uint64
 
@@ -108,7 +109,57 @@ def frequent_tokens(docs: DataFrame, words: int, least: int, most: int) -> np.nd
     return np.sort(top.toArrow().column(0).to_numpy().view(U))
 
 
-def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least: int = FREQUENT, most: int = MOST_FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets, by products of 0-1 matrices a few thousand tokens wide."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[token] > 1
+    owner, token = owner[several], (np.cumsum(count > 1) - 1)[token[several]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        a, b = np.searchsorted(token, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], token[a:b] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def links_between(sets: list[np.ndarray], components: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join different components, as few as join them all."""
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) > 12:
+        both, mine = shared_sizes(sets), np.array(components)
+        close = 100 * both >= percent * (sizes[:, None] + sizes - both)
+        pairs = zip(*[x.tolist() for x in np.nonzero(np.triu(close & (mine[:, None] != mine), 1))])
+    else:
+        pairs = ((i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)))
+    out = []
+    for i, j in pairs:
+        a, b = root(components[i]), root(components[j])
+        if a == b:
+            continue
+        if len(sets) <= 12:
+            n, m = int(sizes[i]), int(sizes[j])
+            if 100 * min(n, m) < percent * max(n, m):
+                continue
+            shared = same_size(sets[i], sets[j])
+            if 100 * shared < percent * (n + m - shared):
+                continue
+        parent[max(a, b)] = min(a, b)
+        out.append((i, j))
+    return out
+
+
+def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least: int = FREQUENT, most: int = MOST_FREQUENT, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = texts(docs, id_col, text_col)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, words, least, most))
@@ -180,14 +231,46 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
         both = sized.join(right.select("b", "zb"), "b").join(left.select("a", "za"), "a").sortWithinPartitions("a")
         return cut_lineage(both.mapInArrow(similar, "a long, b long"), purpose)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between components within each tile; rows of a tile follow one another and are bounded in number."""
+        expand = zstandard.ZstdDecompressor().decompress
+        held, names = [], []
+
+        def solve(upto: int) -> pa.RecordBatch:
+            rows, tiles = held[:upto], names[:upto]
+            del held[:upto], names[:upto]
+            sets = list(shingle_sets(pa.array([expand(z) for _, _, z in rows], pa.binary()), words))
+            links = []
+            start = 0
+            for end in range(1, upto + 1):
+                if end == upto or tiles[end] != tiles[start]:
+                    found = links_between(sets[start:end], [c for _, c, _ in rows[start:end]], percent)
+                    links += [(rows[start + i][0], rows[start + j][0]) for i, j in found]
+                    start = end
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else [(), ()])], ["a", "b"])
+
+        for batch in batches:
+            names += zip(*[batch.column(c).to_pylist() for c in ("pivot", "left", "right")])
+            held += zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), [z.as_py() for z in batch.column("z")])
+            upto = len(names)
+            while upto and names[upto - 1] == names[-1]:
+                upto -= 1  # the last tile may go on
+            if upto:
+                yield solve(upto)
+        if names:
+            yield solve(len(names))
+
     links = verified(first, "links")
     found = connected(links)
-    placed = keys.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_keys = cut_lineage(placed.join(apart, "key"), "open-keys")
-    left, right = open_keys.toDF("key", "a", "ca"), open_keys.toDF("key", "b", "cb")
-    rest = left.join(right, "key").where("a < b and ca != cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(cut_lineage(rest, "pairs"), "links")
+    # sets that share a key share its least one, so groups of that one hold all pairs that are left
+    placed = first.toDF("pivot", "node").join(found, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("component"))
+    groups = placed.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x < y")
+    open_groups = placed.join(groups.select("pivot", F.ceil(F.col("size") / tile).cast("int").alias("blocks")), "pivot")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiled = open_groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("pivot", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "node", "component")
+    tiled = tiled.join(sets.select("node", "z"), "node").repartition("pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
+    more = cut_lineage(tiled.mapInArrow(compare, "a long, b long"), "links")
 
     found = connected(links.union(more))
     own = nodes.where("n_shingles > 0")
@@ -198,10 +281,10 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component, that of its smallest number; all columns stay.
+    """`docs` with the document of smallest number of each component; all columns stay.
 
-    Rows with equal numbers and texts are copies as well, and one of them is kept; rows without a number stay if
-    nobody in their component has one, as do rows without words.
+    Rows without words stay. Rows with one number stay or go together; rows without a number stay unless each of
+    them is linked with a numbered one.
     """
     name = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     linked = linked_components(docs, words, percent, id_col=id_col, text_col=text_col)
