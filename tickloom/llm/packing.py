@@ -4,8 +4,8 @@ Documents longer than a sequence are cut into full pieces, the rest in front. Fu
 are sequences by themselves. Shorter ones are dealt at random into blocks of about
 `block_items`; a block is packed by best fit, largest first, and improved: a bin gives items
 to other bins by moves, one-for-one and two-for-one exchanges, each of which raises the sum of
-squared fills, until bins are empty. A block ends at most one bin above what its lengths need,
-or where no exchange helps.
+squared fills, until bins are empty. A block ends where no bin can be spared, or where no exchange helps the
+bins that are least filled.
 
 Cases: a null text is empty (the end id alone); repeated rows are packed as often as they
 occur; an empty table gives no rows; pieces of one document may be in different sequences.
@@ -13,7 +13,6 @@ occur; an empty table gives no rows; pieces of one document may be in different
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,6 +26,8 @@ from tickloom.llm.common import rows_of, texts
 from tickloom.llm.encoders import LEADING, encoder
 from tickloom.session import cut_lineage
 
+ROOMY, PATIENCE = 64, 64  # bins looked at first in any case; bins that may fail in a row
+
 
 class Bins:
     """Bins of one block. `items[b]` are the (length, item) pairs of bin b, ascending."""
@@ -99,17 +100,36 @@ class Bins:
         self.move(a, b, list(change[0]), list(change[1]))
         return True
 
+    def partners(self, a: int, live: set[int]) -> list[int]:
+        """Bins with which an exchange of a may help, most free places first.
+
+        An item, or two, of a must fit in place of an item of the other bin or in its free places; where
+        a would get two items for one, only the `ROOMY` bins with most free places are looked at.
+        """
+        others = np.array([b for b in live if b != a and self.fill[b] < self.size], np.int64)
+        if not len(others):
+            return []
+        room = self.size - np.array([self.fill[b] for b in others.tolist()])
+        lengths = np.array([x[0] for x in self.items[a]])
+        sums = np.unique(np.concatenate([lengths, *[lengths[:i] + lengths[i] for i in range(1, len(lengths))]]))
+        upto = np.searchsorted(sums, np.arange(self.size + 1), side="right")  # how many sums are at most so long
+        count = [len(self.items[b]) for b in others.tolist()]
+        owner = np.repeat(np.arange(len(others)), count)
+        held = np.array([x[0] for b in others.tolist() for x in self.items[b]], np.int64)
+        useful = np.bincount(owner, upto[np.minimum(held + room[owner], self.size)] > upto[held], len(others)) > 0
+        useful |= room >= lengths[0]
+        order = np.argsort(-room, kind="stable")
+        useful[order[:ROOMY]] = True
+        return others[order[useful[order]]].tolist()
+
     def improve(self) -> None:
-        """Empty bins, the least filled first, until no exchange helps or no bin can be spared."""
+        """Empty bins, the least filled first, until no bin can be spared or none of the next ones gives way."""
         live = {b for b, n in enumerate(self.fill) if n}
         stuck: set[int] = set()
-        while len(live) > self.needed and live - stuck:
+        while len(live) > self.needed and live - stuck and len(stuck) < PATIENCE:
             a = min(live - stuck, key=lambda b: (self.fill[b], b))
             changed = False
-            roomy = [(-self.size + self.fill[b], b) for b in live if b != a and self.fill[b] < self.size]
-            heapq.heapify(roomy)
-            while roomy and self.fill[a]:
-                _, b = heapq.heappop(roomy)
+            for b in self.partners(a, live):
                 while self.fill[a] and self.exchange(a, b):
                     changed = True
             if not self.fill[a]:
