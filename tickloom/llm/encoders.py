@@ -17,6 +17,7 @@ import numpy as np
 DROPPED, LEADING = "dropped", "leading"
 DOUBLE = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ".,;:!?%&$*#"
 
 
 def chunks_without_space(text: str) -> list[str]:
@@ -24,12 +25,23 @@ def chunks_without_space(text: str) -> list[str]:
 
 
 def chunks_with_space(text: str) -> list[str]:
-    """Chunks whose concatenation is the text; all but the first start with a space."""
+    """Chunks whose concatenation is the text. A single line end between two characters is one as well."""
     if DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
         head, *rest = SINGLE.split(text)
-    else:
-        head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+        return [head, *[" " + x for x in rest]]
+    head, *rest = text.split(" ")
+    if "\n" not in text:
+        return [head, *[" " + x for x in rest]]
+    out = []
+    for x in [head, *[" " + x for x in rest]]:
+        if "\n" in x:
+            first, *more = x.split("\n")
+            out.append(first)
+            for y in more:
+                out += ("\n", y)
+        else:
+            out.append(x)
+    return out
 
 
 class Encoder:
@@ -38,19 +50,60 @@ class Encoder:
     `most` bounds the chunks that are remembered; when it is reached, the memory starts anew.
     """
 
-    def __init__(self, file: str, spaces: str, most: int = 500_000):
+    def __init__(self, file: str, spaces: str, most: int = 1_500_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
-        self.cut = chunks_without_space if spaces == DROPPED else chunks_with_space
+        self.leading = spaces == LEADING
+        self.cut = chunks_with_space if self.leading else chunks_without_space
+        # tokens that start a word with its space, or that end a word
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.edge = np.zeros(names[-1][1] + 1, bool)
+        for name, i in names:
+            self.edge[i] = name.startswith("\u0120") if self.leading else name.endswith("</w>")
+        # whether the tokenizer sees no difference between A-Z and a-z
+        same = [x.ids for x in self.tokenizer.encode_batch(["QWERTYuiopASDFghjklZXCVBnm", "qwertyuiopasdfghjklzxcvbnm"], add_special_tokens=False)]
+        self.folds = same[0] == same[1]
         self.most, self.known = most, {"": b""}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known = {"": b""}
-        new = list(chunks - self.known.keys())
+        """Ids of chunks not met before; letters and the marks behind them are tokens apart."""
+        known = self.known
+        if len(known) > self.most:
+            known = self.known = {"": b""}
+        new = [x for x in chunks if x not in known]
+        whole, parts = set(), []
+        for chunk in new:
+            core = chunk.rstrip(MARKS)
+            letters = core[1:] if self.leading and core[:1] == " " else core
+            if not letters.isalpha():
+                whole.add(chunk)
+                continue
+            name = core.lower() if self.folds and core.isascii() else core
+            parts.append((chunk, name, chunk[len(core) :]))
+            whole.update((name, parts[-1][2]))
+        whole = [x for x in whole if x not in known]
+        words = [x for x in whole if (x[1:] if self.leading else x).isalpha() and (x[0] == " ") == self.leading]
+        self.encode_words(words)
+        self.encode_whole([x for x in whole if x not in known])
+        for chunk, name, marks in parts:
+            known[chunk] = known[name] + known[marks]
+
+    def encode_words(self, words: list[str]) -> None:
+        """Words of letters, many in one text: a token that starts (or ends) a word tells where each begins."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            code = self.tokenizer.encode_batch_fast([("" if self.leading else " ").join(part)], add_special_tokens=False)
+            ids = np.array(code[0].ids, dtype="<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            edges = np.append(edges, len(ids)) if self.leading else np.append(0, edges + 1)
+            if len(edges) == len(part) + 1 and edges[0] == 0 and edges[-1] == len(ids):
+                data, edges = ids.tobytes(), (4 * edges).tolist()
+                self.known.update((x, data[a:b]) for x, a, b in zip(part, edges, edges[1:]))
+
+    def encode_whole(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):

@@ -139,11 +139,11 @@ def write_token_files(docs: DataFrame, path: str, file: str, spaces: str = DROPP
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list = []
         codes: list[np.ndarray] = []
-        held, number = 0, 0
+        held, before = 0, 0
 
         def close() -> pa.RecordBatch:
             block = Block.of(names, codes)
-            return pa.RecordBatch.from_pydict({"block": [number], "n_docs": [len(block)], "n_ids": [held], "payload": [block.to_bytes()]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"start": [before], "n_docs": [len(block)], "n_ids": [held], "payload": [block.to_bytes()]}, schema=schema)
 
         encode = encoder(file, spaces).encode
         for ids, values in rows_of(batches, 4 << 20, "doc_id", "text"):
@@ -153,27 +153,28 @@ def write_token_files(docs: DataFrame, path: str, file: str, spaces: str = DROPP
                 held += len(codes[-1])
                 if held >= block_ids:
                     yield close()
-                    names, codes, held, number = [], [], 0, number + 1
+                    names, codes, held, before = [], [], 0, before + held
         if names:
             yield close()
 
-    schema = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
-    ordered = texts(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    out = ordered.mapInArrow(blocks, "block long, n_docs long, n_ids long, payload binary")
+    schema = pa.schema([("start", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
+    # rows with one number (or none) are ordered by a hash of their text, which also parts a large group of them
+    rows = texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, "start long, n_docs long, n_ids long, payload binary")
     out.select(F.spark_partition_id().alias("shard"), "*").write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the shards.
 
-    Only one row for each shard meets in one task, to add up where shards start.
+    A block knows its start within its shard. Only one row for each shard, of which there are as
+    many as shuffle partitions, meets in one task and is broadcast, to add up where shards start.
     """
-    blocks = spark.read.schema("shard int, block long, n_docs long, n_ids long, payload binary").parquet(path)
+    blocks = spark.read.schema("shard int, start long, n_docs long, n_ids long, payload binary").parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_start")).join(shards, "shard")
-    placed = blocks.select("shard", "block", "payload").join(starts.select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("start")), ["shard", "block"]).select("start", "payload")
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = blocks.join(F.broadcast(shards), "shard").select((F.col("first") + F.col("start")).alias("start"), "payload")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
