@@ -154,7 +154,7 @@ WITH raw AS (
 ), lines AS (
   SELECT doc_id, unnest(range(len(al))) AS line, unnest(al) AS value FROM raw
 ), w AS (
-  SELECT doc_id, line, list_filter(string_split_regex(value, '[ \\t\\x0B\\f\\r]+'), x -> x <> '') AS words FROM lines
+  SELECT doc_id, line, list_filter(string_split_regex(value, '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM lines
 ), l AS (
   SELECT doc_id, line, words FROM w WHERE len(words) >= 3
 ), d AS (
