@@ -86,7 +86,9 @@ class Chain:
         """
         named = labels.select(F.col(id_col).alias("name"), *[F.col(c).cast("double").alias(c) for c in self.categories]).dropna().dropDuplicates(["name"])
         chosen = named.orderBy(F.xxhash64("name"), "name").limit(self.sample)
-        texts = docs.select(F.col(id_col).alias("name"), words_in(F.col(text_col)).alias("words")).join(chosen, "name")
+        # the sample is bounded, so texts stay where they are and only its rows are cut into words
+        texts = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "name")
+        texts = texts.withColumn("words", words_in(F.col("text"))).drop("text")
         rows = cut_lineage(texts.withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "name"), F.lit(self.folds))), "chain").coalesce(8)
         for k, category in enumerate(self.categories):
             rows.persist()
