@@ -78,3 +78,15 @@ def test_few_rows(spark):
         assert search(frame(spark, [(0, [1.0, 2.0])])).count() == 0
         two = search(frame(spark, [(0, [1.0, 2.0]), (7, [1.0, 3.0, 1.0])])).collect()
         assert [(r.query_id, r["rank"], r.vec_id) for r in two] == [(0, 1, 7)]
+
+
+@pytest.mark.parametrize(("distinct", "pivots"), [(5, 64), (5, 2), (1, 64)])
+def test_few_distinct_vectors_with_many_copies(spark, distinct, pivots):
+    x = np.random.default_rng(4).normal(size=(distinct, 8)).astype(np.float32)
+    rows = [(i, x[i % distinct].tolist()) for i in range(40 * distinct)]
+    found = gathered(top_products(frame(spark, rows), 5, 20, pivots))
+    expect = truth(rows, 20, 5, lambda q, x: -(np.floor(256 * x) @ np.floor(256 * q)), lambda v: True)
+    assert found == {q: [(r, v, -int(s)) for r, v, s in best] for q, best in expect.items()}
+    found = gathered(nearest(frame(spark, rows), 10, 20))
+    expect = truth(rows, 20, 10, lambda q, x: np.sqrt(((x - q) ** 2).sum(1)), any)
+    assert found == expect

@@ -58,11 +58,10 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int, dtype) -> np.ndarray:
 
 def best(ids: list[list[int]], scores: np.ndarray, count: int, smallest: bool) -> list[tuple[int, float]]:
     """The `count` first (number, score) of distinct vectors with their numbers, ties to smaller numbers."""
-    count = min(count, len(scores))
-    if not count:
+    if not len(scores) or count < 1:
         return []
-    sign = 1 if smallest else -1
-    limit = np.partition(sign * scores, count - 1)[count - 1]
+    sign, place = 1 if smallest else -1, min(count, len(scores)) - 1  # each vector has at least one number
+    limit = np.partition(sign * scores, place)[place]
     pairs = [(sign * scores[i], x, scores[i]) for i in np.flatnonzero(sign * scores <= limit).tolist() for x in ids[i]]
     return [(x, s) for _, x, s in sorted(pairs, key=lambda p: p[:2])[:count]]
 
