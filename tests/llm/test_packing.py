@@ -67,3 +67,12 @@ def test_pieces_and_places(docs_of, block_items):
 
 def test_empty_table(docs_of):
     assert pack_documents(docs_of([]), FILE).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "low", "high"), [(3, 20, 50), (4, 34, 67), (7, 1, 40)])
+def test_a_block_ends_only_where_no_exchange_helps(seed, low, high):
+    bins = Bins(np.random.default_rng(seed).integers(low, high, 300), 100)
+    bins.improve()
+    live = [b for b, n in enumerate(bins.fill) if n]
+    helps = [(a, b) for a in live for b in live if a != b and bins.exchange(a, b)]
+    assert len(live) == bins.needed or not helps

@@ -4,8 +4,8 @@ Documents longer than a sequence are cut into full pieces, the rest in front. Fu
 are sequences by themselves. Shorter ones are dealt at random into blocks of about
 `block_items`; a block is packed by best fit, largest first, and improved: a bin gives items
 to other bins by moves, one-for-one and two-for-one exchanges, each of which raises the sum of
-squared fills, until bins are empty. A block ends where no bin can be spared, or where no exchange helps the
-bins that are least filled.
+squared fills, until bins are empty. A block ends where no bin can be spared, or where no exchange between
+any two of its bins helps.
 
 Cases: a null text is empty (the end id alone); repeated rows are packed as often as they
 occur; an empty table gives no rows; pieces of one document may be in different sequences.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,6 @@ from tickloom.llm.common import rows_of, texts
 from tickloom.llm.encoders import LEADING, encoder
 from tickloom.session import cut_lineage
 
-ROOMY, PATIENCE = 64, 64  # bins looked at first in any case; bins that may fail in a row
-
 
 class Bins:
     """Bins of one block. `items[b]` are the (length, item) pairs of bin b, ascending."""
@@ -100,43 +99,36 @@ class Bins:
         self.move(a, b, list(change[0]), list(change[1]))
         return True
 
-    def partners(self, a: int, live: set[int]) -> list[int]:
-        """Bins with which an exchange of a may help, most free places first.
-
-        An item, or two, of a must fit in place of an item of the other bin or in its free places; where
-        a would get two items for one, only the `ROOMY` bins with most free places are looked at.
-        """
-        others = np.array([b for b in live if b != a and self.fill[b] < self.size], np.int64)
-        if not len(others):
-            return []
-        room = self.size - np.array([self.fill[b] for b in others.tolist()])
-        lengths = np.array([x[0] for x in self.items[a]])
-        sums = np.unique(np.concatenate([lengths, *[lengths[:i] + lengths[i] for i in range(1, len(lengths))]]))
-        upto = np.searchsorted(sums, np.arange(self.size + 1), side="right")  # how many sums are at most so long
-        count = [len(self.items[b]) for b in others.tolist()]
-        owner = np.repeat(np.arange(len(others)), count)
-        held = np.array([x[0] for b in others.tolist() for x in self.items[b]], np.int64)
-        useful = np.bincount(owner, upto[np.minimum(held + room[owner], self.size)] > upto[held], len(others)) > 0
-        useful |= room >= lengths[0]
-        order = np.argsort(-room, kind="stable")
-        useful[order[:ROOMY]] = True
-        return others[order[useful[order]]].tolist()
-
     def improve(self) -> None:
-        """Empty bins, the least filled first, until no bin can be spared or none of the next ones gives way."""
+        """Empty bins, the least filled first, until no bin can be spared or no bin has an exchange that helps."""
         live = {b for b, n in enumerate(self.fill) if n}
-        stuck: set[int] = set()
-        while len(live) > self.needed and live - stuck and len(stuck) < PATIENCE:
-            a = min(live - stuck, key=lambda b: (self.fill[b], b))
-            changed = False
-            for b in self.partners(a, live):
+        index = Partners(self, live)
+        waiting, stuck = set(live), set()
+        heap = sorted((self.fill[b], b) for b in live)
+        changed = False  # since the stuck bins were last tried
+        while len(live) > self.needed:
+            if not heap:
+                if not changed:
+                    return
+                waiting, stuck, changed = stuck, set(), False
+                heap = sorted((self.fill[b], b) for b in waiting)
+            n, a = heappop(heap)
+            if a not in waiting or n != self.fill[a]:
+                continue
+            index.drop(a)
+            while self.fill[a] and (b := index.partner(a)) is not None:
+                index.drop(b)
                 while self.fill[a] and self.exchange(a, b):
                     changed = True
-            if not self.fill[a]:
-                live.discard(a)
-                stuck.clear()
-            elif not changed:
+                index.add(b)
+                if b in waiting:
+                    heappush(heap, (self.fill[b], b))
+            waiting.discard(a)
+            if self.fill[a]:
+                index.add(a)
                 stuck.add(a)
+            else:
+                live.discard(a)
 
     def places(self) -> Iterator[tuple[int, int, int]]:
         """(item, bin, offset) of every item."""
@@ -147,6 +139,69 @@ class Bins:
                 at += n
 
 
+class Partners:
+    """Bins by what is left of them without none, one or two of their items, so that a partner is found without trying each.
+
+    With items of sum s in place of those taken back, a bin is filled up to left + s, which must be more than both
+    bins hold now and at most a sequence. So of the bins with as much left, the least filled one tells whether any will do.
+    """
+
+    def __init__(self, bins: Bins, live: set[int]):
+        self.bins, size = bins, bins.size
+        self.left = np.arange(size + 1)
+        # for one item given (none or two come back), and for one or two given (one comes back)
+        self.held: list[list[dict[int, set[int]]]] = [[{} for _ in range(size + 1)] for _ in range(2)]
+        self.least = [np.full(size + 1, size), np.full(size + 1, size)]
+        self.noted: dict[int, tuple[int, list[list[int]]]] = {}
+        for b in live:
+            self.add(b)
+
+    def sums(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of single items of a bin, and of pairs."""
+        one = np.array([x[0] for x in self.bins.items[b]], np.int64)
+        i, j = np.triu_indices(len(one), 1)
+        return one, one[i] + one[j]
+
+    def add(self, b: int) -> None:
+        fill = self.bins.fill[b]
+        if fill >= self.bins.size:
+            return
+        one, two = self.sums(b)
+        lefts = [[fill, *{fill - n for n in two.tolist()}], list({fill - n for n in one.tolist()})]
+        self.noted[b] = fill, lefts
+        for held, least, known in zip(self.held, self.least, lefts):
+            for n in known:
+                held[n].setdefault(fill, set()).add(b)
+                if fill < least[n]:
+                    least[n] = fill
+
+    def drop(self, b: int) -> None:
+        if b not in self.noted:
+            return
+        fill, lefts = self.noted.pop(b)
+        for held, least, known in zip(self.held, self.least, lefts):
+            for n in known:
+                held[n][fill].discard(b)
+                if not held[n][fill]:
+                    del held[n][fill]
+                    if least[n] == fill:
+                        least[n] = min(held[n], default=self.bins.size)
+
+    def partner(self, a: int) -> int | None:
+        """The least filled bin with which an exchange of a helps; a itself is dropped before."""
+        size, found = self.bins.size, None
+        one, two = self.sums(a)
+        for held, least, given in zip(self.held, self.least, (one, np.concatenate([one, two]))):
+            upto = np.cumsum(np.bincount(given[given <= size], minlength=size + 1))  # how many sums are at most so long
+            good = upto[size - self.left] > upto[np.maximum(np.maximum(least, self.bins.fill[a]) - self.left, 0)]
+            good &= least < size
+            if good.any():
+                n = int(np.flatnonzero(good)[least[good].argmin()])
+                if found is None or least[n] < found[0]:
+                    found = int(least[n]), min(held[n][int(least[n])])
+        return found and found[1]
+
+
 def pieces_of(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every whole text."""
     tail = np.array([end_id], "<u4").tobytes()
