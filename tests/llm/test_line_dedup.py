@@ -74,3 +74,15 @@ def test_ties_and_empty_table(docs_of):
     got = sorted((r.doc_id, r.removed) for r in line_report(docs_of(rows), 3, 6).collect())
     assert got == [(1, []), (1, []), (2, [0]), (3, [])]
     assert line_report(docs_of([]), 3, 6).count() == 0 and drop_lines(docs_of([])).count() == 0
+
+
+def test_short_lines_count_by_default(docs_of):
+    rng = random.Random(5)
+    texts = ["\n".join(" ".join(rng.choices("abcd", k=rng.randint(0, 6))) for _ in range(5)) for _ in range(8)]
+    rows = [*enumerate(["Home", "red green blue", "Home\nred green grey", "red green", "back home\nyes"]), (5, "back home\nno\nred green blue too"), *enumerate(texts, 10)]
+    got = {}
+    for r in line_report(docs_of(rows)).collect():
+        got.setdefault(str(r.doc_id), []).append((r.n_lines, r.removed))
+    assert got == brute(rows, 1, 3)
+    assert got["2"] == [(2, [0, 1])] and got["5"] == [(3, [0, 2])]
+    assert {r.doc_id: r.text for r in drop_lines(docs_of(rows)).where("doc_id < 10").collect()} == {0: "Home", 1: "red green blue", 3: "red green", 4: "back home\nyes", 5: "no"}

@@ -4,6 +4,9 @@ A line is its words; lines shorter than `least_words` stay. A line is removed if
 line (by document number, then place) has the same words or, where it has at least `least_near`
 words, differs in one word: replaced, inserted or left out.
 
+By default every line with a word is counted, and near copies are looked for from three words on (of shorter lines,
+any two would be near). `REPORT_SQL` and the query beside it are narrower: three words and ten.
+
 Equal lines are counted first, by 128 bits of hash. Of the distinct ones, only those can be within
 one edit of another which share their first or their last p words with it (p the largest power of
 two up to half their words, or that of one word less): an edit can't touch both ends. For these
@@ -110,7 +113,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, least_near: int, id_col: st
     return pairs.where(without("a", "pos") == without("b", "other_pos")).select(F.col("id").alias("h1")).distinct()
 
 
-def removed_lines(docs: DataFrame, least_words: int = 3, least_near: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = 1, least_near: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, lines) of documents with removed lines; `d` is the document number, the largest long for none."""
     lines = numbered_lines(docs, least_words, id_col, text_col)
     n = F.col("n")
@@ -125,7 +128,7 @@ def removed_lines(docs: DataFrame, least_words: int = 3, least_near: int = 10, i
     return gone.groupBy("d").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def line_report(docs: DataFrame, least_words: int = 3, least_near: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, least_words: int = 1, least_near: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every row; `removed` holds line places from 0, ascending."""
     counts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(lines_of(F.col(text_col))).alias("n_lines"))
     gone = removed_lines(docs, least_words, least_near, id_col, text_col)
@@ -134,7 +137,7 @@ def line_report(docs: DataFrame, least_words: int = 3, least_near: int = 10, id_
     return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
-def drop_lines(docs: DataFrame, least_words: int = 3, least_near: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, least_words: int = 1, least_near: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the removed lines; documents of which no line is left go, all columns stay."""
     gone = removed_lines(docs, least_words, least_near, id_col, text_col)
     name = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
