@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import edit_counts, line_dedup, multi_index, packing, piece_codec, pivot_join, run_index, token_files, token_join, toxicity
+from tickloom.llm import (
+    collocations,
+    edit_counts,
+    line_dedup,
+    multi_index,
+    packing,
+    pareto_mix,
+    piece_codec,
+    pivot_join,
+    run_index,
+    token_files,
+    token_join,
+    toxicity,
+    whitening,
+)
 from tickloom.llm.common import table
 from tickloom.session import prepare, shared_folder
 
@@ -85,3 +99,21 @@ def coded_pieces(spark: SparkSession, sf: str) -> DataFrame:
 def packed_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every document with its sequence and place."""
     return packing.pack_documents(table(prepare(spark), sf, "documents"), "byte_bpe_50k.json", 1024, 2)
+
+
+@query("op11_collocations", collocations.REPORT_SQL)
+def phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """First 2000 phrases of every language by the score of their weakest cut."""
+    return collocations.collocations(table(prepare(spark), sf, "documents"), 4, 30, 2000, 80)
+
+
+@query("op12_pareto_mix")
+def mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    return pareto_mix.mixed(table(prepare(spark), sf, "documents"), (5, 2, 1), 150, 2)
+
+
+@query("op13_whitening")
+def whitened_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """First four whitened components of every vector."""
+    return whitening.whitened(table(prepare(spark), sf, "embeddings"), 4, 256)
