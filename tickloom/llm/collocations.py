@@ -30,7 +30,7 @@ from tickloom.llm.common import mix, payload
 from tickloom.session import cut_lineage
 
 BASE = 0x9E3779B97F4A7C15
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 LETTER, SPACE, MARK = 0, 1, 2
 KIND = np.full(256, LETTER, np.uint8)
@@ -41,19 +41,29 @@ LOWER[0x41:0x5B] += 0x20
 TOP_SALTS = 64
 
 
-@functools.cache
-def powers(exponent: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers below 2 ** exponent, and their inverses, modulo 2 ** 64."""
-    up, down = np.full(1 << exponent, BASE, np.uint64), np.full(1 << exponent, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+class Powers:
+    """BASE to the powers from 0 on and their inverses, modulo 2 ** 64; the tables grow to the longest sequence met."""
+
+    tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    @classmethod
+    def up_to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.tables[0]) < n:
+            size = 1 << n.bit_length()
+            grown = []
+            for factor in (BASE, pow(BASE, -1, 1 << 64)):
+                power = np.full(size, factor, np.uint64)
+                power[0] = 1
+                grown.append(np.cumprod(power, out=power))
+            cls.tables = tuple(grown)
+        return cls.tables
 
 
 class Prefixes:
     """Prefix polynomials of a sequence of values: the hash of every part in constant time."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = powers(max(len(values), 1).bit_length())
+        up, self.down = Powers.up_to(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
