@@ -39,7 +39,7 @@ class CountTree:
 
     def count(self, chunks: list[str]) -> list[int]:
         self.coder.learn(set(chunks))
-        known = self.coder.known
+        known = self.coder.memory.now
         return [len(known[x]) // 4 for x in chunks]
 
     def build(self, chunks: list[str]) -> None:

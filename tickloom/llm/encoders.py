@@ -8,12 +8,16 @@ characters which aren't white space.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
+from tickloom.llm.memory import Memory
+
 DROPPED, LEADING = "dropped", "leading"
 DOUBLE = re.compile(r"\s\s")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -47,10 +51,10 @@ def chunks_with_space(text: str) -> list[str]:
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes.
 
-    `most` bounds the chunks that are remembered; when it is reached, the memory starts anew.
+    `most_bytes` bounds each of the two generations of chunks that are remembered.
     """
 
-    def __init__(self, file: str, spaces: str, most: int = 1_500_000):
+    def __init__(self, file: str, spaces: str, most_bytes: int = 80 << 20):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -66,30 +70,33 @@ class Encoder:
         # whether the tokenizer sees no difference between A-Z and a-z
         same = [x.ids for x in self.tokenizer.encode_batch(["QWERTYuiopASDFghjklZXCVBnm", "qwertyuiopasdfghjklzxcvbnm"], add_special_tokens=False)]
         self.folds = same[0] == same[1]
-        self.most, self.known = most, {"": b""}
+        self.memory, self.last = Memory(most_bytes, {"": b""}), set()
+
+    def of_letters(self, word: str) -> bool:
+        """Whether a word is letters only, also as the tokenizer normalises it: of some letters it makes marks."""
+        if word.isascii() or self.tokenizer.normalizer is None:
+            return word.isalpha()
+        return word.isalpha() and self.tokenizer.normalizer.normalize_str(word).isalpha()
 
     def learn(self, chunks: set[str]) -> None:
         """Ids of chunks not met before; letters and the marks behind them are tokens apart."""
-        known = self.known
-        if len(known) > self.most:
-            known = self.known = {"": b""}
-        new = [x for x in chunks if x not in known]
+        memory, self.last = self.memory, chunks
+        memory.turn()
         whole, parts = set(), []
-        for chunk in new:
+        for chunk in memory.missing(chunks):
             core = chunk.rstrip(MARKS)
             letters = core[1:] if self.leading and core[:1] == " " else core
-            if not letters.isalpha():
+            if not self.of_letters(letters):
                 whole.add(chunk)
                 continue
             name = core.lower() if self.folds and core.isascii() else core
             parts.append((chunk, name, chunk[len(core) :]))
             whole.update((name, parts[-1][2]))
-        whole = [x for x in whole if x not in known]
-        words = [x for x in whole if (x[1:] if self.leading else x).isalpha() and (x[0] == " ") == self.leading]
-        self.encode_words(words)
-        self.encode_whole([x for x in whole if x not in known])
-        for chunk, name, marks in parts:
-            known[chunk] = known[name] + known[marks]
+        whole = memory.missing(whole)
+        self.encode_words([x for x in whole if self.of_letters(x[1:] if self.leading else x) and (x[0] == " ") == self.leading])
+        self.encode_whole([x for x in whole if x not in memory.now])
+        known = memory.now
+        memory.add((chunk, known[name] + known[marks]) for chunk, name, marks in parts if chunk != name)
 
     def encode_words(self, words: list[str]) -> None:
         """Words of letters, many in one text: a token that starts (or ends) a word tells where each begins."""
@@ -101,21 +108,31 @@ class Encoder:
             edges = np.append(edges, len(ids)) if self.leading else np.append(0, edges + 1)
             if len(edges) == len(part) + 1 and edges[0] == 0 and edges[-1] == len(ids):
                 data, edges = ids.tobytes(), (4 * edges).tolist()
-                self.known.update((x, data[a:b]) for x, a, b in zip(part, edges, edges[1:]))
+                self.memory.add((x, data[a:b]) for x, a, b in zip(part, edges, edges[1:]))
 
     def encode_whole(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for chunk, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(code.ids, dtype="<u4").tobytes()
+            codes = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.memory.add((chunk, np.array(code.ids, dtype="<u4").tobytes()) for chunk, code in zip(part, codes, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(x) for x in texts]
         self.learn(set().union(*cut))
-        known = self.known
+        known = self.memory.now
         return [b"".join([known[c] for c in x]) for x in cut]
 
 
+    @contextlib.contextmanager
+    def task(self) -> Iterator[Encoder]:
+        """For the length of a task; afterwards only the chunks of its last batch are remembered."""
+        try:
+            yield self
+        finally:
+            self.memory.keep(self.last)
+            self.last = set()
+
+
 @functools.cache
 def encoder(file: str, spaces: str) -> Encoder:
     """One per Python worker; later tasks of the worker find its memory filled."""

@@ -4,8 +4,8 @@ A line is its words; lines shorter than `least_words` stay. A line is removed if
 line (by document number, then place) has the same words or, where it has at least `least_near`
 words, differs in one word: replaced, inserted or left out.
 
-By default every line with a word is counted, and near copies are looked for from three words on (of shorter lines,
-any two would be near). `REPORT_SQL` and the query beside it are narrower: three words and ten.
+Every line with a word is counted, and near copies are looked for from three words on (of shorter lines,
+any two would be near).
 
 Equal lines are counted first, by 128 bits of hash. Of the distinct ones, only those can be within
 one edit of another which share their first or their last p words with it (p the largest power of
@@ -39,8 +39,16 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, "[ \\t\\x0B\\f\\r]+", -1), "")
+def plain(line: Column) -> Column:
+    """The words of a line with one space between them; most lines are so already."""
+    odd = F.contains(line, F.lit("  "))
+    for mark in "\t\x0b\f\r":
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \\t\\x0B\\f\\r]+", " ")).otherwise(line))
+
+
+def spaces_in(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def half(n: Column) -> Column:
@@ -58,10 +66,13 @@ def end_keys(words: Column, n: Column) -> Column:
 
 
 def numbered_lines(docs: DataFrame, least_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(d, line, words, n, h1, h2) of all lines of at least `least_words` words."""
+    """(d, line, plain, n, h1, h2) of all lines of at least `least_words` words."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.posexplode(lines_of(F.col(text_col))).alias("line", "value"))
-    rows = rows.select("d", "line", words_of(F.col("value")).alias("words")).withColumn("n", F.size("words"))
-    return rows.where(F.col("n") >= least_words).withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
+    rows = rows.select("d", "line", plain(F.col("value")).alias("plain")).where(F.col("plain") != "")
+    rows = rows.withColumn("n", spaces_in(F.col("plain")) + 1)
+    if least_words > 1:
+        rows = rows.where(F.col("n") >= least_words)
+    return rows.withColumns({"h1": F.xxhash64("plain"), "h2": F.xxhash64(F.lit(1), "plain")})
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -89,9 +100,9 @@ def near_lines(distinct: DataFrame, docs: DataFrame, least_near: int, id_col: st
     # words of the first occurrence; where rows share a number, the hash tells which line is meant
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.col(text_col).alias("text")).join(places, "d")
     rows = rows.select("d", F.col("places"), lines_of(F.col("text")).alias("all")).select("d", "all", F.explode("places").alias("line"))
-    rows = rows.select("d", "line", words_of(F.get("all", F.col("line"))).alias("words")).withColumn("h1", F.xxhash64("words"))
-    held = rows.join(likely, ["d", "line", "h1"]).groupBy("h1").agg(F.min(F.struct("d", "line")).alias("o"), F.min("words").alias("words"))
-    held = cut_lineage(held.select(F.col("h1").alias("id"), "o", "words"), "near-lines")
+    rows = rows.select("d", "line", plain(F.get("all", F.col("line"))).alias("plain")).withColumn("h1", F.xxhash64("plain"))
+    held = rows.join(likely, ["d", "line", "h1"]).groupBy("h1").agg(F.min(F.struct("d", "line")).alias("o"), F.min("plain").alias("plain"))
+    held = cut_lineage(held.select(F.col("h1").alias("id"), "o", F.split("plain", " ", -1).alias("words")), "near-lines")
 
     keys = variants(held)
     several = keys.groupBy("v").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("v")
@@ -117,7 +128,7 @@ def removed_lines(docs: DataFrame, least_words: int = 1, least_near: int = 3, id
     """(d, lines) of documents with removed lines; `d` is the document number, the largest long for none."""
     lines = numbered_lines(docs, least_words, id_col, text_col)
     n = F.col("n")
-    ends = F.when(n >= least_near, end_keys(F.col("words"), n))
+    ends = F.when(n >= least_near, end_keys(F.split("plain", " ", -1), n))
     grouped = lines.select("h1", "h2", "n", F.struct("d", "line").alias("o"), ends.alias("ends")).groupBy("h1", "h2").agg(
         F.min("o").alias("o"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("ends").alias("ends")
     )
@@ -159,18 +170,18 @@ WITH raw AS (
 ), w AS (
   SELECT doc_id, line, list_filter(string_split_regex(value, '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM lines
 ), l AS (
-  SELECT doc_id, line, words FROM w WHERE len(words) >= 3
+  SELECT doc_id, line, words FROM w WHERE len(words) >= 1
 ), d AS (
   SELECT words, len(words) AS n, min((doc_id, line)) AS o, row_number() OVER () AS id FROM l GROUP BY words
 ), v AS (
   SELECT id, o, n, pos, words[1:pos] || words[pos + 2:] AS left_out
-  FROM (SELECT *, unnest(range(n)) AS pos FROM d WHERE n >= 10)
+  FROM (SELECT *, unnest(range(n)) AS pos FROM d WHERE n >= 3)
 ), sub AS (SELECT left_out, pos, min(o) AS o FROM v GROUP BY ALL
-), del AS (SELECT left_out, min(o) AS o FROM v WHERE n >= 11 GROUP BY ALL
+), del AS (SELECT left_out, min(o) AS o FROM v WHERE n >= 4 GROUP BY ALL
 ), near AS (
   SELECT v.id FROM v JOIN sub USING (left_out, pos) WHERE sub.o < v.o
-  UNION SELECT v.id FROM v JOIN d ON v.left_out = d.words WHERE v.n >= 11 AND d.o < v.o
-  UNION SELECT d.id FROM d JOIN del ON d.words = del.left_out WHERE d.n >= 10 AND del.o < d.o
+  UNION SELECT v.id FROM v JOIN d ON v.left_out = d.words WHERE v.n >= 4 AND d.o < v.o
+  UNION SELECT d.id FROM d JOIN del ON d.words = del.left_out WHERE d.n >= 3 AND del.o < d.o
 ), gone AS (
   SELECT l.doc_id, list(l.line ORDER BY l.line) AS removed FROM l JOIN d USING (words)
   WHERE (l.doc_id, l.line) > d.o OR d.id IN (SELECT id FROM near) GROUP BY l.doc_id

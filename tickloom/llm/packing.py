@@ -208,16 +208,16 @@ def pieces_of(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, id_
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(file, LEADING).encode
-        for names, values in rows_of(batches, 4 << 20, "doc_id", "text"):
-            rows = []
-            for name, code in zip(names, encode(values), strict=True):
-                code = memoryview(code + tail)
-                n = len(code) // 4
-                edges = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
-                for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    rows.append((name, k, a, b - a, zlib.crc32(code[4 * a : 4 * b])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+        with encoder(file, LEADING).task() as coder:
+            for names, values in rows_of(batches, 4 << 20, "doc_id", "text"):
+                rows = []
+                for name, code in zip(names, coder.encode(values), strict=True):
+                    code = memoryview(code + tail)
+                    n = len(code) // 4
+                    edges = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
+                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                        rows.append((name, k, a, b - a, zlib.crc32(code[4 * a : 4 * b])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
     return texts(docs, id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

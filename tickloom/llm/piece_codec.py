@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import rows_of
+from tickloom.llm.memory import Memory
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # types of pieces in the model file
@@ -64,9 +65,9 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Pieces:
-    """A model: pieces by id, and the segmentation of texts. `most` bounds the words remembered."""
+    """A model: pieces by id, and the segmentation of texts. `most_bytes` bounds each of two generations of words remembered."""
 
-    def __init__(self, file: str, most: int = 1_500_000):
+    def __init__(self, file: str, most_bytes: int = 40 << 20):
         import public_tokenizers
 
         path = file if os.path.isabs(file) else public_tokenizers.path(file)
@@ -79,7 +80,7 @@ class Pieces:
                 self.names.append(piece[1].decode())
                 self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
                 self.kinds.append(piece.get(3, NORMAL))
-        self.most, self.known = most, {}
+        self.memory = Memory(most_bytes)
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(self.names, self.kinds)) if k == BYTE}
         self.values = {i: bytes([b]) for b, i in self.bytes.items()}
@@ -129,12 +130,9 @@ class Pieces:
         if not text:
             return b""
         words = WORD.findall(MARK + text.replace(" ", MARK))
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        for word in words:
-            if word not in known:
-                known[word] = np.array(self.segment(word), "<u4").tobytes()
+        self.memory.turn()
+        self.memory.add((x, np.array(self.segment(x), "<u4").tobytes()) for x in self.memory.missing(set(words)))
+        known = self.memory.now
         return b"".join([known[x] for x in words])
 
     def decode(self, ids: list[int]) -> str:

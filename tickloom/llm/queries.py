@@ -59,7 +59,7 @@ def best_products(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_line_dedup", line_dedup.REPORT_SQL)
 def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every text that an earlier line equals or differs from in one word."""
-    return line_dedup.line_report(table(prepare(spark), sf, "documents"), 3, 10)
+    return line_dedup.line_report(table(prepare(spark), sf, "documents"))
 
 
 @query("op5_toxicity_chain")
