@@ -115,7 +115,7 @@ def partition_name(col: Column) -> Column:
     """A folder name for a value: its readable start and a hash of the whole value, so that values keep apart."""
     text = col.cast("string")
     cleaned = F.left(F.regexp_replace(text, r"[^A-Za-z0-9_.=-]+", "_"), F.lit(180))
-    return F.when(blank_to_null(text).isNull(), F.lit("unknown")).otherwise(F.concat(cleaned, F.lit("-"), F.lower(F.hex(F.xxhash64(text)))))
+    return F.when(blank_to_null(text).isNull(), F.lit("unknown")).otherwise(F.concat(cleaned, F.lit("-"), F.left(F.md5(text), F.lit(16))))
 
 
 def contains_any(cols: Sequence[Column], words: Column) -> Column:

@@ -588,7 +588,7 @@ def overlap_query(spark, sf):
 
 @query(
     "safe_casts_and_names",
-    r"""SELECT p_partkey, left(regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_.=-]+', '_', 'g'), 180) AS safe_name,
+    r"""SELECT p_partkey, left(regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_.=-]+', '_', 'g'), 180) || '-' || left(md5(p_name || '/' || p_brand), 16) AS safe_name,
         CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN CAST(p_size AS DOUBLE) END AS number FROM part""",
 )
 def cast_query(spark, sf):
