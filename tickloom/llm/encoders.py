@@ -8,11 +8,9 @@ characters which aren't white space.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 
@@ -54,12 +52,13 @@ class Encoder:
     `most_bytes` bounds each of the two generations of chunks that are remembered.
     """
 
-    def __init__(self, file: str, spaces: str, most_bytes: int = 80 << 20):
+    def __init__(self, file: str, spaces: str, most_bytes: int = 100 << 20):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
+        self.normalizer = self.tokenizer.normalizer
         self.leading = spaces == LEADING
         self.cut = chunks_with_space if self.leading else chunks_without_space
         # tokens that start a word with its space, or that end a word
@@ -70,33 +69,35 @@ class Encoder:
         # whether the tokenizer sees no difference between A-Z and a-z
         same = [x.ids for x in self.tokenizer.encode_batch(["QWERTYuiopASDFghjklZXCVBnm", "qwertyuiopasdfghjklzxcvbnm"], add_special_tokens=False)]
         self.folds = same[0] == same[1]
-        self.memory, self.last = Memory(most_bytes, {"": b""}), set()
+        self.memory = Memory(most_bytes, {"": b""})
 
     def of_letters(self, word: str) -> bool:
         """Whether a word is letters only, also as the tokenizer normalises it: of some letters it makes marks."""
-        if word.isascii() or self.tokenizer.normalizer is None:
-            return word.isalpha()
-        return word.isalpha() and self.tokenizer.normalizer.normalize_str(word).isalpha()
+        if not word.isalpha():
+            return False
+        return word.isascii() or self.normalizer is None or self.normalizer.normalize_str(word).isalpha()
 
     def learn(self, chunks: set[str]) -> None:
         """Ids of chunks not met before; letters and the marks behind them are tokens apart."""
-        memory, self.last = self.memory, chunks
+        memory = self.memory
         memory.turn()
         whole, parts = set(), []
         for chunk in memory.missing(chunks):
             core = chunk.rstrip(MARKS)
-            letters = core[1:] if self.leading and core[:1] == " " else core
-            if not self.of_letters(letters):
+            if not self.of_letters(core[1:] if self.leading and core[:1] == " " else core):
                 whole.add(chunk)
                 continue
             name = core.lower() if self.folds and core.isascii() else core
-            parts.append((chunk, name, chunk[len(core) :]))
-            whole.update((name, parts[-1][2]))
-        whole = memory.missing(whole)
-        self.encode_words([x for x in whole if self.of_letters(x[1:] if self.leading else x) and (x[0] == " ") == self.leading])
-        self.encode_whole([x for x in whole if x not in memory.now])
+            whole.add(name)
+            if name != chunk:
+                marks = chunk[len(core) :]
+                whole.add(marks)
+                parts.append((chunk, name, marks))
+        new = memory.missing(whole)
+        self.encode_words([x for x in new if (x[0] == " ") == self.leading and self.of_letters(x[1:] if self.leading else x)])
         known = memory.now
-        memory.add((chunk, known[name] + known[marks]) for chunk, name, marks in parts if chunk != name)
+        self.encode_whole([x for x in new if x not in known])
+        memory.add({chunk: known[name] + known[marks] for chunk, name, marks in parts})
 
     def encode_words(self, words: list[str]) -> None:
         """Words of letters, many in one text: a token that starts (or ends) a word tells where each begins."""
@@ -108,13 +109,13 @@ class Encoder:
             edges = np.append(edges, len(ids)) if self.leading else np.append(0, edges + 1)
             if len(edges) == len(part) + 1 and edges[0] == 0 and edges[-1] == len(ids):
                 data, edges = ids.tobytes(), (4 * edges).tolist()
-                self.memory.add((x, data[a:b]) for x, a, b in zip(part, edges, edges[1:]))
+                self.memory.add({x: data[a:b] for x, a, b in zip(part, edges, edges[1:])})
 
     def encode_whole(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             codes = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.memory.add((chunk, np.array(code.ids, dtype="<u4").tobytes()) for chunk, code in zip(part, codes, strict=True))
+            self.memory.add({chunk: np.array(code.ids, dtype="<u4").tobytes() for chunk, code in zip(part, codes, strict=True)})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(x) for x in texts]
@@ -123,16 +124,6 @@ class Encoder:
         return [b"".join([known[c] for c in x]) for x in cut]
 
 
-    @contextlib.contextmanager
-    def task(self) -> Iterator[Encoder]:
-        """For the length of a task; afterwards only the chunks of its last batch are remembered."""
-        try:
-            yield self
-        finally:
-            self.memory.keep(self.last)
-            self.last = set()
-
-
 @functools.cache
 def encoder(file: str, spaces: str) -> Encoder:
     """One per Python worker; later tasks of the worker find its memory filled."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable
+from collections.abc import Collection
 
 ENTRY = 200  # bytes of an entry besides its characters and its value, about
 
@@ -23,22 +23,15 @@ class Memory:
         if self.bytes > self.most:
             self.now, self.former, self.bytes = dict(self.fixed), self.now, 0
 
-    def keep(self, keys: Collection[str]) -> None:
-        """Forget all but `keys`, as at the end of a task, whose worker may stay for a while."""
-        kept = [(k, self.now[k]) for k in keys if k in self.now]
-        self.now, self.former, self.bytes = dict(self.fixed), {}, 0
-        self.add(kept)
-
     def missing(self, keys: Collection[str]) -> list[str]:
         """Keys without a value; the values of all others are in `now` afterwards."""
         unmet = [k for k in keys if k not in self.now]
         if not self.former:
             return unmet
         again = {k: self.former[k] for k in unmet if k in self.former}
-        self.add(again.items())
+        self.add(again)
         return [k for k in unmet if k not in again]
 
-    def add(self, items: Iterable[tuple[str, bytes]]) -> None:
-        items = list(items)
-        self.now.update(items)
-        self.bytes += sum(len(k) + len(v) for k, v in items) + ENTRY * len(items)
+    def add(self, values: dict[str, bytes]) -> None:
+        self.now.update(values)
+        self.bytes += sum(map(len, values.keys())) + sum(map(len, values.values())) + ENTRY * len(values)

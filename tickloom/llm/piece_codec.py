@@ -131,7 +131,7 @@ class Pieces:
             return b""
         words = WORD.findall(MARK + text.replace(" ", MARK))
         self.memory.turn()
-        self.memory.add((x, np.array(self.segment(x), "<u4").tobytes()) for x in self.memory.missing(set(words)))
+        self.memory.add({x: np.array(self.segment(x), "<u4").tobytes() for x in self.memory.missing(set(words))})
         known = self.memory.now
         return b"".join([known[x] for x in words])
 

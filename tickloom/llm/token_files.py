@@ -145,15 +145,15 @@ def write_token_files(docs: DataFrame, path: str, file: str, spaces: str = DROPP
             block = Block.of(names, codes)
             return pa.RecordBatch.from_pydict({"start": [before], "n_docs": [len(block)], "n_ids": [held], "payload": [block.to_bytes()]}, schema=schema)
 
-        with encoder(file, spaces).task() as coder:
-            for ids, values in rows_of(batches, 4 << 20, "doc_id", "text"):
-                for name, code in zip(ids, coder.encode(values), strict=True):
-                    names.append(name)
-                    codes.append(np.frombuffer(code + tail, "<u4"))
-                    held += len(codes[-1])
-                    if held >= block_ids:
-                        yield close()
-                        names, codes, held, before = [], [], 0, before + held
+        encode = encoder(file, spaces).encode
+        for ids, values in rows_of(batches, 4 << 20, "doc_id", "text"):
+            for name, code in zip(ids, encode(values), strict=True):
+                names.append(name)
+                codes.append(np.frombuffer(code + tail, "<u4"))
+                held += len(codes[-1])
+                if held >= block_ids:
+                    yield close()
+                    names, codes, held, before = [], [], 0, before + held
         if names:
             yield close()
 
