@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom import NS_PER_SECOND
 from tickloom.functions.text import blank_to_null, contains_any, iso_to_ns, json_list, safe_double, slug_fields, slugs_between
-from tickloom.operators.combine import few_values, fill_unknown, union_distinct
+from tickloom.operators.combine import fill_unknown, union_distinct
 from tickloom.operators.sampling import keep_last
 
 LISTING = (
@@ -171,8 +171,9 @@ def with_trading_dates(instruments: DataFrame, dates: DataFrame) -> DataFrame:
         .join(spans, "date")
         .where((F.col("expiry_ns") >= F.col("__start")) & (F.col("expiry_ns") <= end))
     )
-    every_day = F.explode(F.array(*[F.lit(d) for d in few_values(dates, "date")]))
-    undated = instruments.where(F.col("expiry_ns").isNull()).withColumn("date", every_day)
+    # every instrument without an expiry is an instrument of every date
+    pairs = dates.select(F.lit(1).alias("__one"), "date").distinct()
+    undated = instruments.where(F.col("expiry_ns").isNull()).withColumn("__one", F.lit(1)).join(pairs, "__one").drop("__one")
     return dated.drop("__start").unionByName(undated)
 
 

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom import NS_PER_SECOND
 from tickloom.functions import prices
-from tickloom.operators.combine import few_values
-from tickloom.operators.gating import live_like_selection, threshold_signals
+from tickloom.operators.gating import entry_allowed, live_like_selection, signal_key, threshold_signals
+from tickloom.operators.policy_walk import walk_policies
 from tickloom.operators.ranks import top_ranked_values
 from tickloom.plans.evaluation import grid_statistics
 
@@ -114,16 +115,33 @@ def policy_grid(
     )
 
 
+def live_policy_grid(
+    df: DataFrame, profit: str, fill_cls: str, expected: Sequence[float], fill: Sequence[float], unwind: Sequence[float],
+    positive: str = "enter", cooldown_seconds: float = 10.0, max_entries: int = 1, entry: Column | None = None,
+) -> DataFrame:
+    """Statistics of live-like selection under every policy of the grid, policies without entries included."""
+    usable = df.where(F.col("opposite_asset_id").isNotNull()).where(entry_allowed() if entry is None else entry)
+    walked = walk_policies(
+        usable.withColumn("signal_key", signal_key()), "signal_key", ["recv_ns", "seq"], policy_dims(expected, fill, unwind), profit,
+        F.col(fill_cls) == positive, int(cooldown_seconds * NS_PER_SECOND), max_entries,
+    )
+    share = F.when(F.col("entries") > 0, F.col("successes") / F.nullif("entries", F.lit(0)))
+    average = F.col("total_profit") / F.nullif("profits", F.lit(0))
+    return walked.select(*POLICY_DIMS, "entries", F.when(F.col("profits") > 0, F.col("total_profit")).alias("total_profit"), average.alias("avg_profit"), share.alias("success_rate"))
+
+
 def live_policy_rows(df: DataFrame, policies: DataFrame, slice_width: int | None = None, **gates) -> DataFrame:
-    """Rows each policy would trade live. `policies` holds the threshold columns and is small."""
+    """Rows each policy would trade live, once per policy; `policies` holds the threshold columns.
+
+    For statistics of many policies use `live_policy_grid`, which multiplies no rows.
+    """
     rule = (
         (F.col("pred_expected_profit") >= F.col("expected_profit_threshold"))
         & (F.col("p_fill") >= F.col("min_p_fill"))
         & (F.col("pred_unwind_profit") >= F.col("min_pred_unwind_profit"))
     )
-    listed = few_values(policies.select(F.struct(*POLICY_DIMS).alias("policy")), "policy")
-    structs = F.array(*[F.struct(*[F.lit(float(r[d])).alias(d) for d in POLICY_DIMS]) for r in listed])
-    rows = df.withColumn("__p", F.explode(structs)).select("*", "__p.*").drop("__p").where(rule)
+    listed = policies.select(*[F.col(d).cast("double").alias(d) for d in POLICY_DIMS]).distinct().withColumn("__one", F.lit(1))
+    rows = df.withColumn("__one", F.lit(1)).join(listed, "__one").where(rule).drop("__one")
     return live_like_selection(rows, POLICY_DIMS, slice_width=slice_width, **gates)
 
 

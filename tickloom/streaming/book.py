@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tickloom.functions.depth import DEPTH_COLUMNS
 from tickloom.operators.book import SUMMARY_DDL, TOP_COLUMNS, level_updates, replay
-from tickloom.streaming.common import in_order, prepare_state_store
+from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, in_order, prepare_state_store, with_event_time, with_state
 
 OUTPUT_DDL = SUMMARY_DDL + ", refreshed boolean"
 
 
-class BookProcessor(StatefulProcessor):
+class BookProcessor(EndingProcessor):
     """Levels of both sides in map state; one summary row per event.
 
+    Rows at or before the last event of a micro-batch handled before are late: what they say is
+    superseded, so they are left out rather than put over newer levels.
+
     With `refresh_threshold`, depth columns are recomputed only for a snapshot or when the
     mid has moved by at least that share since the last refresh; in between the last
     refreshed values are repeated and only the top of the book is current.
     """
 
-    def __init__(self, refresh_threshold: float | None = None):
-        self.refresh_threshold = refresh_threshold
+    def __init__(self, refresh_threshold: float | None = None, idle_ns: int | None = None):
+        self.refresh_threshold, self.idle_ns = refresh_threshold, idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.levels = handle.getMapState("levels", "side int, price long", "size double")
         self.cached = handle.getValueState("cached", "mid double, " + ", ".join(f"{c} double" for c in DEPTH_COLUMNS))
+        self.last = handle.getValueState("last", "recv_ns long, seq long, part2 long")
+        self.ending(handle, self.levels, self.cached, self.last)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
@@ -33,6 +38,15 @@ class BookProcessor(StatefulProcessor):
         changes = in_order(rows, ["recv_ns", "seq", "part2", "rank"])
         if changes is None:
             return
+        if self.last.exists():
+            t, seq, part2 = self.last.get()
+            later = (changes["seq"] > seq) | ((changes["seq"] == seq) & (changes["part2"] > part2))
+            changes = changes[(changes["recv_ns"] > t) | ((changes["recv_ns"] == t) & later)].reset_index(drop=True)
+            if changes.empty:
+                return
+        newest = changes.iloc[-1]
+        self.last.update((int(newest["recv_ns"]), int(newest["seq"]), int(newest["part2"])))
+        self.lives_on(newest["recv_ns"])
         ids = changes[["recv_ns", "seq", "part2"]]
         new = (ids != ids.shift()).any(axis=1)
         changes = changes.assign(event=new.cumsum() - 1, clear=changes["kind"] == "clear")
@@ -75,19 +89,20 @@ class BookProcessor(StatefulProcessor):
         if values is not None:
             self.cached.update((last, *[None if np.isnan(v) else float(v) for v in values]))
 
-    def close(self) -> None:
-        pass
 
+def stream_book_states(
+    updates: DataFrame, refresh_threshold: float | None = None, idle_ns: int = DEFAULT_IDLE_NS, watermark: str = DEFAULT_WATERMARK
+) -> DataFrame:
+    """Book summaries of a stream of update rows (see `normalize.book_updates`).
 
-def stream_book_states(updates: DataFrame, refresh_threshold: float | None = None) -> DataFrame:
-    """Book summaries of a stream of update rows (see `normalize.book_updates`)."""
+    A book ends `idle_ns` after its last row; markets live minutes, so the default is far beyond their end.
+    """
     from pyspark.sql import functions as F
 
     prepare_state_store(updates.sparkSession)
     levels = level_updates(updates).withColumn("rank", F.when(F.col("kind") == "clear", 0).otherwise(1))
-    states = levels.groupBy("asset_id").transformWithStateInPandas(
-        statefulProcessor=BookProcessor(refresh_threshold), outputStructType=OUTPUT_DDL, outputMode="Append", timeMode="None"
-    )
+    levels = with_event_time(levels, watermark)
+    states = with_state(levels.groupBy("asset_id"), BookProcessor(refresh_threshold, idle_ns), OUTPUT_DDL)
     doubles = {*TOP_COLUMNS, *DEPTH_COLUMNS}
     return states.select(
         *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in doubles else F.col(c) for c in states.columns]

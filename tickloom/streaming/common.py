@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.functions.text import ns_to_timestamp
 from tickloom.session import shared_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DEFAULT_WATERMARK = "2 seconds"
+DEFAULT_IDLE_NS = 3600 * NS_PER_SECOND
 
 
 def prepare_state_store(spark: SparkSession) -> None:
@@ -28,6 +31,53 @@ def with_event_time(df: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFr
     return df.withColumn("event_time", ns_to_timestamp(F.col("recv_ns"))).withWatermark("event_time", watermark)
 
 
+class EndingProcessor(StatefulProcessor):
+    """A processor whose state of a key ends when the watermark is `idle_ns` behind the key's newest row.
+
+    One event-time timer per key moves on with its rows; when it fires, all states named by `ending`
+    are cleared, and the key's next row starts anew. Without `idle_ns` (batch tables) there are no timers.
+    """
+
+    idle_ns: int | None = None
+
+    def ending(self, handle: StatefulProcessorHandle, *states) -> None:
+        """To be called in `init` with the states that end."""
+        self.handle, self.states = handle, states
+        self.ends = handle.getValueState("ends", "at_ms long") if self.idle_ns is not None else None
+
+    def lives_on(self, newest_ns: int) -> None:
+        if self.ends is None:
+            return
+        at = (int(newest_ns) + self.idle_ns) // NS_PER_MS + 1
+        before = self.ends.get()[0] if self.ends.exists() else None
+        if before is not None and at <= before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.ends.update((at,))
+
+    def ends_at(self, expired_ms: int) -> bool:
+        """Clear all states if the timer that fired is the key's end."""
+        if self.ends is None or not self.ends.exists() or expired_ms < self.ends.get()[0]:
+            return False
+        for state in (*self.states, self.ends):
+            state.clear()
+        return True
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.ends_at(expiredTimerInfo.getExpiryTimeInMs())
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def with_state(grouped, processor: StatefulProcessor, schema: str) -> DataFrame:
+    mode = "EventTime" if getattr(processor, "idle_ns", None) is not None else "None"
+    return grouped.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
+
+
 def in_order(rows: Iterator, columns: list[str]):
     """All rows of a key in this micro-batch as one ordered frame."""
     import pandas as pd
@@ -39,14 +89,20 @@ def in_order(rows: Iterator, columns: list[str]):
     return frame.sort_values(columns, kind="stable").reset_index(drop=True)
 
 
-def run_to_table(stream: DataFrame, purpose: str, partition_by: list[str] | None = None, mode: str = "append") -> DataFrame:
-    """Run all available input once into a parquet table in the shared folder and read it back."""
+def run_to_table(stream: DataFrame, purpose: str, partition_by: list[str] | None = None, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Run all available input once into a parquet table in the shared folder and read it back.
+
+    The progress of every micro-batch is added to `progress`.
+    """
     spark = stream.sparkSession
     path, state = shared_folder(spark, purpose), shared_folder(spark, f"{purpose}-checkpoint")
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.start(path).awaitTermination()
+    run = writer.start(path)
+    run.awaitTermination()
+    if progress is not None:
+        progress += run.recentProgress
     return spark.read.schema(stream.schema).parquet(path)
 
 

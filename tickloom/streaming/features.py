@@ -6,12 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.functions.prices import GUARD
 from tickloom.plans.features import EWMA_SPANS, OWN_OFFSETS, REFERENCE_OFFSETS_MS, TRADE_RUN
-from tickloom.streaming.common import in_order, prepare_state_store
+from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, in_order, prepare_state_store, with_event_time, with_state
 
 SMOOTHED = ["realized_vol_short", "depth_top10_imbalance", "ref_return_1000ms", "ref_return_3000ms"]
 EVENT_DDL = (
@@ -54,7 +54,9 @@ def window_features(history, new, config: FeatureConfig):
     import pandas as pd
 
     ms, sec = NS_PER_MS * config.scale, NS_PER_SECOND * config.scale
-    rows = pd.concat([history, new], ignore_index=True) if history is not None and len(history) else new
+    rows = new
+    if history is not None and len(history):  # rows that came late take their place
+        rows = pd.concat([history, new], ignore_index=True).sort_values(["recv_ns", "seq"], kind="stable", ignore_index=True)
     book, trade, ref = (rows[rows["kind"] == k] for k in ("book", "trade", "ref"))
     fresh = new[new["kind"] == "book"]
     t = fresh["recv_ns"].to_numpy("int64")
@@ -128,17 +130,18 @@ def window_features(history, new, config: FeatureConfig):
     return pd.concat([head, pd.DataFrame(out)], axis=1), rows
 
 
-class FeatureProcessor(StatefulProcessor):
+class FeatureProcessor(EndingProcessor):
     """Recent rows (bounded by the longest window), EWMA sums and the throttle's memory."""
 
-    def __init__(self, config: FeatureConfig):
-        self.config = config
+    def __init__(self, config: FeatureConfig, idle_ns: int | None = None):
+        self.config, self.idle_ns = config, idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", EVENT_DDL)
         sums = ", ".join(f"n{i}_{n} double, d{i}_{n} double" for i in range(len(SMOOTHED)) for n in EWMA_SPANS)
         self.sums = handle.getValueState("sums", sums)
         self.throttle = handle.getValueState("throttle", "sample_ns long, mid double")
+        self.ending(handle, self.recent, self.sums, self.throttle)
 
     def handleInputRows(self, key, rows, timerValues):
         import numpy as np
@@ -149,6 +152,7 @@ class FeatureProcessor(StatefulProcessor):
         if new is None:
             return
         new = new[names]
+        self.lives_on(new["recv_ns"].iloc[-1])
         history = pd.DataFrame([tuple(r) for r in self.recent.get()], columns=names) if self.recent.exists() else None
         frame, joined = window_features(history, new, self.config)
 
@@ -188,16 +192,18 @@ class FeatureProcessor(StatefulProcessor):
         frame["sampled"], frame["predict"] = sampled, predict
         yield frame[[x.split()[0] for x in OUTPUT_DDL.split(", ")]]
 
-    def close(self) -> None:
-        pass
 
+def online_features(
+    events: DataFrame, config: FeatureConfig | None = None, idle_ns: int = DEFAULT_IDLE_NS, watermark: str = DEFAULT_WATERMARK
+) -> DataFrame:
+    """Feature rows of a stream of book, trade and reference events per asset.
 
-def online_features(events: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
-    """Feature rows of a stream of book, trade and reference events per asset."""
+    The history of an asset ends `idle_ns` (times the configured scale) after its last row.
+    """
     prepare_state_store(events.sparkSession)
-    out = events.groupBy("asset_id").transformWithStateInPandas(
-        statefulProcessor=FeatureProcessor(config or FeatureConfig()), outputStructType=OUTPUT_DDL, outputMode="Append", timeMode="None"
-    )
+    config = config or FeatureConfig()
+    timed = with_event_time(events, watermark)
+    out = with_state(timed.groupBy("asset_id"), FeatureProcessor(config, idle_ns * config.scale), OUTPUT_DDL)
     return out.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in FEATURES else F.col(c) for c in out.columns])
 
 

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.functions import prices
-from tickloom.streaming.common import DEFAULT_WATERMARK, in_order, prepare_state_store, with_event_time
+from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, in_order, prepare_state_store, with_event_time, with_state
 
 # The columns every event row of the outcome stream has.
 EVENT_DDL = (
@@ -84,23 +84,23 @@ class Open:
         return base | {"result": "unwind" if self.opposite else "no_opposite", "profit": size * bid - paid}
 
 
-class OutcomeProcessor(StatefulProcessor):
+class OutcomeProcessor(EndingProcessor):
     """Open signals and latest books of one market; a timer closes what no book row closes.
 
     A signal is resolved at the market's first book row at or after its horizon, with the
     book as of that row, or when the watermark passes the horizon.
     """
 
-    def __init__(self, config: OutcomeConfig):
-        self.config = config
+    def __init__(self, config: OutcomeConfig, idle_ns: int | None = None):
+        self.config, self.idle_ns = config, idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.open = handle.getMapState(
             "open", "signal_id string",
             "predict_ns long, asset_id string, opposite string, ask double, tick double, tracked boolean, fill_price double, fill_ns long, entered boolean",
         )
         self.books = handle.getMapState("books", "asset_id string", "bid double, ask double, mid double")
+        self.ending(handle, self.books)
 
     def _load(self):
         opened = {k[0]: Open(k[0], *v) for k, v in self.open.iterator()}
@@ -139,6 +139,7 @@ class OutcomeProcessor(StatefulProcessor):
         frame = in_order(rows, ["recv_ns", "seq", "rank"])
         if frame is None:
             return
+        self.lives_on(frame["recv_ns"].iloc[-1])
         opened, books = self._load()
         before, closed = set(opened), []
         for r in frame.itertuples(index=False):
@@ -164,23 +165,26 @@ class OutcomeProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         opened, books = self._load()
         before = set(opened)
-        closed = self._close(key[0], opened, books, expiredTimerInfo.getExpiryTimeInMs() * NS_PER_MS)
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        closed = self._close(key[0], opened, books, expired * NS_PER_MS)
         self._store(opened, before, {})
+        self.ends_at(expired)
         if closed:
             yield self._frame(closed)
 
-    def close(self) -> None:
-        pass
 
+def resolve_outcomes(
+    events: DataFrame, config: OutcomeConfig | None = None, watermark: str = DEFAULT_WATERMARK, idle_ns: int = DEFAULT_IDLE_NS
+) -> DataFrame:
+    """Outcomes of the signals among `events` (rows of `EVENT_DDL`), keyed by market.
 
-def resolve_outcomes(events: DataFrame, config: OutcomeConfig | None = None, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Outcomes of the signals among `events` (rows of `EVENT_DDL`), keyed by market."""
+    The books of a market end `idle_ns` (the horizon at least) after its last row.
+    """
+    config = config or OutcomeConfig()
     prepare_state_store(events.sparkSession)
     rank = F.when(F.col("kind") == "book", RANK["book"]).when(F.col("kind") == "trade", RANK["trade"]).otherwise(RANK["signal"])
     timed = with_event_time(events.where(F.col("market_id").isNotNull()).withColumn("side", F.upper("side")).withColumn("rank", rank), watermark)
-    return timed.groupBy("market_id").transformWithStateInPandas(
-        statefulProcessor=OutcomeProcessor(config or OutcomeConfig()), outputStructType=OUTPUT_DDL, outputMode="Append", timeMode="EventTime"
-    )
+    return with_state(timed.groupBy("market_id"), OutcomeProcessor(config, max(idle_ns, config.horizon_ns + NS_PER_SECOND)), OUTPUT_DDL)
 
 
 def as_events(df: DataFrame, kind: str) -> DataFrame:

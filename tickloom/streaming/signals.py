@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from tickloom import NS_PER_SECOND
 from tickloom.operators.gating import entry_allowed, signal_key
-from tickloom.streaming.common import in_order, prepare_state_store
+from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, in_order, prepare_state_store, with_event_time, with_state
 
 GATES = ["raw_signal", "crossed", "cooldown_ok", "max_entries_ok", "has_opposite", "entry_ok", "p_fill_ok", "unwind_ok", "first_leg_ok"]
 
@@ -54,21 +54,23 @@ def scored_gates(samples: DataFrame, c: GateConfig) -> DataFrame:
     )
 
 
-class GateProcessor(StatefulProcessor):
+class GateProcessor(EndingProcessor):
     """Cooldown, entry count and last score of one signal key."""
 
-    def __init__(self, config: GateConfig):
-        self.config = config
+    def __init__(self, config: GateConfig, idle_ns: int | None = None):
+        self.config, self.idle_ns = config, idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("gate", "last_ns long, entries long, candidate_ns long")
         self.scores = handle.getMapState("scores", "asset_id string", "score double")
+        self.ending(handle, self.state, self.scores)
 
     def handleInputRows(self, key, rows, timerValues):
         c = self.config
         frame = in_order(rows, ["recv_ns", "seq"])
         if frame is None:
             return
+        self.lives_on(frame["recv_ns"].iloc[-1])
         last, entries, candidate = self.state.get() if self.state.exists() else (None, 0, None)
         cooldown, spacing = int(c.cooldown_seconds * NS_PER_SECOND), int(c.candidate_seconds * NS_PER_SECOND)
         scores = {k[0]: v[0] for k, v in self.scores.iterator()}
@@ -97,9 +99,6 @@ class GateProcessor(StatefulProcessor):
             self.scores.updateValue((asset,), (score,))
         yield frame.assign(**out)
 
-    def close(self) -> None:
-        pass
-
 
 OUTPUT = [
     "recv_ns long", "seq long", "market_id string", "asset_id string", "opposite_asset_id string", "outcome string", "signal_key string",
@@ -109,11 +108,12 @@ OUTPUT = [
 ]
 
 
-def gate_signals(samples: DataFrame, config: GateConfig) -> DataFrame:
+def gate_signals(samples: DataFrame, config: GateConfig, idle_ns: int = DEFAULT_IDLE_NS, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
     """Every scored sample with its gate flags, `signal`, and `candidate` (shadow sample).
 
     For streams: a key's rows of one micro-batch are handled together. Whole tables go
-    through `operators.gating`, which cuts keys into slices.
+    through `operators.gating`, which cuts keys into slices. On a stream, a key's state ends `idle_ns` (the
+    cooldown at least) after its last row.
     """
     prepare_state_store(samples.sparkSession)
     if "tick_size" not in samples.columns:
@@ -123,17 +123,18 @@ def gate_signals(samples: DataFrame, config: GateConfig) -> DataFrame:
     kept = [n for n in names if n in gated.columns] + ["finite"]
     schema = ", ".join([*OUTPUT, "finite boolean"])
     ordered = [*names, "finite"]
-    flagged = gated.select(*kept).groupBy("signal_key").transformWithStateInPandas(
-        statefulProcessor=_Ordered(config, ordered), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    rows, ends = gated.select(*kept), None
+    if samples.isStreaming:
+        rows, ends = with_event_time(rows, watermark), max(idle_ns, int(config.cooldown_seconds * NS_PER_SECOND))
+    flagged = with_state(rows.groupBy("signal_key"), _Ordered(config, ordered, ends), schema)
     return flagged.drop("finite")
 
 
 class _Ordered(GateProcessor):
     """`GateProcessor` with the output columns in schema order."""
 
-    def __init__(self, config: GateConfig, columns: list[str]):
-        super().__init__(config)
+    def __init__(self, config: GateConfig, columns: list[str], idle_ns: int | None = None):
+        super().__init__(config, idle_ns)
         self.columns = columns
 
     def handleInputRows(self, key, rows, timerValues):

@@ -545,6 +545,34 @@ def live_policy_query(spark, sf):
     return policy.live_policy_rows(rows, policies).select("signal_key", "recv_ns")
 
 
+EXPECTED_STEPS, FILL_STEPS, UNWIND_STEPS = [i / 100 for i in range(-2, 4)], [i / 10 for i in range(3, 10)], [i / 400 - 0.045 for i in range(30)]
+
+
+def step_list(steps):
+    return "[" + ", ".join(f"{x!r}::DOUBLE" for x in steps) + "]"
+
+
+@query(
+    "live_policy_grid",
+    with_ctes(
+        SCORED
+        + f""", cand AS (SELECT market_id || ':' || outcome AS signal_key, recv_ns, seq, {EXPECTED} AS e, p_fill AS f, pred_unwind_profit AS u, profit, fill_cls FROM scored
+             WHERE best_bid > 0 AND best_ask BETWEEN 0.0 AND 1.0 AND current_spread <= 0.05),
+        g AS (SELECT * FROM (SELECT unnest({step_list(EXPECTED_STEPS)}) AS expected_profit_threshold), (SELECT unnest({step_list(FILL_STEPS)}) AS min_p_fill), (SELECT unnest({step_list(UNWIND_STEPS)}) AS min_pred_unwind_profit)),
+        firsts AS (SELECT expected_profit_threshold, min_p_fill, min_pred_unwind_profit, signal_key, arg_min((profit, fill_cls), (recv_ns, seq)) AS x
+             FROM cand JOIN g ON e >= expected_profit_threshold AND f >= min_p_fill AND u >= min_pred_unwind_profit GROUP BY ALL),
+        s AS (SELECT expected_profit_threshold, min_p_fill, min_pred_unwind_profit, count(*) AS entries, sum(x[1]) AS total, count(*) FILTER (WHERE x[2] = 'enter') AS good FROM firsts GROUP BY ALL)""",
+        """SELECT expected_profit_threshold, min_p_fill, min_pred_unwind_profit, coalesce(entries, 0) AS entries, round(total, 6) + 0.0 AS total_profit, round(total / entries, 6) + 0.0 AS avg_profit,
+           round(good::DOUBLE / entries, 6) AS success_rate FROM g LEFT JOIN s USING (expected_profit_threshold, min_p_fill, min_pred_unwind_profit)""",
+    ),
+)
+def live_grid_query(spark, sf):
+    """1,260 policies side by side; every row is in the shuffle once at most."""
+    rows = policy.with_expected_profit(m.scored(spark, sf))
+    grid = policy.live_policy_grid(rows, "profit", "fill_cls", EXPECTED_STEPS, FILL_STEPS, UNWIND_STEPS)
+    return grid.select(*policy.POLICY_DIMS, "entries", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("total_profit", "avg_profit")], F.round("success_rate", 6).alias("success_rate"))
+
+
 @query(
     "success_and_unwind_profit",
     with_ctes(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import NS_PER_SECOND
+from tickloom.functions.prices import PRICE_BUFFER
 from tickloom.streaming import features as online
 from tickloom.streaming.book import stream_book_states
 from tickloom.streaming.common import read_table_stream, run_to_table
@@ -122,9 +123,18 @@ H10 = 10 * HOUR
 OUTCOME = (
     SCORED
     + TRADES
-    + f""", sig AS (SELECT * FROM scored WHERE seq % 5 = 0),
+    + f""", sig AS (SELECT *, p_fill >= 0.5 AS tracked FROM scored),
+    firsts AS (SELECT market_id, recv_ns, min(seq) AS seq FROM scored GROUP BY ALL),
+    ends AS (SELECT s.seq, f.recv_ns AS end_ns, f.seq AS end_seq FROM sig s ASOF JOIN firsts f ON s.market_id = f.market_id AND s.recv_ns + {H10} <= f.recv_ns),
+    later AS (SELECT s.seq, b.asset_id = s.asset_id AS own, b.best_ask <= s.best_ask + {PRICE_BUFFER}::DOUBLE + 1e-12 AS good, (b.recv_ns, b.seq) AS place
+        FROM sig s LEFT JOIN ends e USING (seq) JOIN scored b ON b.market_id = s.market_id AND b.recv_ns >= s.recv_ns AND (b.recv_ns, b.seq) > (s.recv_ns, s.seq)
+        WHERE e.end_ns IS NULL OR (b.recv_ns, b.seq) <= (e.end_ns, e.end_seq)),
+    bought AS (SELECT seq, bool_or(own AND good) OR coalesce(min(place) FILTER (WHERE NOT own) < min(place) FILTER (WHERE own), bool_or(NOT own)) AS ok FROM later GROUP BY seq),
     fill AS (SELECT s.seq, count(*) AS n FROM sig s JOIN trades t ON t.asset_id = s.opposite_asset_id AND t.side = 'SELL' AND t.recv_ns BETWEEN s.recv_ns + {HOUR // 4} AND s.recv_ns + {H10}
-             AND t.price <= (0.96::DOUBLE - s.best_ask) - 1.0::DOUBLE * 0.01::DOUBLE + 1e-12 GROUP BY 1)"""
+             AND t.price <= (0.96::DOUBLE - s.best_ask) - 1.0::DOUBLE * 0.01::DOUBLE + 1e-12 GROUP BY 1),
+    resolved AS (SELECT s.seq, s.tracked, CASE WHEN s.tracked AND NOT coalesce(bought.ok, false) THEN 'missed' WHEN fill.n > 0 THEN 'success' ELSE 'unwind' END AS result
+        FROM sig s LEFT JOIN fill ON fill.seq = s.seq LEFT JOIN bought ON bought.seq = s.seq LEFT JOIN ends ON ends.seq = s.seq
+        WHERE s.recv_ns + {H10} <= (SELECT max(recv_ns) FROM ticks) - 2000000000 OR ends.seq IS NOT NULL)"""
 )
 
 
@@ -132,7 +142,7 @@ def outcome_events(spark, sf):
     s = m.scored(spark, sf)
     books = as_events(s.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2), "book")
     trades = as_events(m.trades(spark, sf), "trade")
-    signals = s.where("seq % 5 = 0").withColumn("signal_id", F.col("seq").cast("string")).withColumn("tracked", F.lit(False)).withColumn("tick_size", F.lit(0.01))
+    signals = s.withColumns({"signal_id": F.col("seq").cast("string"), "tracked": F.col("p_fill") >= 0.5, "tick_size": F.lit(0.01)})
     return books.unionByName(trades).unionByName(as_events(signals, "signal"))
 
 
@@ -141,27 +151,21 @@ def outcomes(spark, sf):
     return run_to_table(resolve_outcomes(outcome_events(_Streamed(spark), sf), config), "outcomes")
 
 
-@query(
-    "stream_outcomes",
-    with_ctes(OUTCOME, "SELECT CAST(s.seq AS VARCHAR) AS signal_id, CASE WHEN fill.n > 0 THEN 'success' ELSE 'unwind' END AS result FROM sig s LEFT JOIN fill ON fill.seq = s.seq "
-              f"WHERE s.recv_ns + {H10} <= (SELECT max(recv_ns) FROM ticks) - 2000000000 OR EXISTS (SELECT 1 FROM book b WHERE b.market_id = s.market_id AND b.recv_ns >= s.recv_ns + {H10})"),
-)
+@query("stream_outcomes", with_ctes(OUTCOME, "SELECT CAST(seq AS VARCHAR) AS signal_id, tracked, result FROM resolved"))
 def outcome_stream(spark, sf):
-    return outcomes(spark, sf).select("signal_id", "result")
+    return outcomes(spark, sf).select("signal_id", "tracked", "result")
 
 
 @query(
     "stream_outcome_totals",
     with_ctes(
-        OUTCOME
-        + f""", r AS (SELECT coalesce(fill.n, 0) > 0 AS ok FROM sig s LEFT JOIN fill ON fill.seq = s.seq WHERE s.recv_ns + {H10} <= (SELECT max(recv_ns) FROM ticks) - 2000000000
-             OR EXISTS (SELECT 1 FROM book b WHERE b.market_id = s.market_id AND b.recv_ns >= s.recv_ns + {H10}))""",
-        """SELECT count(*) AS resolved, count(*) FILTER (WHERE ok) AS success, count(*) FILTER (WHERE NOT ok) AS failure, least(count(*), 100) AS recent_n FROM r""",
+        OUTCOME,
+        """SELECT count(*) AS resolved, count(*) FILTER (WHERE result = 'success') AS success, count(*) FILTER (WHERE result = 'unwind') AS failure,
+           least(count(*) FILTER (WHERE result <> 'missed'), 100) AS recent_n FROM resolved WHERE tracked""",
     ),
 )
 def totals_stream(spark, sf):
-    """The outcomes of every signal, totalled as if all were tracked."""
-    o = outcomes(spark, sf).withColumn("tracked", F.lit(True))
+    o = outcomes(spark, sf)
     totals = outcome_totals(o).select("resolved", "success", "failure")
     return totals.withColumn("recent_n", F.lit(recent_profit(o).first()["recent_n"]))
 
