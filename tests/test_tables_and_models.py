@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.plans import models
-from tickloom.plans.dataset import DatasetConfig, dataset_metadata, feature_columns
+from tickloom.plans.dataset import TablePlan, dataset_metadata, feature_columns
 from tickloom.plans.evaluation import positive_class
 from tickloom.schemas import DDL, conform, schema_of
 from tickloom.sources import sinks, tables
@@ -43,7 +43,7 @@ def test_parts_and_json_lines(spark, tmp_path):
     assert names[0].startswith("market_part=m_1-") and names[1:] == ["market_part=unknown"]
     assert sorted(r["market_id"] for r in spark.read.parquet(str(tmp_path / "parts")).collect()) == ["", "m/1"]
     assert {r["x"] for r in sinks.json_safe(df).collect()} == {None, 1.0}
-    paths = sinks.write_artifacts(df, dataset_metadata(df, DatasetConfig()), str(tmp_path / "out"))
+    paths = sinks.write_artifacts(df, dataset_metadata(df, TablePlan()), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(paths["csv"]).count() == 2
     assert json.loads(spark.read.json(paths["metadata"]).first()["config"])["horizon_seconds"] == 10
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,30 +26,49 @@ class OrderStatistic:
     equal: int
 
 
-def finite(col: Column) -> Column:
-    """Null for NaN and infinities."""
-    bad = F.isnan(col) | (F.abs(col) == F.lit(float("inf")))
-    return F.when(~bad, col)
+def is_finite(df: DataFrame, column: str) -> Column:
+    """Whether a value is neither null, NaN nor infinite."""
+    v = F.col(column)
+    if not isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return v.isNotNull()
+    return v.isNotNull() & ~F.isnan(v) & (v < float("inf")) & (v > float("-inf"))
 
 
-def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> tuple[int, list[OrderStatistic]]:
+class Extent(NamedTuple):
+    """Count, least and greatest of the finite values."""
+
+    n: int
+    lo: float | int | None
+    hi: float | int | None
+
+
+def finite_values(df: DataFrame, column: str) -> DataFrame:
+    """The finite values as column `v`: rows are dropped once, so later expressions meet a plain column."""
+    return df.where(is_finite(df, column)).select(F.col(column).alias("v"))
+
+
+def extent(values: DataFrame) -> Extent:
+    return Extent(*values.agg(F.count("v"), F.min("v"), F.max("v")).first())
+
+
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], known: Extent | None = None) -> tuple[int, list[OrderStatistic]]:
     """Exact values at the given 0-based ranks of the non-null values of `column`.
 
     Repeated histograms: each pass counts `BINS` equal bins inside the interval around
     every wanted rank and keeps one bin. Data is only scanned, never sorted or moved;
     the driver sees at most `BINS` counts per wanted rank and pass. Ranks out of range
-    are left out. NaN and infinities have no place in an interval and count as null.
+    are left out. NaN and infinities have no place in an interval and count as null. `known`
+    is the extent of the values where it was found before.
     """
     real = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
-    values = df.select((finite(F.col(column)) if real else F.col(column)).alias("v")).where(F.col("v").isNotNull())
-    head = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    total = head["n"]
+    values = finite_values(df, column)
+    total, least, greatest = known or extent(values)
     wanted = sorted({r for r in ranks if 0 <= r < total})
     found: dict[int, OrderStatistic] = {}
     # interval (lo, hi) -> (values below it, ranks inside it)
-    active: dict[tuple, tuple[int, list[int]]] = {(head["lo"], head["hi"]): (0, wanted)} if wanted else {}
-    if wanted and head["lo"] == head["hi"]:
-        return total, [OrderStatistic(r, head["lo"], 0, total) for r in wanted]
+    active: dict[tuple, tuple[int, list[int]]] = {(least, greatest): (0, wanted)} if wanted else {}
+    if wanted and least == greatest:
+        return total, [OrderStatistic(r, least, 0, total) for r in wanted]
 
     while active:
         bounds = list(active)
@@ -94,13 +114,14 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int]) -> tuple[
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
     """Quantiles with linear interpolation between order statistics; NaN/Inf are ignored."""
-    clean = df.select(finite(F.col(column).cast("double")).alias("v"))
-    total = clean.agg(F.count("v")).first()[0]
+    clean = df.select(F.col(column).cast("double").alias("v"))
+    known = extent(finite_values(clean, "v"))
+    total = known.n
     if total == 0:
         return [None for _ in probabilities]
     places = [(total - 1) * p for p in probabilities]
     needed = {math.floor(x) for x in places} | {math.ceil(x) for x in places}
-    _, stats = order_statistics(clean, "v", sorted(needed))
+    _, stats = order_statistics(clean, "v", sorted(needed), known)
     at = {s.rank: float(s.value) for s in stats}
     out: list[float | None] = []
     for x in places:
@@ -123,13 +144,13 @@ def rank_bucket(df: DataFrame, column: str, name: str, prefix: str = "q", n: int
     Nulls, NaN and infinities, and columns with at most one distinct finite value, get bucket 0.
     The bucket of a value is decided by `n - 1` boundary values, so rows are only mapped.
     """
-    kept = column
-    column = "__finite"
-    df = df.withColumn(column, finite(F.col(kept)) if isinstance(df.schema[kept].dataType, (T.DoubleType, T.FloatType)) else F.col(kept))
-    total = df.agg(F.count(column)).first()[0]
+    known = extent(finite_values(df, column))
+    total = known.n
+    if total == 0 or known.lo == known.hi:
+        return df.withColumn(name, F.lit(f"{prefix}0"))
     # the value at rank ceil(b * total / n) is the only one that can sit on boundary b
     place = {b: -(-b * total // n) for b in range(1, n)}
-    _, stats = order_statistics(df, column, sorted(set(place.values())))
+    _, stats = order_statistics(df, column, sorted(set(place.values())), known)
     by_rank = {s.rank: s for s in stats}
     bucket = F.lit(0)
     for b in range(1, n):
@@ -139,9 +160,8 @@ def rank_bucket(df: DataFrame, column: str, name: str, prefix: str = "q", n: int
         inclusive = (2 * s.less + s.equal - 1) * n >= 2 * b * total
         reached = F.col(column) >= F.lit(s.value) if inclusive else F.col(column) > F.lit(s.value)
         bucket = bucket + F.when(reached, 1).otherwise(0)
-    single = total == 0 or _single_valued(df, column)
-    label = F.lit(f"{prefix}0") if single else F.concat(F.lit(prefix), bucket.cast("string"))
-    return df.withColumn(name, F.when(F.col(column).isNull(), F.lit(f"{prefix}0")).otherwise(label)).drop(column)
+    label = F.when(is_finite(df, column), F.concat(F.lit(prefix), bucket.cast("string"))).otherwise(F.lit(f"{prefix}0"))
+    return df.withColumn(name, label)
 
 
 def _single_valued(df: DataFrame, column: str) -> bool:
@@ -193,7 +213,7 @@ def rank_correlation(df: DataFrame, a: str, b: str, tie: Sequence[str]) -> DataF
 
 def top_ranked_values(df: DataFrame, column: str, ks: Sequence[int], digits: int = 6) -> list[float]:
     """The k-th largest finite values for the given ks, rounded, as scalars."""
-    clean = df.select(finite(F.col(column).cast("double")).alias("v"))
-    total = clean.agg(F.count("v")).first()[0]
-    _, stats = order_statistics(clean, "v", [total - k for k in ks if 0 < k <= total])
+    clean = df.select(F.col(column).cast("double").alias("v"))
+    known = extent(finite_values(clean, "v"))
+    _, stats = order_statistics(clean, "v", [known.n - k for k in ks if 0 < k <= known.n], known)
     return sorted({round(float(s.value), digits) for s in stats})

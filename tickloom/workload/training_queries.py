@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from tickloom.operators.splits import chronological_split
 from tickloom.plans import features, labels, models, policy
 from tickloom.plans.canonical import canonical_book, reference_book
-from tickloom.plans.dataset import DatasetConfig, build_feature_table, dataset_metadata, training_rows
+from tickloom.plans.dataset import Sampling, TablePlan, Targets, build_feature_table, dataset_metadata, training_rows
 from tickloom.session import cut_lineage
 from tickloom.workload import mapping as m
 from tickloom.workload.base_sql import BOOK, HOUR, REFERENCE, TRADES, with_ctes
 from tickloom.workload.mapping import DAY
 from tickloom.workload.registry import query
 
-CONFIG = DatasetConfig(sample_interval_ms=1000, scale=m.SCALE, join_tolerance_ms=6000, slice_ns=2 * DAY, horizons=[5, 10])
+PLAN = TablePlan(Sampling(every_ms=1000), Targets(horizons=(5, 10)), reach_ms=6000, scale=m.SCALE, slice_ns=2 * DAY)
 
 
 def feature_table(spark, sf):
@@ -26,7 +26,7 @@ def feature_table(spark, sf):
         (F.col("mid") - 0.01).alias("best_bid"), (F.col("mid") + 0.01).alias("best_ask"), F.col("mid").alias("midpoint"),
     )
     ref_trades = m.trades(spark, sf).select("recv_ns", "seq", "size", "signed_side", F.lit("BTC").alias("symbol"))
-    return build_feature_table(canonical_book(raw), m.trades(spark, sf), reference_book(None, feed), ref_trades, None, CONFIG)
+    return build_feature_table(canonical_book(raw), m.trades(spark, sf), reference_book(None, feed), ref_trades, None, PLAN)
 
 
 SAMPLED = BOOK + TRADES + REFERENCE + f""", s AS (
@@ -61,7 +61,7 @@ def table_query(spark, sf):
 )
 def extent_query(spark, sf):
     rows = training_rows(feature_table(spark, sf), 10, m.SCALE)
-    return dataset_metadata(rows, CONFIG).select("rows", "start_ns", "end_ns")
+    return dataset_metadata(rows, PLAN).select("rows", "start_ns", "end_ns")
 
 
 FEATURES = ["current_mid", "current_spread", "top1_imbalance", "depth_top10_imbalance", "total_bid_levels", "total_ask_levels", "price_bucket"]
