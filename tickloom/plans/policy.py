@@ -106,12 +106,12 @@ def policy_dims(expected: Sequence[float], fill: Sequence[float], unwind: Sequen
 
 def policy_grid(
     df: DataFrame, profit: str, fill_cls: str, expected: Sequence[float], fill: Sequence[float], unwind: Sequence[float],
-    by: Sequence[str] = (), positive: str = "enter",
+    by: Sequence[str] = (), positive: str = "enter", continuous: bool = False,
 ) -> DataFrame:
     """Statistics of row selection for every policy of the grid."""
     return grid_statistics(
         df, policy_dims(expected, fill, unwind), profit, by, success=F.col(fill_cls) == positive,
-        means=["p_fill", "pred_unwind_profit", "pred_expected_profit"],
+        means=["p_fill", "pred_unwind_profit", "pred_expected_profit"], continuous=continuous,
     )
 
 

@@ -192,6 +192,26 @@ def policy_query(spark, sf):
     return rounded(grid, 7, "avg_pred_expected_profit").drop("avg_p_fill", "avg_pred_unwind_profit")
 
 
+FINE_PROFIT = "CAST((seq * 48271) % 1000003 AS DOUBLE) / 1000003 - 0.5"
+
+
+@query(
+    "policy_grid_continuous",
+    with_ctes(
+        SCORED + f", e AS (SELECT *, {EXPECTED} AS ep, {FINE_PROFIT} AS fine FROM scored)",
+        f"""SELECT outcome, expected_profit_threshold, min_p_fill, min_pred_unwind_profit, count(*) AS entries, round(median(fine), 8) + 0.0 AS median_profit FROM e
+            JOIN {levels_sql('expected_profit_threshold', LEVELS[0])} ON ep >= expected_profit_threshold JOIN {levels_sql('min_p_fill', LEVELS[1])} ON p_fill >= min_p_fill
+            JOIN {levels_sql('min_pred_unwind_profit', LEVELS[2])} ON pred_unwind_profit >= min_pred_unwind_profit GROUP BY ALL""",
+    ),
+)
+def continuous_query(spark, sf):
+    """Medians of all grid points of a profit that hardly repeats."""
+    fine = F.pmod(F.col("seq") * 48271, F.lit(1000003)).cast("double") / 1000003.0 - 0.5
+    rows = policy.with_expected_profit(m.scored(spark, sf)).withColumn("fine", fine)
+    grid = policy.policy_grid(rows, "fine", "fill_cls", *LEVELS, by=["outcome"], continuous=True)
+    return grid.select("outcome", *policy.POLICY_DIMS, "entries", (F.round("median_profit", 8) + F.lit(0.0)).alias("median_profit"))
+
+
 @query(
     "policy_selected_and_applied",
     with_ctes(
