@@ -45,7 +45,7 @@ def test_parts_and_json_lines(spark, tmp_path):
     assert {r["x"] for r in sinks.json_safe(df).collect()} == {None, 1.0}
     paths = sinks.write_artifacts(df, dataset_metadata(df, TablePlan()), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(paths["csv"]).count() == 2
-    assert json.loads(spark.read.json(paths["metadata"]).first()["config"])["horizon_seconds"] == 10
+    assert json.loads(spark.read.json(paths["metadata"]).first()["config"])["targets"]["main"] == 10
 
 
 def test_feature_list_has_no_label(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessorHandle
 
+from tickloom import NS_PER_MS
 from tickloom.functions.depth import DEPTH_COLUMNS
 from tickloom.operators.book import SUMMARY_DDL, TOP_COLUMNS, level_updates, replay
 from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, in_order, prepare_state_store, with_event_time, with_state
@@ -101,7 +102,7 @@ def stream_book_states(
 
     prepare_state_store(updates.sparkSession)
     levels = level_updates(updates).withColumn("rank", F.when(F.col("kind") == "clear", 0).otherwise(1))
-    levels = with_event_time(levels, watermark)
+    levels = with_event_time(levels, watermark, NS_PER_MS)
     states = with_state(levels.groupBy("asset_id"), BookProcessor(refresh_threshold, idle_ns), OUTPUT_DDL)
     doubles = {*TOP_COLUMNS, *DEPTH_COLUMNS}
     return states.select(

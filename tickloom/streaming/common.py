@@ -27,8 +27,13 @@ def prepare_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def with_event_time(df: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    return df.withColumn("event_time", ns_to_timestamp(F.col("recv_ns"))).withWatermark("event_time", watermark)
+def with_event_time(df: DataFrame, watermark: str = DEFAULT_WATERMARK, ahead_ns: int = 0) -> DataFrame:
+    """`df` with a watermark on its event time.
+
+    A watermark starts at the epoch and rows at it are late; where only timers follow the watermark, times are
+    put ahead by `ahead_ns`, so that clocks which start at zero lose no rows.
+    """
+    return df.withColumn("event_time", ns_to_timestamp(F.col("recv_ns") + F.lit(ahead_ns))).withWatermark("event_time", watermark)
 
 
 class EndingProcessor(StatefulProcessor):

@@ -202,7 +202,7 @@ def online_features(
     """
     prepare_state_store(events.sparkSession)
     config = config or FeatureConfig()
-    timed = with_event_time(events, watermark)
+    timed = with_event_time(events, watermark, NS_PER_MS)
     out = with_state(timed.groupBy("asset_id"), FeatureProcessor(config, idle_ns * config.scale), OUTPUT_DDL)
     return out.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in FEATURES else F.col(c) for c in out.columns])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
-from tickloom import NS_PER_SECOND
+from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.operators.gating import entry_allowed, signal_key
 from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, in_order, prepare_state_store, with_event_time, with_state
 
@@ -125,7 +125,7 @@ def gate_signals(samples: DataFrame, config: GateConfig, idle_ns: int = DEFAULT_
     ordered = [*names, "finite"]
     rows, ends = gated.select(*kept), None
     if samples.isStreaming:
-        rows, ends = with_event_time(rows, watermark), max(idle_ns, int(config.cooldown_seconds * NS_PER_SECOND))
+        rows, ends = with_event_time(rows, watermark, NS_PER_MS), max(idle_ns, int(config.cooldown_seconds * NS_PER_SECOND))
     flagged = with_state(rows.groupBy("signal_key"), _Ordered(config, ordered, ends), schema)
     return flagged.drop("finite")
 
