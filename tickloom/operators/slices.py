@@ -90,14 +90,23 @@ def range_frames(
     back = max(0, -min(f.lo for f in frames))
     ahead = max(0, max(f.hi for f in frames))
     width = slice_width or max(1, (back + ahead) * HALO_FACTOR)
+    sliced = time_slices(df, order, back, ahead, width)
+    window = Window.partitionBy(*keys, "__slice").orderBy(order)
+    return own_rows(sliced.select("*", *[f.agg.over(window.rangeBetween(f.lo, f.hi)).alias(f.name) for f in frames]))
+
+
+def time_slices(df: DataFrame, order: str, back: int, ahead: int, width: int) -> DataFrame:
+    """Each row in every slice from which it can be seen (`__slice`), and its own (`__home`)."""
     t = F.col(order)
-    sliced = df.withColumn("__home", int_div(t, width)).withColumn(
+    return df.withColumn("__home", int_div(t, width)).withColumn(
         "__slice",
         F.explode_outer(F.sequence(int_div(t - F.lit(ahead), width), int_div(t + F.lit(back), width))),
     )
-    window = Window.partitionBy(*keys, "__slice").orderBy(order)
-    out = sliced.select("*", *[f.agg.over(window.rangeBetween(f.lo, f.hi)).alias(f.name) for f in frames])
-    return out.where(F.col("__slice").eqNullSafe(F.col("__home"))).drop("__slice", "__home")
+
+
+def own_rows(sliced: DataFrame) -> DataFrame:
+    """Every row once, in its own slice."""
+    return sliced.where(F.col("__slice").eqNullSafe(F.col("__home"))).drop("__slice", "__home")
 
 
 def previous_values(
@@ -184,16 +193,27 @@ def row_frames(
     unevenly rows are spread over keys or time.
     """
     reach = max(f.rows for f in frames) - 1
+    out = block_values(row_blocks(df, keys, order, reach, slice_width, block_rows), keys, frames)
+    return out.where(F.col("__block") == F.col("__home")).drop("__block", "__home", "__pos")
+
+
+def row_blocks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], reach: int, slice_width: int, block_rows: int
+) -> DataFrame:
+    """Each row in its own block (`__home`) and in the next ones that look back `reach` rows (`__block`)."""
     placed = with_position(df, keys, order, "__pos", slice_width)
     zero = F.col("__pos") - 1
-    blocked = placed.withColumn("__home", int_div(zero, block_rows)).withColumn(
+    return placed.withColumn("__home", int_div(zero, block_rows)).withColumn(
         "__block", F.explode(F.sequence(int_div(zero, block_rows), int_div(zero + F.lit(reach), block_rows)))
     )
+
+
+def block_values(blocked: DataFrame, keys: Sequence[str], frames: Sequence[RowFrame]) -> DataFrame:
+    """The frames' aggregates inside each block."""
     window = Window.partitionBy(*keys, "__block").orderBy("__pos")
 
     def value(f: RowFrame) -> Column:
         agg = f.agg.over(window.rowsBetween(-(f.rows - 1), 0))
         return agg if f.partial else F.when(F.col("__pos") >= f.rows, agg)
 
-    out = blocked.select("*", *[value(f).alias(f.name) for f in frames])
-    return out.where(F.col("__block") == F.col("__home")).drop("__block", "__home", "__pos")
+    return blocked.select("*", *[value(f).alias(f.name) for f in frames])

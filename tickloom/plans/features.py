@@ -11,7 +11,8 @@ from tickloom.functions.depth import DEPTH_COLUMNS, level_fallbacks
 from tickloom.functions.prices import GUARD, ratio, simple_return
 from tickloom.operators.asof import Lookup, asof_adaptive, asof_lookups, shifted_lookups
 from tickloom.operators.ewma import ewma
-from tickloom.operators.slices import DEFAULT_SLICE_NS, Frame, RowFrame, previous_values, range_frames, row_frames
+from tickloom.operators.slices import DEFAULT_BLOCK_ROWS, DEFAULT_SLICE_NS, Frame, RowFrame, previous_values, range_frames, row_frames
+from tickloom.operators.sliding import RowRank, Trailing, row_frames_and_ranks, trailing_frames
 
 ASSET = ["market_id", "asset_id"]
 ORDER = ["recv_ns", "seq"]
@@ -36,11 +37,6 @@ BOOK_EVENT_FEATURES = [
 ]
 
 
-def last_ns(window_ns: int) -> tuple[int, int]:
-    """Frame bounds of the trailing window (t - w, t]."""
-    return -(window_ns - 1), 0
-
-
 def add_level_features(samples: DataFrame) -> DataFrame:
     return samples.select("*", *[c.alias(n) for n, c in level_fallbacks().items()])
 
@@ -58,21 +54,21 @@ def book_event_features(
     )
     delta = F.col("current_spread") - F.col("__spread")
     moves = moves.select(
-        *ASSET, *ORDER, delta.alias("__delta"), simple_return(F.col("current_mid"), F.col("__mid")).alias("__ret")
+        *ASSET, *ORDER, (delta > 0).alias("__wider"), (delta < 0).alias("__narrower"),
+        simple_return(F.col("current_mid"), F.col("__mid")).alias("__ret"),
     )
     ms, second = NS_PER_MS * scale, NS_PER_SECOND * scale
-    one = F.count(F.lit(1))
-    return range_frames(
+    return trailing_frames(
         moves, ASSET, "recv_ns",
         [
-            Frame("book_update_count_100ms", one, *last_ns(100 * ms)),
-            Frame("book_update_count_500ms", one, *last_ns(500 * ms)),
-            Frame("book_update_count_1s", one, *last_ns(second)),
-            Frame("spread_widen_count_recent", F.count_if(F.col("__delta") > 0), *last_ns(second)),
-            Frame("spread_narrow_count_recent", F.count_if(F.col("__delta") < 0), *last_ns(second)),
-            Frame("realized_vol_short", F.stddev_samp("__ret"), *last_ns(3 * second)),
+            Trailing("book_update_count_100ms", "count", 100 * ms),
+            Trailing("book_update_count_500ms", "count", 500 * ms),
+            Trailing("book_update_count_1s", "count", second),
+            Trailing("spread_widen_count_recent", "count", second, "__wider"),
+            Trailing("spread_narrow_count_recent", "count", second, "__narrower"),
+            Trailing("realized_vol_short", "stddev", 3 * second, "__ret"),
         ],
-    ).drop("__delta", "__ret")
+    ).drop("__wider", "__narrower", "__ret")
 
 
 def fast_update_flag(book: DataFrame, gap_ns: int = 100 * NS_PER_MS, slice_width: int = DEFAULT_SLICE_NS) -> DataFrame:
@@ -83,49 +79,59 @@ def fast_update_flag(book: DataFrame, gap_ns: int = 100 * NS_PER_MS, slice_width
 
 
 def trade_features(
-    trades: DataFrame, prefix: str = "", scale: int = 1, slice_width: int = DEFAULT_SLICE_NS
+    trades: DataFrame,
+    prefix: str = "",
+    scale: int = 1,
+    slice_width: int = DEFAULT_SLICE_NS,
+    block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
     """Trailing trade activity per trade: counts, signed volume, VWAP, runs and sweeps."""
     ms, second = NS_PER_MS * scale, NS_PER_SECOND * scale
     buy, sell = F.col("signed_side") > 0, F.col("signed_side") < 0
-    base = trades.select(*ASSET, *ORDER, "price", "size", "signed_side")
-    timed = range_frames(
+    size = F.col("size")
+    base = trades.select(
+        *ASSET, *ORDER, "size", "signed_side",
+        (size * buy.cast("double")).alias("__buys"), (size * sell.cast("double")).alias("__sells"),
+        (size * F.col("signed_side")).alias("__signed"), (F.col("price") * size).alias("__worth"),
+    )
+    timed = trailing_frames(
         base, ASSET, "recv_ns",
         [
-            Frame(f"{prefix}trade_count_100ms", F.sum(F.lit(1.0)), *last_ns(100 * ms)),
-            Frame(f"{prefix}trade_count_500ms", F.sum(F.lit(1.0)), *last_ns(500 * ms)),
-            Frame(f"{prefix}trade_count_1s", F.sum(F.lit(1.0)), *last_ns(second)),
-            Frame(f"{prefix}aggressive_buy_volume_1s", F.sum(F.col("size") * buy.cast("double")), *last_ns(second)),
-            Frame(f"{prefix}aggressive_sell_volume_1s", F.sum(F.col("size") * sell.cast("double")), *last_ns(second)),
-            Frame(f"{prefix}signed_volume_1s", F.sum(F.col("size") * F.col("signed_side")), *last_ns(second)),
-            Frame("__notional", F.sum(F.col("price") * F.col("size")), *last_ns(second)),
-            Frame("__size", F.sum("size"), *last_ns(second)),
+            Trailing(f"{prefix}trade_count_100ms", "count", 100 * ms),
+            Trailing(f"{prefix}trade_count_500ms", "count", 500 * ms),
+            Trailing(f"{prefix}trade_count_1s", "count", second),
+            Trailing(f"{prefix}aggressive_buy_volume_1s", "sum", second, "__buys"),
+            Trailing(f"{prefix}aggressive_sell_volume_1s", "sum", second, "__sells"),
+            Trailing(f"{prefix}signed_volume_1s", "sum", second, "__signed"),
+            Trailing("__notional", "sum", second, "__worth"),
+            Trailing("__size", "sum", second, "size"),
         ],
     )
-    counted = row_frames(
+    counted = row_frames_and_ranks(
         timed, ASSET, ORDER,
         [
             RowFrame(f"{prefix}consecutive_buy_trade_run_proxy", F.count_if(buy), TRADE_RUN),
             RowFrame(f"{prefix}consecutive_sell_trade_run_proxy", F.count_if(sell), TRADE_RUN),
-            RowFrame("__sizes", F.collect_list("size"), SWEEP_ROWS),
         ],
-        slice_width,
+        [RowRank("__smaller", "__known", "size", SWEEP_ROWS)],
+        slice_width, block_rows,
     )
-    # 95 % quantile of 100 values by the nearest-rank rule: index round(0.95 * 99) = 94
-    limit = F.get(F.array_sort("__sizes"), round(0.95 * (SWEEP_ROWS - 1)))
+    # above the 95 % quantile of 100 values by the nearest-rank rule (index round(0.95 * 99) = 94): 95 are smaller
+    place = round(0.95 * (SWEEP_ROWS - 1)) + 1
+    sweep = F.when(F.col("__known") >= place, F.col("__smaller") >= place)
     buys, sells = F.col(f"{prefix}aggressive_buy_volume_1s"), F.col(f"{prefix}aggressive_sell_volume_1s")
     signed = F.col(f"{prefix}signed_volume_1s")
     return counted.select(
         *ASSET, *ORDER,
-        *[f"{prefix}trade_count_{w}" for w in ("100ms", "500ms", "1s")],
-        F.col(f"{prefix}trade_count_1s").alias(f"{prefix}trade_count_recent"),
+        *[F.col(f"{prefix}trade_count_{w}").cast("double").alias(f"{prefix}trade_count_{w}") for w in ("100ms", "500ms", "1s")],
+        F.col(f"{prefix}trade_count_1s").cast("double").alias(f"{prefix}trade_count_recent"),
         buys, sells, signed,
         buys.alias(f"{prefix}aggressive_buy_volume_recent"),
         sells.alias(f"{prefix}aggressive_sell_volume_recent"),
         signed.alias(f"{prefix}signed_volume_recent"),
         (signed / (buys + sells + F.lit(GUARD))).alias(f"{prefix}signed_volume_imbalance_recent"),
         (F.col("__notional") / (F.col("__size") + F.lit(GUARD))).alias(f"{prefix}recent_vwap"),
-        (F.col("size") > limit).cast("tinyint").alias(f"{prefix}sweep_indicator_proxy"),
+        sweep.cast("tinyint").alias(f"{prefix}sweep_indicator_proxy"),
         f"{prefix}consecutive_buy_trade_run_proxy",
         f"{prefix}consecutive_sell_trade_run_proxy",
     )

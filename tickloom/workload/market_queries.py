@@ -349,7 +349,7 @@ TRADE_ROWS = "OVER (PARTITION BY asset_id ORDER BY recv_ns, seq ROWS BETWEEN {n}
     ),
 )
 def trade_query(spark, sf):
-    out = features.trade_features(m.trades(spark, sf), scale=m.SCALE, slice_width=SLICE)
+    out = features.trade_features(m.trades(spark, sf), scale=m.SCALE, slice_width=SLICE, block_rows=25)
     return out.select(
         "asset_id", "seq", "trade_count_1s", "aggressive_buy_volume_1s", "aggressive_sell_volume_1s",
         F.round("signed_volume_imbalance_recent", 9).alias("signed_volume_imbalance_recent"),
@@ -371,7 +371,7 @@ def trade_query(spark, sf):
 def sweep_query(spark, sf):
     """All trades as one hot key: the case in which a plain window would be one task."""
     one = m.trades(spark, sf).withColumn("asset_id", F.lit("A")).withColumn("market_id", F.lit("m"))
-    return features.trade_features(one, scale=m.SCALE, slice_width=SLICE).select("seq", "sweep_indicator_proxy")
+    return features.trade_features(one, scale=m.SCALE, slice_width=SLICE, block_rows=1000).select("seq", "sweep_indicator_proxy")
 
 
 @query(
