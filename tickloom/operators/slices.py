@@ -48,23 +48,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.alias("__l").join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def fit_slice_width(
-    df: DataFrame, keys: Sequence[str], order: str, width: int = DEFAULT_SLICE_NS, max_rows: int = 5_000_000
-) -> int:
-    """`width`, made narrower until no (key, slice) holds more than `max_rows` rows.
-
-    For data in which one short stretch of time holds a large share of a key. Each round
-    is one counting pass; rows of a single instant cannot be told apart any further.
-    """
-    while width > 1:
-        counts = df.groupBy(*keys, int_div(F.col(order), width).alias("__slice")).agg(F.count(F.lit(1)).alias("__n"))
-        densest = counts.agg(F.max("__n")).first()[0] or 0
-        if densest <= max_rows:
-            break
-        width = max(1, width // max(2, -(-densest // max_rows)))
-    return width
-
-
 @dataclass(frozen=True)
 class Frame:
     """One aggregate over the rows with `lo <= order - current <= hi`."""
