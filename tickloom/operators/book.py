@@ -3,12 +3,20 @@
 Replaying a book is sequential per asset, so an asset is cut into time slices. What a
 slice starts with is found relationally: the last update of each price level holds from
 the slice after it until the slice of the level's next update or of the next snapshot.
-Each (asset, slice) is then replayed on its own from that seed, vectorised over its
-events. No task ever sees a whole asset.
+Each (asset, slice) is then replayed on its own from that seed. Spark deals and sorts the
+slices; a task walks its rows batch by batch and holds one book, however long a slice is.
+
+A book keeps the levels of each side in order. An event touches the levels it names, and
+the top levels are noted only when one of them changed; the columns of a summary are then
+computed for all noted tops of a batch at once.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import chain
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +24,7 @@ from tickloom.functions.depth import DEPTH_COLUMNS, IMBALANCE_LEVELS, NOTIONAL_L
 from tickloom.operators.slices import int_div, null_safe_join, spread_for_python
 
 PRICE_SCALE = 1_000_000
+TOP = max(*IMBALANCE_LEVELS, *SLOPE_LEVELS, *NOTIONAL_LEVELS)
 TOP_COLUMNS = [
     "best_bid", "best_ask", "best_bid_size", "best_ask_size", "spread", "midpoint", "microprice", "imbalance"
 ]
@@ -26,6 +35,11 @@ SUMMARY_DDL = (
     + ", ".join(f"{c} double" for c in DEPTH_COLUMNS)
 )
 
+ROW_TYPES = {
+    "asset_id": "string", "slice": "long", "recv_ns": "long", "seq": "long", "part2": "int",
+    "role": "int", "side": "int", "price": "long", "size": "double",
+}
+
 
 def level_updates(updates: DataFrame) -> DataFrame:
     """One row per touched price level.
@@ -96,159 +110,243 @@ def slice_seeds(levels: DataFrame, slice_width: int) -> DataFrame:
     return placed.select("asset_id", "side", "price", "size", "slice")
 
 
-def _summaries(bid_price, bid_size, ask_price, ask_size):
-    """Summary columns from (events x levels) size matrices, best level first, 0 = absent."""
-    import numpy as np
+class Side:
+    """The levels of one side, best first, and the tops noted since the last `drain`.
 
-    def side(prices, sizes):
-        present = sizes > 0
-        rank = present.cumsum(axis=1)
-        count = rank[:, -1] if sizes.shape[1] else np.zeros(len(sizes), dtype=int)
-        out = {"levels": count}
-        if sizes.shape[1] == 0:
-            nan = np.full(len(sizes), np.nan)
-            out |= {"price": nan, "size": nan}
-            for n in IMBALANCE_LEVELS:
-                out[f"sum{n}"] = np.zeros(len(sizes))
-            for n in SLOPE_LEVELS:
-                out[f"slope{n}"] = nan
-            for n in NOTIONAL_LEVELS:
-                out[f"notional{n}"] = np.zeros(len(sizes))
-            return out
-        rows = np.arange(len(sizes))
-        first = present.argmax(axis=1)
-        empty = count == 0
-        out["price"] = np.where(empty, np.nan, prices[first])
-        out["size"] = np.where(empty, np.nan, sizes[rows, first])
-        for n in sorted({*IMBALANCE_LEVELS, *NOTIONAL_LEVELS, *SLOPE_LEVELS}):
-            top = np.where(present & (rank <= n), sizes, 0.0)
-            out[f"sum{n}"] = top.sum(axis=1)
-            out[f"notional{n}"] = top @ prices
-            k = np.minimum(count, n)
-            at_k = (present & (rank == k[:, None])).argmax(axis=1)
+    Levels are kept in order in an array (finding one is a binary search, inserting moves what is behind it).
+    """
+
+    def __init__(self, sign: int):
+        self.sign = sign  # 1 bid, -1 ask
+        self.clear()
+        self.prices_noted: list[list[int]] = []
+        self.sizes_noted: list[list[float]] = []
+
+    def clear(self) -> None:
+        self.keys: list[int] = []
+        self.sizes: list[float] = []
+        self.moved = True
+
+    def put(self, price: int, size: float) -> None:
+        """Set a level; a size at or below zero removes it."""
+        key = -self.sign * price
+        at = bisect_left(self.keys, key)
+        present = at < len(self.keys) and self.keys[at] == key
+        if size > 0:
+            if present:
+                self.sizes[at] = size
+            else:
+                self.keys.insert(at, key)
+                self.sizes.insert(at, size)
+        elif present:
+            del self.keys[at], self.sizes[at]
+        else:
+            return
+        if at < TOP:
+            self.moved = True
+
+    def levels(self) -> dict[int, float]:
+        return {-self.sign * k: z for k, z in zip(self.keys, self.sizes)}
+
+    def note(self) -> int:
+        """Number of the noted top that holds now."""
+        if self.moved or not self.prices_noted:
+            self.prices_noted.append(self.keys[:TOP])
+            self.sizes_noted.append(self.sizes[:TOP])
+            self.moved = False
+        return len(self.prices_noted) - 1
+
+    def drain(self) -> dict:
+        """Columns of the noted tops, which are forgotten."""
+        import numpy as np
+
+        known = np.array([len(k) for k in self.prices_noted], dtype=int)
+        filled = np.arange(TOP) < known[:, None]
+        price, size = np.zeros(filled.shape), np.zeros(filled.shape)
+        price[filled] = np.fromiter(chain.from_iterable(self.prices_noted), dtype="int64", count=known.sum()) * -self.sign / PRICE_SCALE
+        size[filled] = np.fromiter(chain.from_iterable(self.sizes_noted), dtype=float, count=known.sum())
+        self.prices_noted, self.sizes_noted, self.moved = [], [], True
+        sums, notionals = size.cumsum(axis=1), (size * price).cumsum(axis=1)
+        out = {"price": price[:, 0], "size": size[:, 0], "known": known}
+        for n in IMBALANCE_LEVELS:
+            out[f"sum{n}"] = sums[:, n - 1]
+        for n in NOTIONAL_LEVELS:
+            out[f"notional{n}"] = notionals[:, n - 1]
+        for n in SLOPE_LEVELS:
+            k = np.minimum(known, n)
+            deepest = np.take_along_axis(size, np.maximum(k - 1, 0)[:, None], axis=1)[:, 0]
             with np.errstate(divide="ignore", invalid="ignore"):
-                step = (sizes[rows, at_k] - sizes[rows, first]) / (k - 1)
-            out[f"slope{n}"] = np.where(k >= 2, step, np.nan)
+                out[f"slope{n}"] = np.where(k >= 2, (deepest - size[:, 0]) / (k - 1), np.nan)
         return out
 
-    b, a = side(bid_price, bid_size), side(ask_price, ask_size)
-    both = (b["levels"] > 0) & (a["levels"] > 0)
-
-    def only_both(x):
-        return np.where(both, x, np.nan)
-
-    with np.errstate(divide="ignore", invalid="ignore"):
-        total = b["size"] + a["size"]
-        cols = {
-            "best_bid": only_both(b["price"]),
-            "best_ask": only_both(a["price"]),
-            "best_bid_size": only_both(b["size"]),
-            "best_ask_size": only_both(a["size"]),
-            "spread": only_both(a["price"] - b["price"]),
-            "midpoint": only_both((a["price"] + b["price"]) / 2),
-            "microprice": only_both((b["price"] * a["size"] + a["price"] * b["size"]) / total),
-            "imbalance": only_both((b["size"] - a["size"]) / total),
-            "total_bid_levels": b["levels"].astype("int32"),
-            "total_ask_levels": a["levels"].astype("int32"),
-        }
-        for n in IMBALANCE_LEVELS:
-            both_sizes = b[f"sum{n}"] + a[f"sum{n}"]
-            cols[f"depth_top{n}_imbalance"] = np.where(both_sizes > 0, (b[f"sum{n}"] - a[f"sum{n}"]) / both_sizes, np.nan)
-            cols[f"cum_bid_depth_top{n}"] = b[f"sum{n}"]
-            cols[f"cum_ask_depth_top{n}"] = a[f"sum{n}"]
+
+class Book:
+    """Both sides of a book and the events ended since the last `summaries`."""
+
+    def __init__(self, standing: dict[tuple[int, int], float] | None = None):
+        self.sides = {1: Side(1), -1: Side(-1)}
+        self.ended: list[tuple[int, int, int, int]] = []
+        for (side, price), size in (standing or {}).items():
+            self.sides[side].put(price, size)
+
+    def clear(self) -> None:
+        self.sides[1].clear()
+        self.sides[-1].clear()
+
+    def change(self, clear: bool, side: int, price: int, size: float) -> None:
+        """One row of an event; other sides than 1 and -1 change nothing."""
+        if clear:
+            self.clear()
+        elif side in self.sides:
+            self.sides[side].put(price, size)
+
+    def end(self) -> None:
+        """The rows of an event are all in."""
+        bids, asks = self.sides[1], self.sides[-1]
+        self.ended.append((bids.note(), asks.note(), len(bids.keys), len(asks.keys)))
+
+    def levels(self) -> dict[tuple[int, int], float]:
+        return {(s, p): z for s, side in self.sides.items() for p, z in side.levels().items()}
+
+    def summaries(self) -> dict:
+        """Summary columns of the ended events, NaN for what has no value; the events are forgotten."""
+        import numpy as np
+
+        ended = np.array(self.ended, dtype=int).reshape(-1, 4)
+        self.ended = []
+        b, a = (
+            {c: v[ended[:, i]] for c, v in self.sides[s].drain().items()} for i, s in ((0, 1), (1, -1))
+        )
+        both = (b["known"] > 0) & (a["known"] > 0)
+
+        def only_both(x):
+            return np.where(both, x, np.nan)
+
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = b["size"] + a["size"]
+            cols = {
+                "best_bid": only_both(b["price"]),
+                "best_ask": only_both(a["price"]),
+                "best_bid_size": only_both(b["size"]),
+                "best_ask_size": only_both(a["size"]),
+                "spread": only_both(a["price"] - b["price"]),
+                "midpoint": only_both((a["price"] + b["price"]) / 2),
+                "microprice": only_both((b["price"] * a["size"] + a["price"] * b["size"]) / total),
+                "imbalance": only_both((b["size"] - a["size"]) / total),
+                "total_bid_levels": ended[:, 2].astype("int32"),
+                "total_ask_levels": ended[:, 3].astype("int32"),
+            }
+            for n in IMBALANCE_LEVELS:
+                sizes = b[f"sum{n}"] + a[f"sum{n}"]
+                cols[f"depth_top{n}_imbalance"] = np.where(sizes > 0, (b[f"sum{n}"] - a[f"sum{n}"]) / sizes, np.nan)
+                cols[f"cum_bid_depth_top{n}"] = b[f"sum{n}"]
+                cols[f"cum_ask_depth_top{n}"] = a[f"sum{n}"]
         for n in SLOPE_LEVELS:
             cols[f"bid_depth_slope_top{n}"] = b[f"slope{n}"]
             cols[f"ask_depth_slope_top{n}"] = a[f"slope{n}"]
         for n in NOTIONAL_LEVELS:
             cols[f"near_touch_bid_notional_{n}"] = b[f"notional{n}"]
             cols[f"near_touch_ask_notional_{n}"] = a[f"notional{n}"]
-    return cols
+        return cols
 
 
 def replay(changes, standing):
     """Book summaries after every event of a stretch, and the levels standing at its end.
 
-    `changes` has columns event, clear (bool), side, price, size in replay order, with
-    events numbered from 0; `standing` maps (side, price) to size. Works through chunks
-    of events so that the (events x levels) matrices stay small.
+    `changes` has columns event, clear (bool), side, price, size in replay order;
+    `standing` maps (side, price) to size.
     """
-    import numpy as np
     import pandas as pd
 
-    event = changes["event"].to_numpy()
-    clear = changes["clear"].to_numpy(dtype=bool)
-    side = changes["side"].to_numpy()
-    price = changes["price"].to_numpy()
-    size = changes["size"].to_numpy(dtype=float)
-    n_events = int(event[-1]) + 1 if len(event) else 0
-    pieces, start, chunk = [], 0, 256
-    live = dict(standing)
-    while start < n_events:
-        stop = min(start + chunk, n_events)
-        lo, hi = np.searchsorted(event, [start, stop])
-        mats = {}
-        for s in (1, -1):
-            mine = (side[lo:hi] == s) & ~clear[lo:hi]
-            prices = np.unique(np.concatenate([[p for (q, p) in live if q == s], price[lo:hi][mine]]).astype("int64"))
-            if s == 1:
-                prices = prices[::-1]
-            column = {p: i for i, p in enumerate(prices.tolist())}
-            mat = np.zeros((stop - start, len(prices)))
-            current = np.zeros(len(prices))
-            for (q, p), z in live.items():
-                if q == s:
-                    current[column[p]] = z
-            at = lo
-            for e in range(start, stop):
-                while at < hi and event[at] == e:
-                    if clear[at]:
-                        current[:] = 0.0
-                    elif side[at] == s:
-                        current[column[int(price[at])]] = max(size[at], 0.0)
-                    at += 1
-                mat[e - start] = current
-            mats[s] = (prices / PRICE_SCALE, mat)
-            live = {k: v for k, v in live.items() if k[0] != s} | {
-                (s, p): current[i] for p, i in column.items() if current[i] > 0
-            }
-        pieces.append(pd.DataFrame(_summaries(*mats[1], *mats[-1])))
-        start = stop
-    return (pd.concat(pieces, ignore_index=True) if pieces else pd.DataFrame()), live
+    book = Book(standing)
+    event = changes["event"].tolist()
+    last = [x != y for x, y in zip(event, event[1:])] + [True] * bool(event)
+    rows = zip(changes["clear"].tolist(), changes["side"].tolist(), changes["price"].tolist(), changes["size"].tolist(), last)
+    for clear, side, price, size, done in rows:
+        book.change(clear, side, price, size)
+        if done:
+            book.end()
+    return pd.DataFrame(book.summaries()), book.levels()
+
+
+HEAD = ["asset_id", "recv_ns", "seq", "part2"]
+SUMMARY = [*TOP_COLUMNS, "total_bid_levels", "total_ask_levels", *DEPTH_COLUMNS]
+
+
+def walk_slices(batches: Iterator) -> Iterator:
+    """Summaries of rows sorted by (asset, slice) and replay order, one book at a time.
+
+    Rows have `HEAD`, slice, role (0 seed, 1 clear, 2 level), side, price and size. The last event of a batch may go
+    on in the next one, so its head is kept until another event begins.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    book, before, head = Book(), None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        role, side, price = (table[c].fill_null(0).to_pylist() for c in ("role", "side", "price"))
+        size = table["size"].fill_null(0.0).to_pylist()
+        place = list(zip(*(table[c].to_pylist() for c in ["asset_id", "slice", "recv_ns", "seq", "part2"])))
+        heads = [] if head is None else [head]
+        starts = []
+        for i, here in enumerate(place):
+            # `head` is set while an event is open
+            if before is None or here != before or role[i] == 0:
+                if head is not None:
+                    book.end()
+                    head = None
+                if before is None or here[:2] != before[:2]:
+                    book.clear()
+            before = here
+            if role[i] == 0:
+                book.change(False, side[i], price[i], size[i])
+                continue
+            if head is None:
+                head = True
+                starts.append(i)
+            book.change(role[i] == 1, side[i], price[i], size[i])
+        begun = pa.concat_tables([*heads, table.select(HEAD).take(np.array(starts, dtype="int64"))])
+        n = len(book.ended)
+        if head is not None:
+            # copied, so that the rows of the batch can go
+            head = pa.Table.from_pylist(begun.slice(n, 1).to_pylist(), begun.schema)
+        yield from _with_heads(begun.slice(0, n), book)
+    if head is not None:
+        book.end()
+        yield from _with_heads(head, book)
+
+
+def _with_heads(heads, book: Book) -> Iterator:
+    import pyarrow as pa
+
+    if heads.num_rows:
+        columns = book.summaries()
+        for name in SUMMARY:
+            heads = heads.append_column(name, pa.array(columns[name], from_pandas=True))
+        yield from heads.combine_chunks().to_batches()
 
 
 def book_states(updates: DataFrame, slice_width: int = 60 * 1_000_000_000) -> DataFrame:
     """A full book summary after every snapshot and every delta.
 
     A slice is seeded with the whole book at its start, so choose `slice_width` such that
-    a slice holds many more events than the book has levels.
+    a slice holds many more events than the book has levels. Without a snapshot, a book starts empty.
     """
     levels = level_updates(updates)
-    events = levels.withColumn("slice", int_div(F.col("recv_ns"), slice_width))
-    # fresh names: both sides of the cogroup stem from the same frame
-    seeds = slice_seeds(levels, slice_width).toDF("seed_asset", "side", "price", "size", "seed_slice")
-
-    def run(key, changes, seed):
-        import pandas as pd
-
-        columns = ["asset_id", "recv_ns", "seq", "part2", *TOP_COLUMNS, "total_bid_levels", "total_ask_levels", *DEPTH_COLUMNS]
-        if changes.empty:
-            return pd.DataFrame(columns=columns)
-        first = (changes["kind"] != "clear").astype(int)
-        changes = changes.assign(first=first).sort_values(["recv_ns", "seq", "part2", "first"], kind="stable")
-        ids = changes[["recv_ns", "seq", "part2"]]
-        new = (ids != ids.shift()).any(axis=1)
-        changes = changes.assign(event=new.cumsum() - 1, clear=changes["kind"] == "clear")
-        changes["side"] = changes["side"].fillna(0).astype(int)
-        changes["price"] = changes["price"].fillna(0).astype("int64")
-        standing = {(int(s), int(p)): z for s, p, z in zip(seed["side"], seed["price"], seed["size"])}
-        out, _ = replay(changes, standing)
-        heads = changes.loc[new, ["asset_id", "recv_ns", "seq", "part2"]].reset_index(drop=True)
-        return pd.concat([heads, out], axis=1)[columns]
-
-    # NaN stands for "no value" inside numpy; as null in the table
-    doubles = [*TOP_COLUMNS, *DEPTH_COLUMNS]
-    left = spread_for_python(events, ["asset_id", "slice"]).groupBy("asset_id", "slice")
-    right = spread_for_python(seeds, ["seed_asset", "seed_slice"]).groupBy("seed_asset", "seed_slice")
-    states = left.cogroup(right).applyInPandas(run, SUMMARY_DDL)
-    return states.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in doubles else F.col(c) for c in states.columns])
-
+    clear = F.col("kind") == "clear"
+    events = levels.select(
+        "asset_id", int_div(F.col("recv_ns"), slice_width).alias("slice"), "recv_ns", "seq", "part2",
+        F.when(clear, 1).otherwise(2).alias("role"), "side", "price", "size",
+    )
+    seeds = slice_seeds(levels, slice_width).select(
+        "asset_id", "slice", *[F.lit(None).cast(levels.schema[c].dataType).alias(c) for c in ("recv_ns", "seq", "part2")],
+        F.lit(0).alias("role"), "side", "price", "size",
+    )
+    # seeds come first: nulls sort before any time, also where an event has none
+    order = [F.when(F.col("role") == 0, 0).otherwise(1), "recv_ns", "seq", "part2", "role"]
+    rows = spread_for_python(events.unionByName(seeds), ["asset_id", "slice"]).sortWithinPartitions("asset_id", "slice", *order)
+    placed = rows.select(*[F.col(c).cast(t) for c, t in ROW_TYPES.items()])
+    return placed.mapInArrow(walk_slices, SUMMARY_DDL)

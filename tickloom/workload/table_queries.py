@@ -377,8 +377,8 @@ SELECT asset_id, recv_ns, count(*) AS events, round(sum(CASE WHEN bid IS NOT NUL
 
 @query("order_book_states", BOOK_SQL)
 def book_query(spark, sf):
-    """One book summary per delta, summed per asset and day."""
-    states = book_states(unique_deltas(spark, sf), 1000 * DAY)
+    """One book summary per delta, summed per asset and day; nine slices an asset."""
+    states = book_states(unique_deltas(spark, sf), 300 * DAY)
     return states.groupBy("asset_id", "recv_ns").agg(
         F.count(F.lit(1)).alias("events"), F.round(F.sum("spread"), 2).alias("spread_sum"), F.round(F.sum("midpoint"), 2).alias("mid_sum"),
         F.sum("total_bid_levels").alias("bid_levels"), F.sum("total_ask_levels").alias("ask_levels"),
