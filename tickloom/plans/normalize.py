@@ -28,6 +28,9 @@ OWN_MESSAGE = (
     "original_size string, size_matched string, size string, status string, type string, order_type string, timestamp string"
 )
 
+# fields of all three feeds; those that market messages and own events share have one type
+EVERY_MESSAGE = ", ".join([MARKET_MESSAGE, *[f for f in OWN_MESSAGE.split(", ") if f not in MARKET_MESSAGE.split(", ")], FEED_MESSAGE])
+
 
 def zero_if_missing(col: Column) -> Column:
     return F.coalesce(safe_double(col), F.lit(0.0))
@@ -225,8 +228,12 @@ def feed_book(parsed: DataFrame, source: str) -> DataFrame:
     return from_levels.unionByName(compact)
 
 
-def own_orders(messages: DataFrame, column: str = "message") -> DataFrame:
-    parsed = messages.select("recv_ns", "seq", F.from_json(column, OWN_MESSAGE).alias("m"))
+def parse_own_messages(messages: DataFrame, column: str = "message") -> DataFrame:
+    """Own order and trade events as one typed struct `m`."""
+    return messages.select("recv_ns", "seq", F.from_json(column, OWN_MESSAGE).alias("m"))
+
+
+def own_orders(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("m.event_type") == "order").select(
         F.coalesce("m.id", "m.order_id", F.lit("")).alias("order_id"),
         *[F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in ("market", "asset_id", "side")],
@@ -238,8 +245,7 @@ def own_orders(messages: DataFrame, column: str = "message") -> DataFrame:
     )
 
 
-def own_trades(messages: DataFrame, column: str = "message") -> DataFrame:
-    parsed = messages.select("recv_ns", "seq", F.from_json(column, OWN_MESSAGE).alias("m"))
+def own_trades(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("m.event_type") == "trade").select(
         F.coalesce("m.id", F.lit("")).alias("trade_id"),
         *[F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in ("market", "asset_id", "side")],
@@ -249,3 +255,26 @@ def own_trades(messages: DataFrame, column: str = "message") -> DataFrame:
         _exchange_ts().alias("exchange_ts"),
         "seq",
     )
+
+
+def parse_all_messages(messages: DataFrame, column: str = "message") -> DataFrame:
+    """Messages of any feed, parsed once: `m` for the market feed and own events, `stream` and `data` for the reference feed."""
+    carried = [c for c in messages.columns if c != column]
+    return messages.select(*carried, F.from_json(column, EVERY_MESSAGE).alias("m")).select(
+        *carried, "m", F.coalesce("m.stream", F.lit("")).alias("stream"), F.col("m.data").alias("data")
+    )
+
+
+def all_tables(parsed: DataFrame, source: str, feed: str) -> dict[str, DataFrame]:
+    """Every typed table of `parse_all_messages`; a message that fits none is in none."""
+    reference = parsed.where(F.col("data").isNotNull())
+    return {
+        "trades": trades(parsed, source),
+        "quotes": quotes(parsed, source),
+        "book_updates": book_updates(parsed),
+        "feed_quotes": feed_quotes(reference, feed),
+        "feed_trades": feed_trades(reference, feed),
+        "feed_book": feed_book(reference, feed),
+        "own_orders": own_orders(parsed),
+        "own_trades": own_trades(parsed),
+    }

@@ -17,35 +17,52 @@ def raw_stream(spark: SparkSession, folder: str, max_files: int = 64) -> DataFra
     return flatten_payload(envelope(lines))
 
 
-def normalise_stream(messages: DataFrame, folder: str, checkpoint: str, source: str = "venue", once: bool = False) -> StreamingQuery:
-    """One parse per micro-batch, appended to the trades, quotes and book-update tables.
+def normalise_stream(
+    messages: DataFrame, folder: str, checkpoint: str, source: str = "venue", feed: str = "feed", once: bool = False
+) -> StreamingQuery:
+    """Messages of the market feed, the reference feed and own events into one table each kind (`normalize.all_tables`).
 
-    Each table is partitioned by UTC date and micro-batch, so a replayed batch overwrites
-    itself. `seq` is the row's place in its batch: rows are ordered by
-    (recv_ns, batch, seq). The parsed batch is persisted while its tables are written.
+    A micro-batch is parsed once and persisted while its tables are written. Each table is
+    partitioned by UTC date and micro-batch, so a replayed batch overwrites itself, and a
+    batch counts (`committed`) once all its tables are there. `seq` is the row's place in
+    its batch: rows are ordered by (recv_ns, batch, seq).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("seq", F.monotonically_increasing_id())
-        parsed = normalize.parse_market_messages(placed).persist()
-        tables = {
-            "trades": normalize.trades(parsed, source),
-            "quotes": normalize.quotes(parsed, source),
-            "book_updates": normalize.book_updates(parsed),
-        }
-        for name, df in tables.items():
+        write_batch(batch, batch_id, folder, source, feed)
+
+    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+
+def write_batch(batch: DataFrame, batch_id: int, folder: str, source: str = "venue", feed: str = "feed") -> None:
+    """All tables of one batch, then the mark that they are whole."""
+    parsed = normalize.parse_all_messages(batch.withColumn("seq", F.monotonically_increasing_id())).persist()
+    try:
+        for name, df in normalize.all_tables(parsed, source, feed).items():
             (
                 df.withColumn("date", utc_date(F.col("recv_ns")))
-                .withColumn("batch", F.lit(batch_id))
+                .withColumn("batch", F.lit(batch_id).cast("long"))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("date", "batch")
                 .parquet(f"{folder}/{name}")
             )
+    finally:
         parsed.unpersist()
+    mark = batch.sparkSession.range(1).select(F.lit(True).alias("whole"))
+    mark.write.mode("overwrite").parquet(f"{folder}/batches/batch={batch_id}")
 
-    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+
+def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of `normalise_stream` without batches that broke off; `date` and `batch` are columns.
+
+    The schema is known without files, so a table that got no rows is empty, not an error.
+    """
+    empty = normalize.parse_all_messages(spark.createDataFrame([], "recv_ns long, part int, message string, seq long"))
+    schema = normalize.all_tables(empty, "", "")[name].schema.add("date", "string").add("batch", "long")
+    whole = spark.read.schema("whole boolean, batch long").parquet(f"{folder}/batches")
+    return spark.read.schema(schema).parquet(f"{folder}/{name}").join(whole, "batch", "left_semi")
 
 
 def land_raw(messages: DataFrame, folder: str, checkpoint: str, seconds: int = 5) -> StreamingQuery:

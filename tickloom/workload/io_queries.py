@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import utc_date
@@ -10,12 +13,12 @@ from tickloom.plans import features, normalize
 from tickloom.plans.canonical import first_non_empty
 from tickloom.session import shared_folder
 from tickloom.sources import raw, sinks, tables
-from tickloom.streaming.ingest import normalise_stream, raw_stream
+from tickloom.streaming.ingest import committed, normalise_stream, raw_stream
 from tickloom.workload import mapping as m
 from tickloom.workload.base_sql import BOOK, HOUR, TICKS, with_ctes
 from tickloom.workload.registry import query
 from tickloom.workload.stream_queries import _Streamed
-from tickloom.workload.table_queries import messages, raw_lines
+from tickloom.workload.table_queries import feed_messages, messages, own_messages, raw_lines
 
 DATE = "strftime(to_timestamp(recv_ns // 1000000000) AT TIME ZONE 'UTC', '%Y%m%d')"
 
@@ -78,6 +81,37 @@ def normalise_query(spark, sf):
     return spark.read.parquet(f"{out}/trades").select("recv_ns", "asset_id", "price", "size")
 
 
+FEED_TABLES = {
+    "trades": ["purchase"], "quotes": ["view"], "book_updates": ["click", "click", "signup"], "feed_quotes": ["view"], "feed_trades": ["purchase"],
+    "feed_book": ["click", "signup"], "own_orders": ["error"], "own_trades": ["purchase"],
+}
+
+
+@query(
+    "stream_all_feeds",
+    with_ctes(
+        TICKS,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS \"table\", strftime(make_timestamp(recv_ns // 1000), '%Y%m%d') AS date, count(*) AS rows, CAST(sum(recv_ns // 1000000 % 1000003) AS BIGINT) AS place FROM ("
+            + " UNION ALL ".join(f"SELECT recv_ns FROM ticks WHERE event_type = '{kind}'" for kind in kinds)
+            + ") GROUP BY 2"
+            for name, kinds in FEED_TABLES.items()
+        ),
+    ),
+)
+def all_feeds_query(spark, sf):
+    """Raw logs of the market feed, the reference feed and own events in one stream of several batches, one table each kind."""
+    source, out, checkpoint = (shared_folder(spark, p) for p in ("all-raw", "all-tables", "all-checkpoint"))
+    raw_lines(spark, sf).select("value").repartition(4).write.text(source)
+    for other in (feed_messages(spark, sf), own_messages(spark, sf)):
+        lines = other.select(F.to_json(F.struct("recv_ns", F.col("message").alias("raw"))).alias("value"))
+        lines.repartition(2).write.mode("append").text(source)
+    normalise_stream(raw_stream(spark, source, max_files=4), out, checkpoint, once=True).awaitTermination()
+    rows = [committed(spark, out, name).select(F.lit(name).alias("table"), "date", "recv_ns") for name in FEED_TABLES]
+    place = F.expr("recv_ns div 1000000") % 1_000_003
+    return reduce(DataFrame.unionByName, rows).groupBy("table", "date").agg(F.count(F.lit(1)).alias("rows"), F.sum(place).alias("place"))
+
+
 @query("event_log_round_trip", with_ctes(TICKS, "SELECT seq, CASE WHEN k % 4 <> 0 THEN CAST(k AS DOUBLE) END AS p FROM ticks WHERE event_type = 'click'"))
 def log_query(spark, sf):
     """A stream of samples with non-finite numbers as JSON lines and back."""

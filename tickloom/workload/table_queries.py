@@ -118,7 +118,7 @@ def updates_query(spark, sf):
     return u.select("seq", "asset_id", "market", "kind", "part2", "side", F.col("price").cast("double").alias("price"), F.greatest(levels, F.lit(0)).alias("levels"))
 
 
-def feed_lines(spark, sf):
+def feed_messages(spark, sf):
     """Ticks as reference-feed messages: quotes, trades, depth arrays, compact depth."""
     t = m.ticks(spark, sf)
     s = F.lit("BTCUSDT").alias("s")
@@ -140,7 +140,11 @@ def feed_lines(spark, sf):
         .when(F.col("event_type") == "signup", F.to_json(F.struct(F.lit("btcusdt@depth").alias("stream"), compact.alias("data"))))
         .otherwise(F.lit('{"stream":"x"}'))
     )
-    return normalize.parse_feed_messages(t.select("recv_ns", "seq", line.alias("message")))
+    return t.select("recv_ns", "seq", line.alias("message"))
+
+
+def feed_lines(spark, sf):
+    return normalize.parse_feed_messages(feed_messages(spark, sf))
 
 
 @query(
@@ -173,7 +177,7 @@ def feed_depth_query(spark, sf):
     )
 
 
-def own_lines(spark, sf):
+def own_messages(spark, sf):
     t = m.ticks(spark, sf)
     body = F.struct(
         F.when(F.col("event_type") == "purchase", "trade").otherwise("order").alias("event_type"), F.col("seq").cast("string").alias("id"),
@@ -190,7 +194,7 @@ def own_lines(spark, sf):
                         'PLACEMENT' AS order_type, 17::BIGINT AS exchange_ts, recv_ns FROM ticks WHERE event_type = 'error'"""),
 )
 def own_orders_query(spark, sf):
-    return normalize.own_orders(own_lines(spark, sf)).select("order_id", "market", "asset_id", "price", "original_size", "order_type", "exchange_ts", "recv_ns")
+    return normalize.own_orders(normalize.parse_own_messages(own_messages(spark, sf))).select("order_id", "market", "asset_id", "price", "original_size", "order_type", "exchange_ts", "recv_ns")
 
 
 @query(
@@ -199,7 +203,7 @@ def own_orders_query(spark, sf):
                         FROM ticks WHERE event_type = 'purchase'"""),
 )
 def own_trades_query(spark, sf):
-    return normalize.own_trades(own_lines(spark, sf)).select("trade_id", "asset_id", "price", "size", "status", "recv_ns")
+    return normalize.own_trades(normalize.parse_own_messages(own_messages(spark, sf))).select("trade_id", "asset_id", "price", "size", "status", "recv_ns")
 
 
 @query(
