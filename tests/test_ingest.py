@@ -88,6 +88,7 @@ def test_tables_agree_with_those_of_one_feed(spark):
         "feed_quotes": normalize.feed_quotes(feed, "feed"), "feed_trades": normalize.feed_trades(feed, "feed"), "feed_book": normalize.feed_book(feed, "feed"),
         "own_orders": normalize.own_orders(own), "own_trades": normalize.own_trades(own),
     }
-    for name, df in normalize.all_tables(normalize.parse_all_messages(messages), "venue", "feed").items():
-        got = df.collect()
+    parsed = normalize.parse_all_messages(messages)
+    for name, table in normalize.ALL_TABLES.items():
+        got = table(parsed, "venue", "feed").collect()
         assert len(got) == 1 and got == alone[name].collect(), name

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -265,16 +267,18 @@ def parse_all_messages(messages: DataFrame, column: str = "message") -> DataFram
     )
 
 
-def all_tables(parsed: DataFrame, source: str, feed: str) -> dict[str, DataFrame]:
-    """Every typed table of `parse_all_messages`; a message that fits none is in none."""
-    reference = parsed.where(F.col("data").isNotNull())
-    return {
-        "trades": trades(parsed, source),
-        "quotes": quotes(parsed, source),
-        "book_updates": book_updates(parsed),
-        "feed_quotes": feed_quotes(reference, feed),
-        "feed_trades": feed_trades(reference, feed),
-        "feed_book": feed_book(reference, feed),
-        "own_orders": own_orders(parsed),
-        "own_trades": own_trades(parsed),
-    }
+# what `parse_all_messages` gives, a table each: (parsed, source, feed) to rows; a message that fits none is in none
+ALL_TABLES: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {
+    "trades": lambda parsed, source, feed: trades(parsed, source),
+    "quotes": lambda parsed, source, feed: quotes(parsed, source),
+    "book_updates": lambda parsed, source, feed: book_updates(parsed),
+    "feed_quotes": lambda parsed, source, feed: feed_quotes(_reference(parsed), feed),
+    "feed_trades": lambda parsed, source, feed: feed_trades(_reference(parsed), feed),
+    "feed_book": lambda parsed, source, feed: feed_book(_reference(parsed), feed),
+    "own_orders": lambda parsed, source, feed: own_orders(parsed),
+    "own_trades": lambda parsed, source, feed: own_trades(parsed),
+}
+
+
+def _reference(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("data").isNotNull())

@@ -20,7 +20,7 @@ def raw_stream(spark: SparkSession, folder: str, max_files: int = 64) -> DataFra
 def normalise_stream(
     messages: DataFrame, folder: str, checkpoint: str, source: str = "venue", feed: str = "feed", once: bool = False
 ) -> StreamingQuery:
-    """Messages of the market feed, the reference feed and own events into one table each kind (`normalize.all_tables`).
+    """Messages of the market feed, the reference feed and own events into one table each kind (`normalize.ALL_TABLES`).
 
     A micro-batch is parsed once and persisted while its tables are written. Each table is
     partitioned by UTC date and micro-batch, so a replayed batch overwrites itself, and a
@@ -39,9 +39,10 @@ def write_batch(batch: DataFrame, batch_id: int, folder: str, source: str = "ven
     """All tables of one batch, then the mark that they are whole."""
     parsed = normalize.parse_all_messages(batch.withColumn("seq", F.monotonically_increasing_id())).persist()
     try:
-        for name, df in normalize.all_tables(parsed, source, feed).items():
+        for name, table in normalize.ALL_TABLES.items():
             (
-                df.withColumn("date", utc_date(F.col("recv_ns")))
+                table(parsed, source, feed)
+                .withColumn("date", utc_date(F.col("recv_ns")))
                 .withColumn("batch", F.lit(batch_id).cast("long"))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
@@ -60,7 +61,7 @@ def committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     The schema is known without files, so a table that got no rows is empty, not an error.
     """
     empty = normalize.parse_all_messages(spark.createDataFrame([], "recv_ns long, part int, message string, seq long"))
-    schema = normalize.all_tables(empty, "", "")[name].schema.add("date", "string").add("batch", "long")
+    schema = normalize.ALL_TABLES[name](empty, "", "").schema.add("date", "string").add("batch", "long")
     whole = spark.read.schema("whole boolean, batch long").parquet(f"{folder}/batches")
     return spark.read.schema(schema).parquet(f"{folder}/{name}").join(whole, "batch", "left_semi")
 
