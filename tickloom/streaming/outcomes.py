@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +88,8 @@ class OutcomeProcessor(EndingProcessor):
     """Open signals and latest books of one market; a timer closes what no book row closes.
 
     A signal is resolved at the market's first book row at or after its horizon, with the
-    book as of that row, or when the watermark passes the horizon.
+    book as of that row, or when the watermark passes the horizon. A market has one timer for that, at the
+    earliest horizon of the signals left open, so signals which a book row closes cost none.
     """
 
     def __init__(self, config: OutcomeConfig, idle_ns: int | None = None):
@@ -100,6 +101,7 @@ class OutcomeProcessor(EndingProcessor):
             "predict_ns long, asset_id string, opposite string, ask double, tick double, tracked boolean, fill_price double, fill_ns long, entered boolean",
         )
         self.books = handle.getMapState("books", "asset_id string", "bid double, ask double, mid double")
+        self.due = handle.getValueState("due", "at_ms long")
         self.ending(handle, self.books)
 
     def _load(self):
@@ -107,16 +109,34 @@ class OutcomeProcessor(EndingProcessor):
         books = {k[0]: (v[0], v[1], v[2]) for k, v in self.books.iterator()}
         return opened, books
 
-    def _store(self, opened: dict, before: set, books: dict) -> None:
-        for i in before - opened.keys():
+    def _store(self, opened: dict, before: dict, books: dict) -> None:
+        for i in before.keys() - opened.keys():
             self.open.removeKey((i,))
         for i, o in opened.items():
-            self.open.updateValue(
-                (i,), (o.predict_ns, o.asset_id, o.opposite, o.ask, o.tick, o.tracked, o.fill_price, o.fill_ns, o.entered)
-            )
+            if before.get(i) != o:
+                self.open.updateValue(
+                    (i,), (o.predict_ns, o.asset_id, o.opposite, o.ask, o.tick, o.tracked, o.fill_price, o.fill_ns, o.entered)
+                )
         for a, b in books.items():
             self.books.updateValue((a,), b)
 
+    def _due_ms(self, o: Open) -> int:
+        return (o.predict_ns + self.config.horizon_ns) // NS_PER_MS + 1
+
+    def _wait(self, opened: dict, fired: int | None = None) -> None:
+        """Move the timer to the earliest horizon of the open signals; `fired` is one that is gone already."""
+        at = min((self._due_ms(o) for o in opened.values()), default=None)
+        before = self.due.get()[0] if self.due.exists() else None
+        if at == before and at != fired:
+            return
+        if before is not None and before != fired:
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.due.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
     def _close(self, market: str, opened: dict, books: dict, now: int) -> list[dict]:
         c, rows = self.config, []
         for i in [i for i, o in opened.items() if now - o.predict_ns >= c.horizon_ns]:
@@ -141,36 +161,43 @@ class OutcomeProcessor(EndingProcessor):
             return
         self.lives_on(frame["recv_ns"].iloc[-1])
         opened, books = self._load()
-        before, closed = set(opened), []
+        before, closed = {i: replace(o) for i, o in opened.items()}, []
+        outside = {i: o for i, o in opened.items() if not o.entered}
         for r in frame.itertuples(index=False):
             if r.kind == "book":
                 books[r.asset_id] = (float(r.best_bid), float(r.best_ask), float(r.mid))
-                for o in opened.values():
+                for o in outside.values():
                     o.observe_ask(c, books[o.asset_id][1] if o.asset_id in books else None)
                 closed += self._close(key[0], opened, books, int(r.recv_ns))
+                outside = {i: o for i, o in outside.items() if not o.entered and i in opened}
             elif r.kind == "trade":
                 for o in opened.values():
                     o.observe_trade(c, r.asset_id, r.side, float(r.price), int(r.recv_ns))
             else:
                 tick = r.tick_size if r.tick_size == r.tick_size and r.tick_size and r.tick_size > 0 else prices.TICK_FALLBACK
                 opposite = r.opposite_asset_id if isinstance(r.opposite_asset_id, str) else None
-                opened[r.signal_id] = Open(
+                opened[r.signal_id] = outside[r.signal_id] = Open(
                     r.signal_id, int(r.recv_ns), r.asset_id, opposite, float(r.best_ask), float(tick), bool(r.tracked)
                 )
-                self.handle.registerTimer((int(r.recv_ns) + c.horizon_ns) // NS_PER_MS + 1)
         self._store(opened, before, books)
+        self._wait(opened)
         if closed:
             yield self._frame(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        opened, books = self._load()
-        before = set(opened)
         expired = expiredTimerInfo.getExpiryTimeInMs()
-        closed = self._close(key[0], opened, books, expired * NS_PER_MS)
-        self._store(opened, before, {})
+        if self.due.exists() and self.due.get()[0] == expired:
+            opened, books = self._load()
+            before, closed = {i: replace(o) for i, o in opened.items()}, []
+            passed = max(expired, timerValues.getCurrentWatermarkInMs() - 1)
+            for at in sorted({self._due_ms(o) for o in opened.values()}):
+                if at <= passed:
+                    closed += self._close(key[0], opened, books, at * NS_PER_MS)
+            self._store(opened, before, {})
+            self._wait(opened, expired)
+            if closed:
+                yield self._frame(closed)
         self.ends_at(expired)
-        if closed:
-            yield self._frame(closed)
 
 
 def resolve_outcomes(
