@@ -1,6 +1,7 @@
 """What the stream processors ask of the state store, counted with states in memory."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.streaming.outcomes import EVENT_DDL, OutcomeConfig, OutcomeProcessor
@@ -101,3 +102,23 @@ def test_a_market_has_one_timer_for_all_open_signals():
     handle.timers.discard(late.at)
     assert len(pd.concat(processor.handleExpiredTimer(("m",), late, late))) == 5
     assert len(handle.timers) == 1 and not handle.states["due"].exists()
+
+
+def test_files_of_one_job_are_counted_in_one_batch(spark, monkeypatch):
+    """More files of the first stream than two micro-batches of the second used to take, later times first (rows are late from the third on)."""
+    from tickloom.workload import stream_queries as q
+
+    day = 86_400 * S
+    flags = "raw_signal boolean, p_fill_ok boolean, unwind_ok boolean, crossed boolean, cooldown_ok boolean, max_entries_ok boolean, has_opposite boolean, entry_ok boolean, signal boolean"
+    rows = [(int((199 - i) / 200 * 5 * day) + day, *[True] * 9) for i in range(200)]
+    table = spark.createDataFrame(rows, f"recv_ns long, {flags}").repartitionByRange(200, F.col("recv_ns").desc())
+    from tickloom.session import cut_lineage
+
+    written = cut_lineage(table, "flagged-files")
+    assert len(written.inputFiles()) > 2 * 64
+    monkeypatch.setattr(q, "gate_signals", lambda *_: None)
+    monkeypatch.setattr(q, "scored_stream", lambda *_: None)
+    counting = q.run_to_table
+    monkeypatch.setattr(q, "run_to_table", lambda stream, purpose: written if stream is None else counting(stream, purpose))
+    got = {r["day"]: r["samples"] for r in q.gate_count_stream(spark, "").collect()}
+    assert got == {d: 40 for d in range(1, 5)}

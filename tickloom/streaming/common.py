@@ -111,9 +111,14 @@ def run_to_table(stream: DataFrame, purpose: str, partition_by: list[str] | None
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int = 64) -> DataFrame:
-    """A parquet table as a stream with its batch schema; `name` may be a glob."""
+def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = 64) -> DataFrame:
+    """A parquet table as a stream with its batch schema; `name` may be a glob.
+
+    Files of one job are in no order of time, and a watermark drops what later micro-batches hold of earlier times:
+    without `max_files`, all that are there make one micro-batch.
+    """
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", max_files).parquet(folder)
-    )
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)

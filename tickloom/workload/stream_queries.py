@@ -113,7 +113,7 @@ def counts_query(spark, sf):
 def gate_count_stream(spark, sf):
     flagged = run_to_table(gate_signals(scored_stream(_Streamed(spark), sf), GATE), "flagged")
     folder = flagged.inputFiles()[0].rsplit("/", 1)[0]
-    stream = read_table_stream(spark, folder, "*.parquet")
+    stream = read_table_stream(spark, folder, "*.parquet", max_files=None)
     counts = run_to_table(windowed_gate_counts(stream, "1 day"), "gate-counts")
     day = F.floor(F.unix_seconds("window_start") / 86400)
     return counts.select(day.alias("day"), "samples", "pass_threshold")
