@@ -122,3 +122,22 @@ def test_files_of_one_job_are_counted_in_one_batch(spark, monkeypatch):
     monkeypatch.setattr(q, "run_to_table", lambda stream, purpose: written if stream is None else counting(stream, purpose))
     got = {r["day"]: r["samples"] for r in q.gate_count_stream(spark, "").collect()}
     assert got == {d: 40 for d in range(1, 5)}
+
+
+def test_a_book_is_stored_at_once():
+    from tickloom.streaming.book import BookProcessor
+
+    levels = 500
+    changes = pd.DataFrame({
+        "asset_id": "A", "recv_ns": [i * S for i in range(levels)], "seq": range(levels), "part2": 0, "kind": "delta",
+        "side": [1 if i % 2 else -1 for i in range(levels)], "price": [i * 10_000 for i in range(levels)], "size": 5.0, "rank": 1,
+    })
+    handle, processor = Handle(), BookProcessor(None, 60 * S)
+    processor.init(handle)
+    first = pd.concat(processor.handleInputRows(("A",), iter([changes]), None))
+    assert len(first) == levels and first["total_bid_levels"].iloc[-1] == levels // 2
+    # no state grows by a row a level, and the next batch goes on from all of them
+    assert not any(isinstance(s, Map) for s in handle.states.values())
+    gone = changes.tail(1).assign(recv_ns=levels * S, seq=levels, size=0.0)
+    after = pd.concat(processor.handleInputRows(("A",), iter([gone]), None))
+    assert after[["total_bid_levels", "total_ask_levels"]].iloc[0].tolist() == [levels // 2 - 1, levels // 2]

@@ -14,7 +14,9 @@ OUTPUT_DDL = SUMMARY_DDL + ", refreshed boolean"
 
 
 class BookProcessor(EndingProcessor):
-    """Levels of both sides in map state; one summary row per event.
+    """Levels of both sides in one value of arrays; one summary row per event.
+
+    A micro-batch reads and writes a book once, however many levels it has.
 
     Rows at or before the last event of a micro-batch handled before are late: what they say is
     superseded, so they are left out rather than put over newer levels.
@@ -28,7 +30,7 @@ class BookProcessor(EndingProcessor):
         self.refresh_threshold, self.idle_ns = refresh_threshold, idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side int, price long", "size double")
+        self.levels = handle.getValueState("levels", "side array<int>, price array<long>, size array<double>")
         self.cached = handle.getValueState("cached", "mid double, " + ", ".join(f"{c} double" for c in DEPTH_COLUMNS))
         self.last = handle.getValueState("last", "recv_ns long, seq long, part2 long")
         self.ending(handle, self.levels, self.cached, self.last)
@@ -53,13 +55,9 @@ class BookProcessor(EndingProcessor):
         changes = changes.assign(event=new.cumsum() - 1, clear=changes["kind"] == "clear")
         changes["side"] = changes["side"].fillna(0).astype(int)
         changes["price"] = changes["price"].fillna(0).astype("int64")
-        before = {(int(k[0]), int(k[1])): float(v[0]) for k, v in self.levels.iterator()}
-        out, after = replay(changes, before)
-        for k in before.keys() - after.keys():
-            self.levels.removeKey(k)
-        for k, size in after.items():
-            if before.get(k) != size:
-                self.levels.updateValue(k, (float(size),))
+        sides, prices, sizes = self.levels.get() if self.levels.exists() else ((), (), ())
+        out, after = replay(changes, dict(zip(zip(sides, prices), sizes)))
+        self.levels.update(([k[0] for k in after], [k[1] for k in after], [float(z) for z in after.values()]))
 
         out["refreshed"] = True
         if self.refresh_threshold is not None:
