@@ -141,3 +141,20 @@ def test_a_book_is_stored_at_once():
     gone = changes.tail(1).assign(recv_ns=levels * S, seq=levels, size=0.0)
     after = pd.concat(processor.handleInputRows(("A",), iter([gone]), None))
     assert after[["total_bid_levels", "total_ask_levels"]].iloc[0].tolist() == [levels // 2 - 1, levels // 2]
+
+
+def test_gates_of_a_key_are_one_value():
+    from tickloom.streaming.signals import GateConfig, GateProcessor
+
+    flags = dict.fromkeys(["finite", "has_opposite", "entry_ok", "p_fill_ok", "unwind_ok", "first_leg_ok"], True)
+
+    def rows(t, scores):
+        return pd.DataFrame([dict(recv_ns=t * S, seq=i, asset_id=f"A{i}", decision_score=x, raw_signal=x >= 0.5, **flags) for i, x in enumerate(scores)])
+
+    handle, processor = Handle(), GateProcessor(GateConfig(threshold=0.5, crossing=True, cooldown_seconds=0, max_entries=0), 60 * S)
+    processor.init(handle)
+    first = pd.concat(processor.handleInputRows(("k",), iter([rows(1, [0.9, 0.1, 0.9])]), None))
+    second = pd.concat(processor.handleInputRows(("k",), iter([rows(2, [0.9, 0.9, 0.1])]), None))
+    assert not any(isinstance(s, Map) for s in handle.states.values())
+    assert first["signal"].tolist() == [True, False, True] and second["signal"].tolist() == [False, True, False]
+    assert second["entry_no"].tolist() == [0, 3, 0]

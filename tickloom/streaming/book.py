@@ -61,32 +61,33 @@ class BookProcessor(EndingProcessor):
 
         out["refreshed"] = True
         if self.refresh_threshold is not None:
-            self._gate(out, changes.loc[new, "clear"].to_numpy())
+            out = self._gate(out, changes.loc[new, "clear"].to_numpy())
         heads = changes.loc[new, ["asset_id", "recv_ns", "seq", "part2"]].reset_index(drop=True)
         frame = pd.concat([heads, out], axis=1)
         columns = ["asset_id", "recv_ns", "seq", "part2", *TOP_COLUMNS, "total_bid_levels", "total_ask_levels", *DEPTH_COLUMNS, "refreshed"]
         yield frame[columns]
 
-    def _gate(self, out, snapshot) -> None:
+    def _gate(self, out, snapshot):
+        """`out` with the depth columns of the row that each row repeats."""
         import numpy as np
+        import pandas as pd
 
-        mids, depth = out["midpoint"].to_numpy(), out[DEPTH_COLUMNS].to_numpy()
         kept = self.cached.get() if self.cached.exists() else None
-        last, values = (kept[0], np.array(kept[1:], dtype=float)) if kept else (None, None)
-        refreshed = np.ones(len(out), dtype=bool)
-        for i, mid in enumerate(mids):
-            known = last is not None and last > 0
-            quiet = np.isnan(mid) or (known and abs(mid - last) / last < self.refresh_threshold)
-            if quiet and not snapshot[i]:
-                refreshed[i] = False
-                depth[i] = values if values is not None else np.nan
-            else:
-                values = depth[i].copy()
-                last = last if np.isnan(mid) else float(mid)
-        out[DEPTH_COLUMNS] = depth
-        out["refreshed"] = refreshed
-        if values is not None:
-            self.cached.update((last, *[None if np.isnan(v) else float(v) for v in values]))
+        last, at, source = kept[0] if kept else None, -1, []
+        for i, (mid, whole) in enumerate(zip(out["midpoint"].tolist(), snapshot.tolist())):
+            unknown = mid != mid
+            quiet = unknown or (last is not None and last > 0 and abs(mid - last) / last < self.refresh_threshold)
+            if whole or not quiet:
+                at, last = i, last if unknown else mid
+            source.append(at)
+        # the row behind the last one is what was refreshed before
+        values = np.array(kept[1:], dtype=float) if kept else np.full(len(DEPTH_COLUMNS), np.nan)
+        depth = np.vstack([out[DEPTH_COLUMNS].to_numpy(), values])[source]
+        if kept or at >= 0:
+            self.cached.update((last, *[None if v != v else v for v in depth[-1].tolist()]))
+        refreshed = np.array(source) == np.arange(len(out))
+        rest = out.drop(columns=[*DEPTH_COLUMNS, "refreshed"])
+        return pd.concat([rest, pd.DataFrame(depth, columns=DEPTH_COLUMNS).assign(refreshed=refreshed)], axis=1)
 
 
 def stream_book_states(

@@ -55,15 +55,14 @@ def scored_gates(samples: DataFrame, c: GateConfig) -> DataFrame:
 
 
 class GateProcessor(EndingProcessor):
-    """Cooldown, entry count and last score of one signal key."""
+    """Cooldown, entry count and last scores of one signal key, in one value (a map state costs a call a score and an iterator)."""
 
     def __init__(self, config: GateConfig, idle_ns: int | None = None):
         self.config, self.idle_ns = config, idle_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "last_ns long, entries long, candidate_ns long")
-        self.scores = handle.getMapState("scores", "asset_id string", "score double")
-        self.ending(handle, self.state, self.scores)
+        self.state = handle.getValueState("gate", "last_ns long, entries long, candidate_ns long, assets array<string>, scores array<double>")
+        self.ending(handle, self.state)
 
     def handleInputRows(self, key, rows, timerValues):
         c = self.config
@@ -71,9 +70,9 @@ class GateProcessor(EndingProcessor):
         if frame is None:
             return
         self.lives_on(frame["recv_ns"].iloc[-1])
-        last, entries, candidate = self.state.get() if self.state.exists() else (None, 0, None)
+        last, entries, candidate, assets, known = self.state.get() if self.state.exists() else (None, 0, None, [], [])
         cooldown, spacing = int(c.cooldown_seconds * NS_PER_SECOND), int(c.candidate_seconds * NS_PER_SECOND)
-        scores = {k[0]: v[0] for k, v in self.scores.iterator()}
+        scores = dict(zip(assets, known))
         out = {n: [] for n in ("crossed", "cooldown_ok", "max_entries_ok", "signal", "candidate", "entry_no")}
         for r in frame.itertuples(index=False):
             before = scores.get(r.asset_id)
@@ -94,9 +93,7 @@ class GateProcessor(EndingProcessor):
             scores[r.asset_id] = float(r.decision_score) if r.finite else float("-inf")
             for n, v in zip(out, (crossed, cool, room, signal, due, entries if signal else 0)):
                 out[n].append(v)
-        self.state.update((last, entries, candidate))
-        for asset, score in scores.items():
-            self.scores.updateValue((asset,), (score,))
+        self.state.update((last, entries, candidate, list(scores), list(scores.values())))
         yield frame.assign(**out)
 
 
