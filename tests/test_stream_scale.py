@@ -158,3 +158,13 @@ def test_gates_of_a_key_are_one_value():
     assert not any(isinstance(s, Map) for s in handle.states.values())
     assert first["signal"].tolist() == [True, False, True] and second["signal"].tolist() == [False, True, False]
     assert second["entry_no"].tolist() == [0, 3, 0]
+
+
+def test_raw_logs_grow_in_files_not_in_length(spark, tmp_path):
+    from tickloom.workload.io_queries import write_raw
+
+    folder = str(tmp_path / "raw")
+    for _ in range(2):
+        write_raw(spark.range(0, 1000, 1, 4).select(F.col("id").cast("string").alias("value")), folder, 50)
+    sizes = [r["count"] for r in spark.read.text(folder).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 40 and max(sizes) == 50

@@ -87,6 +87,11 @@ FEED_TABLES = {
 }
 
 
+def write_raw(lines: DataFrame, folder: str, lines_per_file: int = 50_000) -> None:
+    """Add a raw log to a folder, in files of bounded length, as many as there are lines for."""
+    lines.write.mode("append").option("maxRecordsPerFile", lines_per_file).text(folder)
+
+
 @query(
     "stream_all_feeds",
     with_ctes(
@@ -102,11 +107,12 @@ FEED_TABLES = {
 def all_feeds_query(spark, sf):
     """Raw logs of the market feed, the reference feed and own events in one stream of several batches, one table each kind."""
     source, out, checkpoint = (shared_folder(spark, p) for p in ("all-raw", "all-tables", "all-checkpoint"))
-    raw_lines(spark, sf).select("value").repartition(4).write.text(source)
+    write_raw(raw_lines(spark, sf).select("value"), source)
     for other in (feed_messages(spark, sf), own_messages(spark, sf)):
         lines = other.select(F.to_json(F.struct("recv_ns", F.col("message").alias("raw"))).alias("value"))
-        lines.repartition(2).write.mode("append").text(source)
-    normalise_stream(raw_stream(spark, source, max_files=4), out, checkpoint, once=True).awaitTermination()
+        write_raw(lines, source)
+    half = (len(spark.read.text(source).inputFiles()) + 1) // 2
+    normalise_stream(raw_stream(spark, source, max_files=half), out, checkpoint, once=True).awaitTermination()
     rows = [committed(spark, out, name).select(F.lit(name).alias("table"), "date", "recv_ns") for name in FEED_TABLES]
     place = F.expr("recv_ns div 1000000") % 1_000_003
     return reduce(DataFrame.unionByName, rows).groupBy("table", "date").agg(F.count(F.lit(1)).alias("rows"), F.sum(place).alias("place"))
