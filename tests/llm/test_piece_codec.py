@@ -1,3 +1,5 @@
+import sys
+
 import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
@@ -52,6 +54,17 @@ def test_best_score_and_round_trip(parts):
     assert library.decode(ids) == model.decode(ids)
 
 
+def test_a_word_is_segmented_without_a_call_for_each_piece():
+    model, calls = pieces(FILE), []
+    sys.setprofile(lambda frame, event, _: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        ids = model.segment(MARK + "interestingly中🤖q")
+    finally:
+        sys.setprofile(None)
+    assert calls == ["segment"]
+    assert model.decode(ids) == "interestingly中🤖q"
+
+
 def test_table(docs_of):
     rows = [(1, "Hello world"), (2, None), (3, ""), (None, "no number"), (1, "Hello world"), (4, "long words " * 20_000), (5, " lead\n🤖")]
     docs = docs_of(rows, ["1 as ids", "2 as score"])

@@ -35,6 +35,7 @@ from tickloom.llm.memory import Memory
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # types of pieces in the model file
 PENALTY = 10.0  # below the least score, for an uncovered character
+SKIP = (0, 0.0, -1)  # an uncovered character, in place of (characters before the last, score, id) of a piece
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -64,10 +65,14 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def coded(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces:
     """A model: pieces by id, and the segmentation of texts. `most_bytes` bounds each of two generations of words remembered."""
 
-    def __init__(self, file: str, most_bytes: int = 40 << 20):
+    def __init__(self, file: str, most_bytes: int = 100 << 20):
         import public_tokenizers
 
         path = file if os.path.isabs(file) else public_tokenizers.path(file)
@@ -89,40 +94,33 @@ class Pieces:
         for i in usable:
             if MARK in self.names[i].lstrip(MARK):
                 raise ValueError(f"piece {i} goes beyond a word")
-            self.automaton.add_word(self.names[i], (len(self.names[i]), self.scores[i], i))
+            self.automaton.add_word(self.names[i], (len(self.names[i]) - 1, self.scores[i], i))
         self.automaton.make_automaton()
         self.worst = min(self.scores[i] for i in usable) - PENALTY
 
     def segment(self, word: str) -> list[int]:
         """Ids of the best segmentation: one pass over the pieces that end at each position."""
-        n = len(word)
-        best, back = [0.0] + [None] * n, [(0, -1)] * (n + 1)
-
-        def skip(upto: int) -> None:
-            # positions that no piece reached cost an uncovered character
-            for at in range(skip.done + 1, upto + 1):
-                other = best[at - 1] + self.worst
-                if best[at] is None or other > best[at]:
-                    best[at], back[at] = other, (1, -1)
-            skip.done = upto
-
-        skip.done = 0
-        for last, (size, score, i) in self.automaton.iter(word):
-            end = last + 1
-            skip(end - 1)
-            total = best[end - size] + score
-            if best[end] is None or total > best[end]:
-                best[end], back[end] = total, (size, i)
-        skip(n)
-        out, at = [], n
+        worst, reached = self.worst, 0
+        best, back = [0.0], [SKIP]
+        for last, piece in self.automaton.iter(word):
+            while reached <= last:  # an uncovered character, unless a piece is as good
+                best.append(best[reached] + worst)
+                back.append(SKIP)
+                reached += 1
+            before, score, _ = piece
+            total = best[last - before] + score
+            if total > best[reached] or (total == best[reached] and back[reached] is SKIP):
+                best[reached], back[reached] = total, piece
+        back += [SKIP] * (len(word) - reached)
+        out, at = [], len(word)
         while at:
-            size, i = back[at]
+            before, _, i = back[at]
+            at -= before + 1
             if i >= 0:
                 out.append(i)
             else:
-                raw = word[at - 1].encode()
+                raw = word[at].encode()
                 out += [self.bytes[b] for b in reversed(raw)] if len(self.bytes) == 256 else [self.unknown]
-            at -= size
         return out[::-1]
 
     def encode(self, text: str) -> bytes:
@@ -131,7 +129,7 @@ class Pieces:
             return b""
         words = WORD.findall(MARK + text.replace(" ", MARK))
         self.memory.turn()
-        self.memory.add({x: np.array(self.segment(x), "<u4").tobytes() for x in self.memory.missing(set(words))})
+        self.memory.add({x: coded(self.segment(x)) for x in self.memory.missing(set(words))})
         known = self.memory.now
         return b"".join([known[x] for x in words])
 
