@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.asof import asof_join
+from tickloom.operators.asof import Lookup, asof_adaptive, asof_join
 from tickloom.operators.combine import enrich, union_relaxed
 from tickloom.operators.ewma import ewma
 from tickloom.operators.gating import greedy_spaced
@@ -230,3 +230,24 @@ def test_ewma_keeps_an_outlier_many_chunks_back(spark):
     for i in range(n):
         num, den = num * w + (1e200 if i == 100 else 1.0), den * w + 1
         assert abs(got[i] - num / den) <= 1e-9 * abs(num / den)
+
+
+def test_feed_of_one_symbol_is_spread_over_tasks(spark):
+    """40 tolerances of one dense feed: no task gets half of the rows, and matches stay those of the wide buckets."""
+    left = spark.range(4000).select(F.lit("BTC").alias("symbol"), F.col("id").alias("t"))
+    right = spark.range(0, 4000, 7).select(F.lit("BTC").alias("symbol"), F.col("id").alias("t"), F.col("id").alias("v"))
+    lookup = Lookup(right, "t", {"v": "v"}, 100)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for keyed in (True, False):
+            out = asof_adaptive(left, "t", [lookup], "symbol", "symbol", keyed)
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 4000 and max(sizes) < 2000
+            wide = asof_adaptive(left, "t", [lookup], "symbol", "symbol", keyed, bucket_width=1 << 40)
+            assert sorted(out.collect()) == sorted(wide.collect())
+            assert {r.t - r.v for r in out.collect()} == set(range(7))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.slices import HALO_FACTOR, int_div
 
+# Buckets in a tolerance for a feed of a few keys that all left rows look into: time alone cuts such a feed.
+FEED_BUCKETS = 2
+
 
 @dataclass(frozen=True)
 class Lookup:
@@ -35,6 +38,11 @@ class Lookup:
     by: Sequence[str] | None = field(default=None)
 
 
+def feed_width(lookups: Sequence[Lookup]) -> int:
+    """Narrow buckets for dense feeds: a task holds one bucket, a right row is copied into three at most."""
+    return max(1, max(k.tolerance for k in lookups) // FEED_BUCKETS)
+
+
 def asof_lookups(
     left: DataFrame,
     left_on: str,
@@ -51,7 +59,7 @@ def asof_lookups(
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction must be backward or forward, got {direction!r}")
     backward = direction == "backward"
-    width = bucket_width or max(1, max(k.tolerance for k in lookups) * HALO_FACTOR)
+    width = bucket_width or (max(1, max(k.tolerance for k in lookups) * HALO_FACTOR) if by else feed_width(lookups))
     keys = [f"__k{i}" for i in range(len(by))]
 
     parts = [
@@ -136,7 +144,9 @@ def asof_adaptive(
     """As-of by key, or over the whole feed for a feed of one key whose name the left side doesn't know.
 
     The choice is the caller's and not the data's, so a feed that lacks a key never lends it another's prices.
+    A feed has few keys, each of them dense: buckets are narrow unless `bucket_width` says otherwise.
     """
+    bucket_width = bucket_width or feed_width(lookups)
     if keyed:
         keyed = [
             Lookup(k.right, k.on, k.columns, k.tolerance, k.shift, k.seq, k.matched_at, [right_key]) for k in lookups

@@ -224,7 +224,7 @@ def add_reference_features(
     imbalance = f"{prefix}recent_trade_imbalance"
     if trades is None:
         return out.withColumn(imbalance, F.lit(None).cast("double"))
-    table = reference_trade_imbalance(trades, imbalance, slice_width)
+    table = reference_trade_imbalance(trades, imbalance, min(slice_width, max(1, tolerance_ns)))
     lookup = Lookup(table, "recv_ns", {imbalance: imbalance}, tolerance_ns, seq="seq")
     return asof_adaptive(out, "recv_ns", [lookup], "symbol", "symbol", keyed)
 
