@@ -80,3 +80,16 @@ def test_files_round_trip(spark, docs_of, tmp_path, block_ids):
 def test_empty_table(spark, docs_of, tmp_path):
     write_token_files(docs_of([]), f"{tmp_path}/files", "word_bpe_49k.json")
     assert read_token_files(spark, f"{tmp_path}/files").count() == 0
+
+
+def test_letters_of_either_case_are_one_chunk():
+    from tickloom.llm.encoders import DROPPED, Encoder
+
+    code = Encoder("word_bpe_49k.json", DROPPED)
+    rows = ["Word word, WORD", "<|ENDOFTEXT|> Word", "<|endoftext|> word", "IT'S Ünder KELVINK don'T"]
+    for text in rows:
+        wanted = code.tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(code.encode([text])[0]).cast("I")) == wanted
+    fresh = Encoder("word_bpe_49k.json", DROPPED)
+    fresh.encode(rows[:1])
+    assert set(fresh.memory.now) <= {"", "word", "word,", ","}

@@ -69,6 +69,8 @@ class Encoder:
         # whether the tokenizer sees no difference between A-Z and a-z
         same = [x.ids for x in self.tokenizer.encode_batch(["QWERTYuiopASDFghjklZXCVBnm", "qwertyuiopasdfghjklzxcvbnm"], add_special_tokens=False)]
         self.folds = same[0] == same[1]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added]
         self.memory = Memory(most_bytes, {"": b""})
 
     def of_letters(self, word: str) -> bool:
@@ -79,24 +81,25 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Ids of chunks not met before; letters and the marks behind them are tokens apart."""
-        memory = self.memory
+        memory, leading = self.memory, self.leading
         memory.turn()
-        whole, parts = set(), []
+        words, whole, parts = set(), set(), []
         for chunk in memory.missing(chunks):
             core = chunk.rstrip(MARKS)
-            if not self.of_letters(core[1:] if self.leading and core[:1] == " " else core):
+            spaced = leading and core[:1] == " "
+            word = core[1:] if spaced else core
+            if not (word.isalpha() if word.isascii() else self.of_letters(word)):
                 whole.add(chunk)
                 continue
             name = core.lower() if self.folds and core.isascii() else core
-            whole.add(name)
+            (words if spaced == leading else whole).add(name)
             if name != chunk:
                 marks = chunk[len(core) :]
                 whole.add(marks)
                 parts.append((chunk, name, marks))
-        new = memory.missing(whole)
-        self.encode_words([x for x in new if (x[0] == " ") == self.leading and self.of_letters(x[1:] if self.leading else x)])
+        self.encode_words(memory.missing(words))
         known = memory.now
-        self.encode_whole([x for x in new if x not in known])
+        self.encode_whole(memory.missing([x for x in words | whole if x not in known]))
         memory.add({chunk: known[name] + known[marks] for chunk, name, marks in parts})
 
     def encode_words(self, words: list[str]) -> None:
@@ -117,8 +120,18 @@ class Encoder:
             codes = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             self.memory.add({chunk: np.array(code.ids, dtype="<u4").tobytes() for chunk, code in zip(part, codes, strict=True)})
 
+    def folded(self, text: str) -> str:
+        """A text in small letters where the tokenizer sees no difference, so that more of its chunks are equal.
+
+        Added tokens are found before letters are folded, so a text that would gain one is left as it is.
+        """
+        if not (self.folds and text.isascii()):
+            return text
+        small = text.lower()
+        return text if any(x in small for x in self.added) else small
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(x) for x in texts]
+        cut = [self.cut(self.folded(x)) for x in texts]
         self.learn(set().union(*cut))
         known = self.memory.now
         return [b"".join([known[c] for c in x]) for x in cut]
