@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tickloom.llm.encoders import LEADING, Encoder
 from tickloom.llm.packing import Bins, pack_documents
 
 FILE = "byte_bpe_50k.json"
@@ -76,3 +77,23 @@ def test_a_block_ends_only_where_no_exchange_helps(seed, low, high):
     live = [b for b, n in enumerate(bins.fill) if n]
     helps = [(a, b) for a in live for b in live if a != b and bins.exchange(a, b)]
     assert len(live) == bins.needed or not helps
+
+
+def test_plain_texts_are_cut_outside_python(monkeypatch):
+    coder = Encoder(FILE, LEADING)
+    texts = ["the Fox,\nran naïve.\n\u65e5 x", "", "one", "a\u00a0b \u0130!\n<|endoftext|> z"]
+    wanted = [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(coder, "cut", None)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts * 3)] == wanted * 3
+
+
+def test_workers_of_packing_remember_little(docs_of, monkeypatch):
+    from tickloom.llm import packing
+
+    seen = []
+    monkeypatch.setattr(packing, "encoder", lambda *a: seen.append(a) or Encoder(*a))
+    cut = {}
+    monkeypatch.setattr(packing, "texts", lambda *a: type("T", (), {"mapInArrow": lambda self, f, s: cut.update(f=f)})())
+    packing.pieces_of(None, FILE)
+    list(cut["f"](iter([])))
+    assert Encoder(*seen[0]).memory.most <= 48 << 20

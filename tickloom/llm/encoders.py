@@ -11,8 +11,11 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Collection
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tickloom.llm.memory import Memory
 
@@ -79,8 +82,8 @@ class Encoder:
             return False
         return word.isascii() or self.normalizer is None or self.normalizer.normalize_str(word).isalpha()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Ids of chunks not met before; letters and the marks behind them are tokens apart."""
+    def learn(self, chunks: Collection[str]) -> None:
+        """Ids of distinct chunks not met before; letters and the marks behind them are tokens apart."""
         memory, leading = self.memory, self.leading
         memory.turn()
         words, whole, parts = set(), set(), []
@@ -131,13 +134,40 @@ class Encoder:
         return text if any(x in small for x in self.added) else small
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(self.folded(x)) for x in texts]
+        plain = [self.leading and not (DOUBLE.search(x) or x[:1].isspace() or x[-1:].isspace()) for x in texts]
+        cut = [self.cut(self.folded(x)) for x, p in zip(texts, plain, strict=True) if not p]
+        coded = iter(self.encode_plain([x for x, p in zip(texts, plain, strict=True) if p]))
         self.learn(set().union(*cut))
         known = self.memory.now
-        return [b"".join([known[c] for c in x]) for x in cut]
+        pieced = iter([b"".join([known[c] for c in x]) for x in cut])
+        return [next(coded if p else pieced) for p in plain]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts without white space at an end or next to other white space, where a space belongs to the word behind it.
+
+        Arrow numbers the distinct chunks, so Python meets each once a call. A chunk holds the line end before it; one is
+        put before each text as well, and its ids are left out.
+        """
+        if not texts:
+            return []
+        words = pc.split_pattern(pa.array(["\n" + x.replace("\n", " \n") for x in texts], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        chunks = [x if x[0] == "\n" else " " + x for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        self.learn(["\n", *chunks])
+        known = self.memory.now
+        ids = list(map(known.__getitem__, chunks))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, firsts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        number = coded.indices.to_numpy()
+        counts = sizes[number]
+        ends = np.cumsum(counts)
+        out = flat[np.arange(ends[-1]) + np.repeat(firsts[number] - ends + counts, counts)]
+        edges = np.append(0, ends)[words.offsets.to_numpy()].tolist()
+        line = len(known["\n"]) // 4
+        return [out[a + line : b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 @functools.cache
-def encoder(file: str, spaces: str) -> Encoder:
+def encoder(file: str, spaces: str, most_bytes: int = 100 << 20) -> Encoder:
     """One per Python worker; later tasks of the worker find its memory filled."""
-    return Encoder(file, spaces)
+    return Encoder(file, spaces, most_bytes)

@@ -28,6 +28,10 @@ from tickloom.llm.encoders import LEADING, encoder
 from tickloom.session import cut_lineage
 
 
+# of chunks remembered, a generation: workers outlive their stage, beside whatever runs next in the executor
+MEMORY = 48 << 20
+
+
 class Bins:
     """Bins of one block. `items[b]` are the (length, item) pairs of bin b, ascending."""
 
@@ -208,7 +212,7 @@ def pieces_of(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, id_
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(file, LEADING).encode
+        encode = encoder(file, LEADING, MEMORY).encode
         for names, values in rows_of(batches, 4 << 20, "doc_id", "text"):
             rows = []
             for name, code in zip(names, encode(values), strict=True):
