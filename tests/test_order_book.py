@@ -95,3 +95,21 @@ def test_no_rows_and_rows_without_a_time(spark):
     delta = lambda t, size: ("A", t, 1 if t is None else t, 0, "delta", "buy", "0.4", size, None, None)
     got = book_states(spark.createDataFrame([delta(None, "3"), delta(50, "5"), delta(70, "0")], UPDATE), 10)
     assert [r.cum_bid_depth_top1 for r in got.orderBy(F.col("recv_ns").asc_nulls_first()).collect()] == [3.0, 5.0, 0.0]
+
+
+@pytest.mark.parametrize(("width", "least_rows"), [(10, 1), (50, 1), (10, 200)])
+def test_joined_slices_give_the_same_books(spark, width, least_rows):
+    frame = spark.createDataFrame(drawn(), UPDATE)
+    key = lambda r: (r.asset_id is None, r.asset_id or "", r.recv_ns)
+    whole = sorted(book_states(frame, 10_000_000).collect(), key=key)
+    assert sorted(book_states(frame, width, least_rows).collect(), key=key) == whole
+
+
+def test_short_slices_of_few_rows_need_no_seeds(spark, monkeypatch):
+    from tickloom.operators import book
+
+    def no_seeds(*_):
+        raise AssertionError("seeds were looked for")
+
+    monkeypatch.setattr(book, "slice_seeds", no_seeds)
+    assert book_states(spark.createDataFrame(drawn(300), UPDATE), 10).count() == 300

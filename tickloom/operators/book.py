@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.depth import DEPTH_COLUMNS, IMBALANCE_LEVELS, NOTIONAL_LEVELS, SLOPE_LEVELS
 from tickloom.operators.slices import int_div, null_safe_join, spread_for_python
+from tickloom.session import cut_lineage
 
 PRICE_SCALE = 1_000_000
 TOP = max(*IMBALANCE_LEVELS, *SLOPE_LEVELS, *NOTIONAL_LEVELS)
@@ -75,9 +76,20 @@ def level_updates(updates: DataFrame) -> DataFrame:
     return updates.select(*order, F.explode(changes).alias("c")).select(*order, "c.*")
 
 
-def slice_seeds(levels: DataFrame, slice_width: int) -> DataFrame:
+def joined_slices(levels: DataFrame, least_rows: int) -> DataFrame:
+    """(asset_id, slice, run): consecutive slices of an asset are joined until they hold `least_rows` rows.
+
+    Only of assets with several runs, so the table is small beside `levels`: all slices of any other asset are run 0.
+    """
+    counts = levels.groupBy("asset_id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    asset = Window.partitionBy("asset_id")
+    before = F.sum("n").over(asset.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    runs = counts.withColumn("run", int_div(F.coalesce(before, F.lit(0)), least_rows))
+    return runs.withColumn("last", F.max("run").over(asset)).where(F.col("last") > 0).select("asset_id", "slice", "run")
+
+
+def slice_seeds(sliced: DataFrame) -> DataFrame:
     """Price levels standing at the start of each (asset, slice) that has events."""
-    sliced = levels.withColumn("slice", int_div(F.col("recv_ns"), slice_width))
     place = F.struct("recv_ns", "seq", "part2")
     per_slice = sliced.groupBy("asset_id", "slice").agg(F.max(F.when(F.col("kind") == "clear", place)).alias("cleared"))
     by_time = Window.partitionBy("asset_id").orderBy("slice")
@@ -329,24 +341,30 @@ def _with_heads(heads, book: Book) -> Iterator:
         yield from heads.combine_chunks().to_batches()
 
 
-def book_states(updates: DataFrame, slice_width: int = 60 * 1_000_000_000) -> DataFrame:
+def book_states(updates: DataFrame, slice_width: int = 60 * 1_000_000_000, least_rows: int = 20_000) -> DataFrame:
     """A full book summary after every snapshot and every delta.
 
-    A slice is seeded with the whole book at its start, so choose `slice_width` such that
-    a slice holds many more events than the book has levels. Without a snapshot, a book starts empty.
+    A slice is seeded with the whole book at its start, so slices are joined until they hold `least_rows` rows, many more
+    than the book should have levels. An asset of fewer rows is one slice and needs no seed.
+    Without a snapshot, a book starts empty.
     """
-    levels = level_updates(updates)
-    clear = F.col("kind") == "clear"
-    events = levels.select(
-        "asset_id", int_div(F.col("recv_ns"), slice_width).alias("slice"), "recv_ns", "seq", "part2",
-        F.when(clear, 1).otherwise(2).alias("role"), "side", "price", "size",
-    )
-    seeds = slice_seeds(levels, slice_width).select(
-        "asset_id", "slice", *[F.lit(None).cast(levels.schema[c].dataType).alias(c) for c in ("recv_ns", "seq", "part2")],
-        F.lit(0).alias("role"), "side", "price", "size",
+    levels = level_updates(updates).withColumn("slice", int_div(F.col("recv_ns"), slice_width))
+    levels = cut_lineage(levels, "book-levels")  # read for the runs, the seeds and the replay
+    runs = cut_lineage(joined_slices(levels, least_rows), "book-runs")
+    events, seeds = levels.withColumn("slice", F.lit(0).cast("long")), None
+    if not runs.isEmpty():
+        slices = [F.col("run").alias("slice") if c == "slice" else F.col(c) for c in levels.columns]
+        seeds = slice_seeds(null_safe_join(levels, runs, ["asset_id", "slice"], "inner").select(*slices))
+        slices = [F.coalesce("run", F.lit(0)).alias("slice") if c == "slice" else F.col(c) for c in levels.columns]
+        events = null_safe_join(levels, runs, ["asset_id", "slice"], "left").select(*slices)
+    rows = events.select(
+        "asset_id", "slice", "recv_ns", "seq", "part2", F.when(F.col("kind") == "clear", 1).otherwise(2).alias("role"), "side", "price", "size"
     )
+    if seeds is not None:
+        absent = [F.lit(None).cast(levels.schema[c].dataType).alias(c) for c in ("recv_ns", "seq", "part2")]
+        rows = rows.unionByName(seeds.select("asset_id", "slice", *absent, F.lit(0).alias("role"), "side", "price", "size"))
     # seeds come first: nulls sort before any time, also where an event has none
     order = [F.when(F.col("role") == 0, 0).otherwise(1), "recv_ns", "seq", "part2", "role"]
-    rows = spread_for_python(events.unionByName(seeds), ["asset_id", "slice"]).sortWithinPartitions("asset_id", "slice", *order)
+    rows = spread_for_python(rows, ["asset_id", "slice"]).sortWithinPartitions("asset_id", "slice", *order)
     placed = rows.select(*[F.col(c).cast(t) for c, t in ROW_TYPES.items()])
     return placed.mapInArrow(walk_slices, SUMMARY_DDL)
