@@ -251,3 +251,24 @@ def test_feed_of_one_symbol_is_spread_over_tasks(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("most_rows", [0, 20, 100_000])
+def test_greedy_spaced_of_small_and_large_keys(spark, most_rows):
+    rows = [(k, t * 7 % 50 + n, n, f"x{n}") for k, size in (("a", 60), ("b", 5), (None, 18)) for n, t in enumerate(range(size))]
+    got = greedy_spaced(spark.createDataFrame(rows, "k string, t long, seq long, note string"), ["k"], ["t", "seq"], 9, 4, 40, most_rows).collect()
+    expect, last = [], {}
+    for k, t, n, note in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        picks = last.setdefault(k, [])
+        if len(picks) < 4 and (not picks or t >= picks[-1] + 9):
+            picks.append(t)
+            expect.append((k, t, n, note))
+    assert sorted(map(tuple, got), key=str) == sorted(expect, key=str)
+
+
+def test_small_keys_are_spaced_without_slices(spark, monkeypatch):
+    from tickloom.operators import gating
+
+    monkeypatch.setattr(gating, "_chain", None)
+    df = spark.createDataFrame([(float("nan"), t, t) for t in range(30)] + [(1.0, 5, 1)], "k double, t long, seq long")
+    assert gating.greedy_spaced(df, ["k"], ["t", "seq"], 10).count() == 4

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom import NS_PER_SECOND
 from tickloom.operators.slices import DEFAULT_SLICE_NS, int_div, null_safe_join, previous_values, spread_for_python, with_position
+from tickloom.session import cut_lineage
 
 
 def _chain(times, gap: int):
@@ -31,16 +32,17 @@ def greedy_spaced(
     min_gap_ns: int,
     max_per_key: int = 0,
     slice_width: int | None = None,
+    most_rows: int = 100_000,
 ) -> DataFrame:
     """Rows picked when the first row of a key, and then each row at least `min_gap_ns`
     after the last pick, is taken; at most `max_per_key` per key (0 = no limit).
 
-    A key is cut into slices. A slice is summarised by where a chain of picks leaves it
+    A key of at most `most_rows` rows is walked in order, one row after the other. A larger
+    key is cut into slices. A slice is summarised by where a chain of picks leaves it
     for each way of entering it (only its first `min_gap_ns` matter), the chain is walked
     over those summaries, and the picks inside the slices follow independently.
     (`keys`, `order`) must identify a row.
     """
-    time = order[0]
     if max_per_key == 1:
         # the first row per key; the rank limit runs before the shuffle
         first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -51,6 +53,49 @@ def greedy_spaced(
         numbered = with_position(df, keys, order, "__n", slice_width or DEFAULT_SLICE_NS)
         return numbered.where(F.col("__n") <= max_per_key).drop("__n")
 
+    df = cut_lineage(df, "spaced")  # read to count the keys and to walk them
+    if not keys:
+        return _spaced_by_slices(df, keys, order, min_gap_ns, max_per_key, slice_width)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most_rows).drop("__n")
+    large = cut_lineage(large, "large-keys")
+    if large.isEmpty():
+        return _spaced_in_order(df, keys, order, min_gap_ns, max_per_key)
+    few = null_safe_join(df, large, keys, "left_anti")
+    many = null_safe_join(df, large, keys, "inner")
+    return _spaced_in_order(few, keys, order, min_gap_ns, max_per_key).unionByName(
+        _spaced_by_slices(many, keys, order, min_gap_ns, max_per_key, slice_width)
+    )
+
+
+def _spaced_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], min_gap_ns: int, max_per_key: int) -> DataFrame:
+    """The picks of keys that are in one task each, whatever batches they are in."""
+    time = order[0]
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        key, free, taken = None, None, 0
+        for batch in batches:
+            picked = np.zeros(batch.num_rows, bool)
+            rows = zip(zip(*[batch.column(k).to_pylist() for k in keys]), batch.column(time).to_pylist())
+            for i, (k, at) in enumerate(rows):
+                # a NaN isn't equal to itself
+                if key is None or k != key and any(x != y and (x == x or y == y) for x, y in zip(k, key)):
+                    key, free, taken = k, None, 0
+                if (free is None or at >= free) and not (max_per_key and taken >= max_per_key):
+                    picked[i], free, taken = True, at + min_gap_ns, taken + 1
+            yield batch.filter(pa.array(picked))
+
+    sorted_rows = spread_for_python(df, keys).sortWithinPartitions(*keys, *order)
+    return sorted_rows.mapInArrow(walk, df.schema)
+
+
+def _spaced_by_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], min_gap_ns: int, max_per_key: int, slice_width: int | None
+) -> DataFrame:
+    """The picks of keys that are cut into slices."""
+    time = order[0]
     width = max(slice_width or min_gap_ns * 360, min_gap_ns)
     part = [*keys, "__slice"]
     narrow = spread_for_python(df.select(*keys, *order).withColumn("__slice", int_div(F.col(time), width)), part)
