@@ -39,7 +39,7 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all texts with their sequence and place."""
-    return pack_documents(docs, "byte_bpe_50k.json", 1024, 2)
+    return pack_documents(docs, "byte_bpe_50k.json", 1024, 2, keep=False)
 
 
 STAGES = [

@@ -3,11 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tickloom.llm.encoders import LEADING, Encoder
-from tickloom.llm.packing import Bins, pack_documents
+from tickloom.llm.encoders import LEADING, Encoder, encoder
+from tickloom.llm.memory import give_back
+from tickloom.llm.packing import MEMORY, Bins, pack_documents, pieces_of
 
 FILE = "byte_bpe_50k.json"
 
@@ -97,3 +99,28 @@ def test_workers_of_packing_remember_little(docs_of, monkeypatch):
     packing.pieces_of(None, FILE)
     list(cut["f"](iter([])))
     assert Encoder(*seen[0]).memory.most <= 48 << 20
+
+
+def test_without_keep_pieces_are_the_same_and_a_worker_forgets_its_chunks(spark, docs_of):
+    docs = docs_of([f"a text of its own {i} {i * 7919}" for i in range(400)]).repartition(8)
+    kept, forgotten = (pieces_of(docs, FILE, 16, 2, keep=k) for k in (True, False))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, forgotten.collect()))
+
+    def held(batches):
+        for _ in batches:
+            pass
+        memory = encoder(FILE, LEADING, MEMORY).memory
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(memory.now) + len(memory.former)], pa.int64())})
+
+    for _ in range(4):  # until every idle worker, also those of other tests, has ended a task without keep
+        forgotten.count()
+    assert {r.n for r in docs.select("doc_id").mapInArrow(held, "n long").collect()} == {1}
+
+
+def test_an_encoder_learns_again_what_it_forgot():
+    coder = Encoder(FILE, LEADING)
+    ids = coder.encode(["some words, and more"])
+    coder.memory.forget()
+    give_back()
+    assert coder.memory.now == {"": b""} and not coder.memory.former and not coder.memory.bytes
+    assert coder.encode(["some words, and more"]) == ids

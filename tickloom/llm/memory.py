@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Collection
 
+import pyarrow as pa
+
 ENTRY = 200  # bytes of an entry besides its characters and its value, about
 
 
@@ -16,6 +20,9 @@ class Memory:
 
     def __init__(self, most_bytes: int, fixed: dict[str, bytes] | None = None):
         self.most, self.fixed = most_bytes, fixed or {}
+        self.forget()
+
+    def forget(self) -> None:
         self.now, self.former, self.bytes = dict(self.fixed), {}, 0
 
     def turn(self) -> None:
@@ -35,3 +42,12 @@ class Memory:
     def add(self, values: dict[str, bytes]) -> None:
         self.now.update(values)
         self.bytes += sum(map(len, values.keys())) + sum(map(len, values.values())) + ENTRY * len(values)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine. Idle Python workers live on for a minute beside whatever runs next in their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

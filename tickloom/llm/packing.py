@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import rows_of, texts
 from tickloom.llm.encoders import LEADING, encoder
+from tickloom.llm.memory import give_back
 from tickloom.session import cut_lineage
 
 
@@ -206,22 +207,29 @@ class Partners:
         return found and found[1]
 
 
-def pieces_of(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece of every whole text."""
+def pieces_of(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every piece of every whole text.
+
+    Without `keep`, workers forget at the end of each task what they remember of chunks: slower, but they are small while idle.
+    """
     tail = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(file, LEADING, MEMORY).encode
+        coder = encoder(file, LEADING, MEMORY)
         for names, values in rows_of(batches, 4 << 20, "doc_id", "text"):
             rows = []
-            for name, code in zip(names, encode(values), strict=True):
+            for name, code in zip(names, coder.encode(values), strict=True):
                 code = memoryview(code + tail)
                 n = len(code) // 4
                 edges = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     rows.append((name, k, a, b - a, zlib.crc32(code[4 * a : 4 * b])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+        if not keep:
+            names = values = rows = code = None
+            coder.memory.forget()
+            give_back()
 
     return texts(docs, id_col, text_col).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -249,6 +257,6 @@ def pack(pieces: DataFrame, size: int = 1024, block_items: int = 20_000) -> Data
     return packed.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, block_items: int = 20_000) -> DataFrame:
-    """Encode, cut and pack whole texts; see the module's text."""
-    return pack(cut_lineage(pieces_of(docs, file, size, end_id), "pieces"), size, block_items)
+def pack_documents(docs: DataFrame, file: str, size: int = 1024, end_id: int = 2, block_items: int = 20_000, keep: bool = True) -> DataFrame:
+    """Encode, cut and pack whole texts; see the module's text and `pieces_of`."""
+    return pack(cut_lineage(pieces_of(docs, file, size, end_id, keep=keep), "pieces"), size, block_items)
