@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.functions.prices import GUARD
 from tickloom.plans.features import EWMA_SPANS, OWN_OFFSETS, REFERENCE_OFFSETS_MS, TRADE_RUN
-from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, in_order, prepare_state_store, with_event_time, with_state
+from tickloom.streaming.common import DEFAULT_IDLE_NS, DEFAULT_WATERMARK, EndingProcessor, prepare_state_store, with_event_time, with_state
 
 SMOOTHED = ["realized_vol_short", "depth_top10_imbalance", "ref_return_1000ms", "ref_return_3000ms"]
 EVENT_DDL = (
@@ -44,22 +44,38 @@ class FeatureConfig:
     min_mid_change: float = 0.02
 
 
-def window_features(history, new, config: FeatureConfig):
-    """Features of the book rows of `new`, given the rows of `history` before them.
+TEXTS, TIMES = ("kind", "asset_id"), ("recv_ns", "seq")
+COLUMNS = {c: object if c in TEXTS else "int64" if c in TIMES else float for c in (x.split()[0] for x in EVENT_DDL.split(", "))}
+BOOK_COLUMNS = ["asset_id", "recv_ns", "seq", "best_bid", "best_ask", "mid", "spread", "depth_top10_imbalance"]
 
-    The same windows and lookups as the batch features, by binary search over the ordered
-    rows of one asset.
+
+def ordered(*parts) -> dict:
+    """Rows as one array a column, by time and number; of equal ones those of the first part come first.
+
+    A key has few rows, so a frame of pandas would cost more than the work on it.
+    """
+    import numpy as np
+
+    rows = {c: np.concatenate([np.asarray(p[c], dtype=kind) for p in parts]) for c, kind in COLUMNS.items()}
+    place = np.lexsort((rows["seq"], rows["recv_ns"]))
+    return {c: x[place] for c, x in rows.items()}
+
+
+def of_kind(rows: dict, kind: str) -> dict:
+    found = rows["kind"] == kind
+    return {c: x[found] for c, x in rows.items()}
+
+
+def window_features(rows: dict, fresh: dict, config: FeatureConfig) -> dict:
+    """Features of the book rows `fresh`, which are among the ordered rows of one asset.
+
+    The same windows and lookups as the batch features, by binary search.
     """
     import numpy as np
-    import pandas as pd
 
     ms, sec = NS_PER_MS * config.scale, NS_PER_SECOND * config.scale
-    rows = new
-    if history is not None and len(history):  # rows that came late take their place
-        rows = pd.concat([history, new], ignore_index=True).sort_values(["recv_ns", "seq"], kind="stable", ignore_index=True)
-    book, trade, ref = (rows[rows["kind"] == k] for k in ("book", "trade", "ref"))
-    fresh = new[new["kind"] == "book"]
-    t = fresh["recv_ns"].to_numpy("int64")
+    book, trade, ref = (of_kind(rows, k) for k in ("book", "trade", "ref"))
+    t = fresh["recv_ns"]
     out: dict = {}
 
     def span(times, w):
@@ -74,7 +90,7 @@ def window_features(history, new, config: FeatureConfig):
         ok = (i >= 0) & (at - times[np.maximum(i, 0)] <= tolerance) if len(times) else np.zeros(len(at), bool)
         return np.where(ok, values[np.maximum(i, 0)] if len(values) else np.nan, np.nan)
 
-    tb, mid, spread = book["recv_ns"].to_numpy("int64"), book["mid"].to_numpy(float), book["spread"].to_numpy(float)
+    tb, mid, spread = book["recv_ns"], book["mid"], book["spread"]
     for label, w in (("100ms", 100 * ms), ("500ms", 500 * ms), ("1s", sec)):
         lo, hi = span(tb, w)
         out[f"book_update_count_{label}"] = (hi - lo).astype(float)
@@ -82,13 +98,13 @@ def window_features(history, new, config: FeatureConfig):
     out["spread_widen_count_recent"] = summed(np.nan_to_num(delta) > 0, span(tb, sec))
     out["spread_narrow_count_recent"] = summed(np.nan_to_num(delta) < 0, span(tb, sec))
     ret = np.concatenate([[np.nan], mid[1:] / mid[:-1] - 1]) if len(mid) else mid
-    vols = []
-    for lo, hi in zip(*span(tb, 3 * sec)):
-        known = ret[lo:hi][~np.isnan(ret[lo:hi])]
+    vols, there = [], ~np.isnan(ret)
+    for lo, hi in zip(*(x.tolist() for x in span(tb, 3 * sec))):
+        known = ret[lo:hi][there[lo:hi]]
         vols.append(known.std(ddof=1) if len(known) > 1 else np.nan)
     out["realized_vol_short"] = np.array(vols, float)
 
-    tt, size, sign, price = (trade[c].to_numpy(float if c != "recv_ns" else "int64") for c in ("recv_ns", "size", "signed_side", "price"))
+    tt, size, sign, price = (trade[c] for c in ("recv_ns", "size", "signed_side", "price"))
     recent = latest(tt, np.arange(len(tt), dtype=float), t, sec)
     last = np.where(np.isnan(recent), -1, np.nan_to_num(recent)).astype(int)
     # trade windows end at the last trade, as in the batch features
@@ -106,7 +122,7 @@ def window_features(history, new, config: FeatureConfig):
     out |= {"aggressive_buy_volume_1s": buys, "aggressive_sell_volume_1s": sells, "signed_volume_1s": signed}
     out["signed_volume_imbalance_recent"] = signed / (buys + sells + GUARD)
     out["recent_vwap"] = trade_sum(price * size, sec) / (trade_sum(size, sec) + GUARD)
-    mids = fresh["mid"].to_numpy(float)
+    mids = fresh["mid"]
     out["recent_vwap_deviation"] = out["recent_vwap"] - mids
     upto = np.cumsum(np.concatenate([[0], sign > 0])), np.cumsum(np.concatenate([[0], sign < 0]))
     full = has & (last + 1 >= TRADE_RUN)
@@ -114,7 +130,7 @@ def window_features(history, new, config: FeatureConfig):
         run = c[last + 1] - c[np.maximum(last + 1 - TRADE_RUN, 0)]
         out[f"consecutive_{name}_trade_run_proxy"] = np.where(full, run, np.nan)
 
-    tr, ref_mid = ref["recv_ns"].to_numpy("int64"), ref["mid"].to_numpy(float)
+    tr, ref_mid = ref["recv_ns"], ref["mid"]
     now = latest(tr, ref_mid, t, config.tolerance_ns)
     out["ref_mid"] = now
     out["ref_age_ms"] = (t - latest(tr, tr.astype(float), t, config.tolerance_ns)) / NS_PER_MS
@@ -126,8 +142,7 @@ def window_features(history, new, config: FeatureConfig):
     out["lead_lag_ref_minus_own_500ms"] = out["ref_return_500ms"] - out["return_500ms"]
     out["lead_lag_ref_minus_own_1s"] = out["ref_return_1000ms"] - out["return_1s"]
     out["lead_lag_3s"] = out["ref_return_3000ms"] - out["return_3s"]
-    head = fresh[["asset_id", "recv_ns", "seq", "best_bid", "best_ask", "mid", "spread", "depth_top10_imbalance"]].reset_index(drop=True)
-    return pd.concat([head, pd.DataFrame(out)], axis=1), rows
+    return {c: fresh[c] for c in BOOK_COLUMNS} | out
 
 
 class FeatureProcessor(EndingProcessor):
@@ -147,42 +162,42 @@ class FeatureProcessor(EndingProcessor):
         import numpy as np
         import pandas as pd
 
-        names = [x.split()[0] for x in EVENT_DDL.split(", ")]
-        new = in_order(rows, ["recv_ns", "seq"])
-        if new is None:
+        parts = [r for r in rows if len(r)]
+        if not parts:
             return
-        new = new[names]
-        self.lives_on(new["recv_ns"].iloc[-1])
-        history = pd.DataFrame([tuple(r) for r in self.recent.get()], columns=names) if self.recent.exists() else None
-        frame, joined = window_features(history, new, self.config)
+        new = ordered(*parts)
+        self.lives_on(new["recv_ns"][-1])
+        joined = new
+        if self.recent.exists():  # rows that came late take their place
+            joined = ordered(dict(zip(COLUMNS, zip(*self.recent.get()))), new)
 
-        lookback = int(joined["recv_ns"].max()) - 11 * NS_PER_SECOND * self.config.scale
-        keep = joined["recv_ns"] >= lookback
+        keep = joined["recv_ns"] >= int(joined["recv_ns"][-1]) - 11 * NS_PER_SECOND * self.config.scale
         for kind, n in (("book", 1), ("trade", TRADE_RUN)):
-            keep |= joined.index.isin(joined.index[joined["kind"] == kind][-n:])
-        tail = joined[keep].astype(object).where(joined[keep].notna(), None)
-        self.recent.put([tuple(r) for r in tail.itertuples(index=False, name=None)])
-        if frame.empty:
+            keep[np.flatnonzero(joined["kind"] == kind)[-n:]] = True
+        self.recent.put(list(zip(*([None if v != v else v for v in x[keep].tolist()] for x in joined.values()))))
+        fresh = of_kind(new, "book")
+        if not len(fresh["recv_ns"]):
             return
 
+        frame = window_features(joined, fresh, self.config)
         state = list(self.sums.get()) if self.sums.exists() else [0.0] * (2 * len(SMOOTHED) * len(EWMA_SPANS))
         for i, c in enumerate(SMOOTHED):
             for j, (name, s) in enumerate(EWMA_SPANS.items()):
                 at, decay, values = 2 * (i * len(EWMA_SPANS) + j), 1 - 2 / (s + 1), []
-                for x in frame[c].to_numpy(float):
-                    if np.isnan(x):
+                for x in frame[c].tolist():
+                    if x != x:
                         values.append(np.nan)
                         continue
                     state[at], state[at + 1] = state[at] * decay + x, state[at + 1] * decay + 1.0
                     values.append(state[at] / state[at + 1])
-                frame[f"{c}_ewma_{name}"] = values
+                frame[f"{c}_ewma_{name}"] = np.array(values)
             frame[f"{c}_ewma_diff"] = frame[f"{c}_ewma_fast"] - frame[f"{c}_ewma_slow"]
         self.sums.update(tuple(state))
 
         c = self.config
         sample_ns, mid = self.throttle.get() if self.throttle.exists() else (None, None)
         sampled, predict = [], []
-        for t, m in zip(frame["recv_ns"], frame["mid"]):
+        for t, m in zip(frame["recv_ns"].tolist(), frame["mid"].tolist()):
             due = sample_ns is None or t - sample_ns >= c.sample_interval_ns
             moved = due and (mid is None or c.min_mid_change <= 0 or abs(m - mid) >= c.min_mid_change)
             sample_ns, mid = (int(t) if due else sample_ns), (float(m) if moved else mid)
@@ -190,7 +205,7 @@ class FeatureProcessor(EndingProcessor):
             predict.append(moved)
         self.throttle.update((sample_ns, mid))
         frame["sampled"], frame["predict"] = sampled, predict
-        yield frame[[x.split()[0] for x in OUTPUT_DDL.split(", ")]]
+        yield pd.DataFrame({x.split()[0]: frame[x.split()[0]] for x in OUTPUT_DDL.split(", ")})
 
 
 def online_features(
