@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pytest
 
+from tickloom import session
+from tickloom.llm import token_join
 from tickloom.llm.components import connected
 from tickloom.llm.token_join import keys_of, linked_components
 
@@ -90,3 +92,43 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty_table(docs_of):
     assert linked_components(docs_of([])).count() == 0
+
+
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 4, 15, 16, 200, 300, 2000):
+        base = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        sets += [base, np.unique(np.append(base[n // 12 :], rng.integers(0, 1 << 64, n // 12 + 1, dtype=np.uint64)))]
+    sets.append(np.arange(5000, dtype=np.uint64))  # all in one count, which is cut off
+    sets.append(np.arange(4900, dtype=np.uint64))
+    near = [{i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 100 * len(np.intersect1d(x, y)) >= p * len(np.union1d(x, y))} for p in (80, 30)]
+    for percent, expect in zip((80, 30), near):
+        sketches = [token_join.sketch(x) for x in sets]
+        assert all(token_join.most_shared(a, b) >= len(np.intersect1d(x, y)) for a, x in zip(sketches, sets) for b, y in zip(sketches, sets))
+        hit = set(np.flatnonzero(token_join.may_link(sketches, [len(x) for x in sets], list(range(len(sets))), percent)).tolist())
+        assert expect <= hit
+    far = [np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64)) for _ in range(60)]
+    assert not token_join.may_link([token_join.sketch(x) for x in far], [400] * 60, list(range(60)), 80).any()
+    assert not token_join.may_link([token_join.sketch(sets[-4])] * 2, [2000] * 2, [7, 7], 80).any()
+
+
+def test_only_texts_that_may_be_similar_travel(docs_of, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rng.choices(words, k=12))
+    texts = [" ".join([*rng.choices(words, k=30), passage, *rng.choices(words, k=30)]) for _ in range(150)]
+    texts.append(texts[7] + " more")
+    monkeypatch.setattr(session, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{rng.random()}")
+    carried = []
+    dropped = token_join.drop_written
+
+    def drop(*tables):
+        carried.extend(t.count() for t in tables if t.columns == ["node", "z"])
+        dropped(*tables)
+
+    monkeypatch.setattr(token_join, "drop_written", drop)
+    rows = linked_components(docs_of(texts), 5, 80)
+    assert sorted(map(tuple, rows.collect())) == sorted(brute([*enumerate(texts)], 80))
+    assert len(carried) == 2 and sum(carried) <= 8
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} <= {"nodes", "edges", "links"}

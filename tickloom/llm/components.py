@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, drop_written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = large.where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("e"))
-        edges = cut_lineage(small.select("e.a", F.col("e.m").alias("b")).where("a != b").distinct(), "edges")
+        before, edges = edges, cut_lineage(small.select("e.a", F.col("e.m").alias("b")).where("a != b").distinct(), "edges")
+        drop_written(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -20,6 +20,9 @@ one of the key only, and linked sets are merged. Pairs still open have such a le
 group, if it holds several components, is cut into blocks, and blocks are compared pairwise in memory. Only
 links that merge components leave a task, so no pairs are written out, and no link between components is lost.
 
+Most sets that share a key are far from similar. Counts of a set's tokens by their first bits bound what two sets
+can share from above, at about a twentieth of a text's size, so texts travel only where the bound leaves a link possible.
+
 Cases: null or empty texts and texts without words have no shingles and are linked with nothing;
 repeated rows are copies; a document without a number has its group's smallest number, or none;
 an empty table gives no rows.
@@ -38,10 +41,11 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import mix, texts
 from tickloom.llm.components import connected
 from tickloom.llm.shingles import same_size, shingle_sets, signature
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, drop_written
 
 FREQUENT = 32  # documents from which a token counts as frequent
 TILE = 256  # sets of a block that are compared with those of another at once
+SKETCH_BITS = 12  # 4,096 counts of a set at most
 MOST_FREQUENT = 1 << 20  # frequent tokens known to all tasks (8 MB); the rest stay in the rare class
 U = np.uint64
 
@@ -109,6 +113,55 @@ def frequent_tokens(docs: DataFrame, words: int, least: int, most: int) -> np.nd
     return np.sort(top.toArrow().column(0).to_numpy().view(U))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of a set's tokens by their first bits, 4 to 8 tokens a count; 255 stands for any number from there on."""
+    bits = min(SKETCH_BITS, max(0, len(tokens).bit_length() - 3))
+    parts = (tokens >> U(63 - bits) >> U(1)).astype(np.int64)
+    return np.minimum(np.bincount(parts, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def unpacked(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of `size` counts; those of more counts are added up."""
+    out = np.empty((len(sketches), size), np.int32)
+    for i, x in enumerate(sketches):
+        counts = np.frombuffer(x, np.uint8).astype(np.int32)
+        counts[counts == 255] = 1 << 18
+        out[i] = counts.reshape(size, -1).sum(1)
+    return out
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """No two sets with these sketches share more tokens."""
+    size = min(len(a), len(b))
+    return int(np.minimum(*[unpacked([x], size)[0] for x in (a, b)]).sum())
+
+
+def may_link(sketches: list[bytes], sizes: list[int], components: list[int], percent: int) -> np.ndarray:
+    """Of each set, whether one of another component may be similar; no such set is missed."""
+    order = np.argsort(sizes, kind="stable")
+    n, mine = np.array(sizes, np.int64)[order], np.array(components, np.int64)[order]
+    ordered = [sketches[i] for i in order.tolist()]
+    lengths = np.array([len(x) for x in ordered])
+    ends = np.searchsorted(percent * n, 100 * n, side="right")
+    hit = np.zeros(len(n), bool)
+    for length in np.unique(lengths):
+        own = np.flatnonzero(lengths == length)
+        at = int(own[0])  # a larger set has as many counts or more
+        counts = unpacked(ordered[at : int(ends[own[-1]])], int(length))
+        for i in own.tolist():
+            others = np.arange(i + 1, ends[i])
+            others = others[mine[others] != mine[i]]
+            others = others[~hit[others]] if hit[i] else others
+            if len(others):
+                both = np.minimum(counts[i - at], counts[others - at]).sum(1)
+                close = others[100 * both >= percent * (n[i] + n[others] - both)]
+                hit[close] = True
+                hit[i] |= len(close) > 0
+    out = np.zeros(len(n), bool)
+    out[order] = hit
+    return out
+
+
 def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of some sets, by products of 0-1 matrices a few thousand tokens wide."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -194,9 +247,16 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
             for text, tokens in zip(batch.column("text"), shingle_sets(batch.column("text"), words), strict=True):
                 node = signature(tokens)
                 if node not in rows:
-                    rows[node] = (node, len(tokens), squeeze(text.as_buffer()))
-            cells = zip(*rows.values()) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "z"])
+                    rows[node] = (node, len(tokens), sketch(tokens), squeeze(text.as_buffer()))
+            cells = zip(*rows.values()) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "sketch", "z"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that may be similar by their sketches."""
+        for batch in batches:
+            cells = [batch.column(c).to_pylist() for c in ("ka", "kb", "na", "nb")]
+            keep = [100 * both >= percent * (na + nb - both) for ka, kb, na, nb in zip(*cells) for both in [most_shared(ka, kb)]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
@@ -222,43 +282,70 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
 
     # the texts of all sets that share a key with another; a copy's text serves as well
     wanted = keys.select("node").distinct()
-    sets = cut_lineage(docs.mapInArrow(carry, "node long, n long, z binary").join(wanted, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("z").alias("z")), "sets")
+    carried = docs.mapInArrow(carry, "node long, n long, sketch binary, z binary").join(wanted, "node")
+    sets = cut_lineage(carried.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "z")]), "sets")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return cut_lineage(sets.select("node", "z").join(wanted.distinct(), "node", "left_semi"), "texts")
 
     def verified(pairs: DataFrame, purpose: str) -> DataFrame:
-        left, right = sets.toDF("a", "na", "za"), sets.toDF("b", "nb", "zb")
+        left, right = sets.select("node", "n", "sketch").toDF("a", "na", "ka"), sets.select("node", "n", "sketch").toDF("b", "nb", "kb")
         close = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
         sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").where(close).select("a", "b")
-        both = sized.join(right.select("b", "zb"), "b").join(left.select("a", "za"), "a").sortWithinPartitions("a")
-        return cut_lineage(both.mapInArrow(similar, "a long, b long"), purpose)
+        both = sized.join(left.select("a", "na", "ka"), "a").join(right, "b")
+        open_pairs = cut_lineage(both.mapInArrow(likely, "a long, b long"), "likely-pairs")
+        carried = texts_of(open_pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        both = open_pairs.join(carried.toDF("b", "zb"), "b").join(carried.toDF("a", "za"), "a").sortWithinPartitions("a")
+        found = cut_lineage(both.mapInArrow(similar, "a long, b long"), purpose)
+        drop_written(open_pairs, carried)
+        return found
+
+    def tiles(batches: Iterator[pa.RecordBatch], payload: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+        """Each tile with (node, component, ...) of its rows; they follow one another and are bounded in number."""
+        held, name = [], None
+        for batch in batches:
+            names = zip(*[batch.column(c).to_pylist() for c in ("pivot", "left", "right")])
+            rows = zip(*[batch.column(c).to_pylist() for c in ("node", "component", *payload)])
+            for own, row in zip(names, rows):
+                if own != name and held:
+                    yield name, held
+                    held = []
+                name = own
+                held.append(row)
+        if held:
+            yield name, held
+
+    tile_columns = ["pivot", "left", "right", "node", "component"]
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a tile that may be similar to one of another component by their sketches."""
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        rows = []
+
+        def flush() -> pa.RecordBatch:
+            cells = zip(*rows) if rows else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], tile_columns)
+
+        for name, held in tiles(batches, ["n", "sketch"]):
+            _, component, n, sketches = zip(*held)
+            rows += [(*name, *held[i][:2]) for i in np.flatnonzero(may_link(sketches, n, component, percent)).tolist()]
+            if len(rows) > 10_000:
+                yield flush()
+                rows = []
+        yield flush()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links between components within each tile; rows of a tile follow one another and are bounded in number."""
+        """Links between components within each tile."""
         expand = zstandard.ZstdDecompressor().decompress
-        held, names = [], []
-
-        def solve(upto: int) -> pa.RecordBatch:
-            rows, tiles = held[:upto], names[:upto]
-            del held[:upto], names[:upto]
-            sets = list(shingle_sets(pa.array([expand(z) for _, _, z in rows], pa.binary()), words))
-            links = []
-            start = 0
-            for end in range(1, upto + 1):
-                if end == upto or tiles[end] != tiles[start]:
-                    found = links_between(sets[start:end], [c for _, c, _ in rows[start:end]], percent)
-                    links += [(rows[start + i][0], rows[start + j][0]) for i, j in found]
-                    start = end
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else [(), ()])], ["a", "b"])
+        for _, held in tiles(batches, ["z"]):
+            node, component, z = zip(*held)
+            sets = list(shingle_sets(pa.array([expand(x) for x in z], pa.binary()), words))
+            links = [(node[i], node[j]) for i, j in links_between(sets, component, percent)]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
-        for batch in batches:
-            names += zip(*[batch.column(c).to_pylist() for c in ("pivot", "left", "right")])
-            held += zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), [z.as_py() for z in batch.column("z")])
-            upto = len(names)
-            while upto and names[upto - 1] == names[-1]:
-                upto -= 1  # the last tile may go on
-            if upto:
-                yield solve(upto)
-        if names:
-            yield solve(len(names))
+    def by_tile(rows: DataFrame) -> DataFrame:
+        return rows.repartition("pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
 
     links = verified(first, "links")
     found = connected(links)
@@ -269,8 +356,11 @@ def linked_components(docs: DataFrame, words: int = 5, percent: int = 80, least:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     tiled = open_groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("pivot", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "node", "component")
-    tiled = tiled.join(sets.select("node", "z"), "node").repartition("pivot", "left", "right").sortWithinPartitions("pivot", "left", "right")
-    more = cut_lineage(tiled.mapInArrow(compare, "a long, b long"), "links")
+    shape = "pivot long, left int, right int, node long, component long"
+    open_rows = cut_lineage(by_tile(tiled.join(sets.select("node", "n", "sketch"), "node")).mapInArrow(screen, shape), "open-rows")
+    carried = texts_of(open_rows.select("node"))
+    more = cut_lineage(by_tile(open_rows.join(carried, "node")).mapInArrow(compare, "a long, b long"), "links")
+    drop_written(keys, first, sets, open_rows, carried)
 
     found = connected(links.union(more))
     own = nodes.where("n_shingles > 0")
