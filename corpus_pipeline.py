@@ -14,7 +14,7 @@ from tickloom.llm.packing import pack_documents
 from tickloom.llm.run_index import cut_repeats
 from tickloom.llm.token_join import keep_one
 from tickloom.llm.toxicity import drop_toxic
-from tickloom.session import cut_lineage, prepare
+from tickloom.session import cut_lineage, drop_written, prepare
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again."""
-    docs = table(prepare(spark), sf_dir, "documents")
+    """All stages, each written as Parquet and read again; what a stage has read goes when it is written."""
+    docs, read = table(prepare(spark), sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_written(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

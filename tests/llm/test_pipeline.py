@@ -7,6 +7,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom import session
+
 sys.path.insert(0, str(Path(__file__).parent))
 from test_line_dedup import brute as removed_lines
 from test_token_join import brute as components
@@ -88,3 +90,13 @@ def test_run(spark, folder):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     least = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert least <= 1024 and out.select("doc_id").distinct().count() > 100
+
+
+def test_tables_of_stages_go_when_the_next_one_is_written(spark, folder, tmp_path, monkeypatch):
+    path, rows = folder
+    monkeypatch.setattr(session, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{random.random()}")
+    packed = corpus_pipeline.run(spark, path)
+    assert 0 < packed.select("doc_id").distinct().count() <= len(rows)
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert {x for x in left if x.startswith("pipeline-")} == {"pipeline-long_repeats"}
+    assert not left & {"shared-keys", "pairs", "sets", "texts", "open-rows"}
