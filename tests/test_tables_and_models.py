@@ -75,3 +75,16 @@ def test_fit_score_and_importance(spark):
     assert top["feature"] == "x" or top["feature"].endswith("_0")
     metrics = models.evaluate_models(df, {"lr": clf, "lin": reg}, "reg", "cls").collect()
     assert {r["model"] for r in metrics} == {"lr", "lin"}
+
+
+def test_a_step_of_the_feature_table_drops_what_it_has_read(spark, tmp_path, monkeypatch):
+    import random
+
+    from tickloom import session
+    from tickloom.workload.training_queries import feature_table
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{random.random()}")
+    table = feature_table(spark, "/root/testdata/sf0.001")
+    assert {p.name.rpartition("-")[0] for p in tmp_path.iterdir()} == {"smoothed", "fills"}
+    assert table.columns.index("markout_10s_bps") < table.columns.index("y_reg_10s") < table.columns.index("two_leg_edge_10s") < table.columns.index("final_profit_10s")
+    assert table.count() == table.select("asset_id", "seq").distinct().count() > 900

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.slices import DEFAULT_SLICE_NS, int_div, null_safe_join, with_position
+from tickloom.session import cut_lineage, drop_written
 
 SMALLEST_WEIGHT = 1e-24
 REACH = 27  # SMALLEST_WEIGHT ** REACH is 1e-648; doubles span 1e632
@@ -34,10 +35,13 @@ def ewma(
     columns: Sequence[str],
     spans: dict[str, int],
     slice_width: int = DEFAULT_SLICE_NS,
+    written: list | None = None,
 ) -> DataFrame:
     """Add `{column}_ewma_{name}` for each column and each named span (adjusted weights).
 
-    (`keys`, `order`) must identify a row. Null inputs are skipped and get a null.
+    (`keys`, `order`) must identify a row. Null inputs are skipped and get a null. The numbered
+    values, which are read twice, and the means are written, so that no two steps hold shuffle files at once;
+    the means are added to `written`, to be dropped when the result has been read.
     With names `fast` and `slow` present, `{column}_ewma_diff` is added as well.
     """
     chunk = chunk_length(list(spans.values()))
@@ -50,6 +54,7 @@ def ewma(
     placed = numbered.withColumn("__chunk", int_div(F.col("__n") - 1, chunk)).withColumn(
         "__e", F.pmod(F.col("__n") - 1, F.lit(chunk)).cast("double")
     )
+    placed = cut_lineage(placed, "numbered")
 
     inside = Window.partitionBy(*keys, "i", "__chunk").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
     local, totals = [], []
@@ -89,4 +94,8 @@ def ewma(
         wide = wide.select(
             "*", *[(F.col(f"{c}_ewma_fast") - F.col(f"{c}_ewma_slow")).alias(f"{c}_ewma_diff") for c in columns]
         )
+    wide = cut_lineage(wide, "means")
+    drop_written(placed)
+    if written is not None:
+        written.append(wide)
     return null_safe_join(df, wide, row)

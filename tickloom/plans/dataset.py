@@ -14,7 +14,7 @@ from tickloom import NS_PER_MS, NS_PER_SECOND
 from tickloom.operators.sampling import time_bucket_sample
 from tickloom.operators.slices import DEFAULT_SLICE_NS, null_safe_join
 from tickloom.plans import features, labels
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, drop_written
 
 
 # The defaults of all parameters below.
@@ -146,9 +146,9 @@ def build_feature_table(
 ) -> DataFrame:
     """Canonical inputs to the labelled feature table, all markets and dates in one plan.
 
-    The sampled book and the raw features are written to the shared folder on the way:
-    several steps read each of them, and without the cut every one would repeat all steps
-    before it. Fill labels are computed on the few columns they need and joined by row.
+    The sampled book and the table after each step that shuffles whole rows are written to the
+    shared folder on the way: no step is repeated, and only one holds its shuffle files at a time.
+    A table goes when the next one is written. What looks ahead is computed on the few columns it needs and joined by row.
     """
     c = plan or TablePlan()
     tolerance = c.reach_ms * NS_PER_MS * c.scale
@@ -157,6 +157,12 @@ def build_feature_table(
     else:
         samples = time_bucket_sample(book, features.ASSET, features.ORDER, c.sampling.every_ms * NS_PER_MS * c.scale)
         samples = cut_lineage(samples, "samples")
+
+    def step(df: DataFrame, purpose: str, *before: DataFrame) -> DataFrame:
+        table = cut_lineage(df, purpose)
+        drop_written(*before)
+        return table
+
     source = samples if c.sampling.features_from_samples else book
     events = features.book_event_features(source, c.scale, c.slice_ns)
     own_trades = features.trade_features(trades, c.own_prefix, c.scale, c.slice_ns) if trades is not None else None
@@ -167,25 +173,31 @@ def build_feature_table(
     )
     if trades is None:
         df = features.empty_trade_features(df, c.own_prefix)
-    df = features.add_reference_features(df, ref_book, ref_trades, c.ref_prefix, tolerance, c.scale, c.slice_ns)
-    df = cut_lineage(features.own_returns(df, c.own_prefix, c.ref_prefix, c.scale), "features")
-    df = features.add_smoothed(df, c.ref_prefix, c.slice_ns)
+    df = step(df, "own-features")
+    df = step(features.add_reference_features(df, ref_book, ref_trades, c.ref_prefix, tolerance, c.scale, c.slice_ns), "reference", df)
+    df = step(features.own_returns(df, c.own_prefix, c.ref_prefix, c.scale), "features", df)
+    means: list[DataFrame] = []
+    smoothed = features.add_smoothed(df, c.ref_prefix, c.slice_ns, means)
+    df = step(smoothed, "smoothed", df, *means)
     df = features.add_buckets(df, research, tolerance)
-    df = features.future_book(df, book, list(c.targets.horizons), tolerance, c.scale)
 
     target, leg, costs = c.targets, c.second_leg, c.costs
     h = target.main
-    df = labels.alpha_labels(df, h, target.move_bps, target.entry_bps)
-    df = labels.net_edge(df, h, costs.taker_bps, costs.slippage_bps, costs.margin_bps)
-    df = labels.strategy_entry(df, h, target.entry_price)
-
     ids = [*features.ASSET, *features.ORDER]
-    narrow = samples.select(*ids, "outcome", "best_ask", *[x for x in ("tick_size",) if x in samples.columns])
+    narrow = samples.select(*ids, "outcome", "best_ask", "current_mid", *[x for x in ("tick_size",) if x in samples.columns])
+    ahead = step(features.future_book(narrow, book, list(target.horizons), tolerance, c.scale), "future")
     fills = labels.two_leg_fill(
-        narrow, trades, h, leg.both_legs, leg.edge_if_unfilled, leg.proving_side, leg.delay_ms, leg.ticks_through, leg.first_leg_ms, costs.buffer, c.scale
+        ahead, trades, h, leg.both_legs, leg.edge_if_unfilled, leg.proving_side, leg.delay_ms, leg.ticks_through, leg.first_leg_ms, costs.buffer, c.scale
     )
     fills = labels.first_leg_fill(fills, leg.first_leg_ms or 350, costs.buffer, c.scale)
-    df = null_safe_join(df, fills.drop("outcome", "best_ask", "tick_size"), ids)
+    fills = step(fills.drop("outcome", "best_ask", "current_mid", "tick_size"), "fills", ahead, *([] if c.sampling.by_events else [samples]))
+    df = null_safe_join(df, fills, ids)
+    df = labels.alpha_labels(df, h, target.move_bps, target.entry_bps)
+    df = labels.net_edge(df, h, costs.taker_bps, costs.slippage_bps, costs.margin_bps)
+    df = labels.strategy_entry(df, h, target.entry_price)
+
+    last = [x for x in fills.columns if x not in ahead.columns]
+    df = df.select(*[x for x in df.columns if x not in last], *last)
     return labels.final_profit(df, h, costs.fee, costs.buffer, leg.both_legs)
 
 

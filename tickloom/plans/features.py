@@ -249,11 +249,11 @@ def own_returns(samples: DataFrame, prefix: str = "", ref_prefix: str = "ref_",
     return out
 
 
-def add_smoothed(samples: DataFrame, ref_prefix: str = "ref_", slice_width: int = DEFAULT_SLICE_NS) -> DataFrame:
+def add_smoothed(samples: DataFrame, ref_prefix: str = "ref_", slice_width: int = DEFAULT_SLICE_NS, written: list | None = None) -> DataFrame:
     """Fast and slow EWMA, and their difference, of the noisy features present."""
     sources = ["realized_vol_short", "depth_top10_imbalance", f"{ref_prefix}return_1000ms", f"{ref_prefix}return_3000ms"]
     present = [c for c in sources if c in samples.columns]
-    return ewma(samples, ASSET, ORDER, present, EWMA_SPANS, slice_width) if present else samples
+    return ewma(samples, ASSET, ORDER, present, EWMA_SPANS, slice_width, written) if present else samples
 
 
 def add_buckets(
