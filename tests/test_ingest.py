@@ -3,6 +3,7 @@
 import json
 from functools import reduce
 
+import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +93,36 @@ def test_tables_agree_with_those_of_one_feed(spark):
     for name, table in normalize.ALL_TABLES.items():
         got = table(parsed, "venue", "feed").collect()
         assert len(got) == 1 and got == alone[name].collect(), name
+
+
+def test_a_batch_is_held_on_disk_and_not_in_memory(spark, tmp_path, monkeypatch):
+    levels = []
+
+    def own_trades(parsed, source, feed):
+        levels.append(parsed.storageLevel)
+        return normalize.own_trades(parsed)
+
+    monkeypatch.setattr(normalize, "ALL_TABLES", {"own_trades": own_trades})
+    line = '{"event_type": "trade", "id": "a", "price": "0.5"}'
+    batch = spark.createDataFrame([(1, 0, line)], "recv_ns long, part int, message string")
+    write_batch(batch, 0, str(tmp_path))
+    assert [(x.useMemory, x.useDisk) for x in levels] == [(False, True)]
+    assert committed(spark, str(tmp_path), "own_trades").count() == 1
+
+
+def test_files_of_a_batch_are_bounded_however_long_the_log_is(spark, monkeypatch):
+    from tickloom.workload import io_queries
+
+    class Seen(Exception):
+        pass
+
+    def stream(spark, folder, max_files):
+        raise Seen(max_files, len(spark.read.text(folder).inputFiles()))
+
+    write = io_queries.write_raw
+    monkeypatch.setattr(io_queries, "write_raw", lambda lines, folder: write(lines, folder, 10))
+    monkeypatch.setattr(io_queries, "raw_stream", stream)
+    with pytest.raises(Seen) as seen:
+        io_queries.all_feeds_query(spark, "/root/testdata/sf0.001")
+    most, files = seen.value.args
+    assert files > 128 and most == 64

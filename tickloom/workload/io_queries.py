@@ -87,6 +87,9 @@ FEED_TABLES = {
 }
 
 
+MOST_FILES = 64  # of a micro-batch, so that it doesn't grow with the log
+
+
 def write_raw(lines: DataFrame, folder: str, lines_per_file: int = 50_000) -> None:
     """Add a raw log to a folder, in files of bounded length, as many as there are lines for."""
     lines.write.mode("append").option("maxRecordsPerFile", lines_per_file).text(folder)
@@ -112,7 +115,7 @@ def all_feeds_query(spark, sf):
         lines = other.select(F.to_json(F.struct("recv_ns", F.col("message").alias("raw"))).alias("value"))
         write_raw(lines, source)
     half = (len(spark.read.text(source).inputFiles()) + 1) // 2
-    normalise_stream(raw_stream(spark, source, max_files=half), out, checkpoint, once=True).awaitTermination()
+    normalise_stream(raw_stream(spark, source, max_files=min(half, MOST_FILES)), out, checkpoint, once=True).awaitTermination()
     rows = [committed(spark, out, name).select(F.lit(name).alias("table"), "date", "recv_ns") for name in FEED_TABLES]
     place = F.expr("recv_ns div 1000000") % 1_000_003
     return reduce(DataFrame.unionByName, rows).groupBy("table", "date").agg(F.count(F.lit(1)).alias("rows"), F.sum(place).alias("place"))
