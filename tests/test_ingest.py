@@ -2,6 +2,7 @@
 
 import json
 from functools import reduce
+from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrame
@@ -95,18 +96,19 @@ def test_tables_agree_with_those_of_one_feed(spark):
         assert len(got) == 1 and got == alone[name].collect(), name
 
 
-def test_a_batch_is_held_on_disk_and_not_in_memory(spark, tmp_path, monkeypatch):
-    levels = []
+def test_a_batch_is_written_and_not_cached(spark, tmp_path, monkeypatch):
+    seen = []
 
     def own_trades(parsed, source, feed):
-        levels.append(parsed.storageLevel)
+        seen.append((parsed.is_cached, parsed.storageLevel.useMemory, Path(parsed.inputFiles()[0].removeprefix("file://"))))
         return normalize.own_trades(parsed)
 
     monkeypatch.setattr(normalize, "ALL_TABLES", {"own_trades": own_trades})
     line = '{"event_type": "trade", "id": "a", "price": "0.5"}'
     batch = spark.createDataFrame([(1, 0, line)], "recv_ns long, part int, message string")
     write_batch(batch, 0, str(tmp_path))
-    assert [(x.useMemory, x.useDisk) for x in levels] == [(False, True)]
+    (cached, in_memory, file), = seen
+    assert not cached and not in_memory and not file.exists()
     assert committed(spark, str(tmp_path), "own_trades").count() == 1
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions.text import utc_date
 from tickloom.plans import normalize
+from tickloom.session import cut_lineage, drop_written
 from tickloom.sources.raw import envelope, flatten_payload
 
 
@@ -23,8 +23,8 @@ def normalise_stream(
 ) -> StreamingQuery:
     """Messages of the market feed, the reference feed and own events into one table each kind (`normalize.ALL_TABLES`).
 
-    A micro-batch is parsed once and persisted on disk while its tables are written: it is of any size,
-    and each table reads it once. Each table is
+    A micro-batch is parsed once and written while its tables are made from it. (A cache would set aside room for
+    thousands of the widest messages in every task.) Each table is
     partitioned by UTC date and micro-batch, so a replayed batch overwrites itself, and a
     batch counts (`committed`) once all its tables are there. `seq` is the row's place in
     its batch: rows are ordered by (recv_ns, batch, seq).
@@ -39,7 +39,7 @@ def normalise_stream(
 
 def write_batch(batch: DataFrame, batch_id: int, folder: str, source: str = "venue", feed: str = "feed") -> None:
     """All tables of one batch, then the mark that they are whole."""
-    parsed = normalize.parse_all_messages(batch.withColumn("seq", F.monotonically_increasing_id())).persist(StorageLevel.DISK_ONLY)
+    parsed = cut_lineage(normalize.parse_all_messages(batch.withColumn("seq", F.monotonically_increasing_id())), "parsed")
     try:
         for name, table in normalize.ALL_TABLES.items():
             (
@@ -52,7 +52,7 @@ def write_batch(batch: DataFrame, batch_id: int, folder: str, source: str = "ven
                 .parquet(f"{folder}/{name}")
             )
     finally:
-        parsed.unpersist()
+        drop_written(parsed)
     mark = batch.sparkSession.range(1).select(F.lit(True).alias("whole"))
     mark.write.mode("overwrite").parquet(f"{folder}/batches/batch={batch_id}")
 
